@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotframe.llm import mixing, sample, splits
+from dotframe.llm import mixing, pieces, representative, sample, splits, tokenize
 from dotframe.session import staged
 from dotframe.sources.tables import table
 
@@ -59,7 +59,42 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     return splits.overlap_report(table(spark, sf, "manifest"), p2_overlaps(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_shares, p4_mix, p2_found, p2_overlaps, p2_report)}
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.pieces(*(table(spark, sf, t) for t in ("gt_cells", "page_images", "piece_limits")))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _pieces(spark, sf).where("piece_no = 0 and n_pieces > 1").select("page_id")
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.named_pieces(_pieces(spark, sf), table(spark, sf, "manifest"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return representative.pairs(table(spark, sf, "predicted_cells"))
+
+
+def p6_best(spark: SparkSession, sf: str) -> DataFrame:
+    return representative.representatives(table(spark, sf, "predicted_cells"))
+
+
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenize.token_ids(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def p7_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document its numbers of tokens and bytes, and whether decoding
+    gives the text back."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    back = tokenize.decoded(tokenize.token_ids(docs)).select("doc_id", F.col("text").alias("back"), "begins")
+    text = F.coalesce("text", F.lit(""))
+    return docs.join(back, "doc_id").select(
+        "doc_id", F.size("begins").alias("n_tokens"), F.octet_length(text).alias("n_bytes"), (text == F.col("back")).alias("same")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_shares, p4_mix, p2_found, p2_overlaps, p2_report, p3_found, p3_pieces, p6_found, p6_best, p7_ids, p7_roundtrip)}
 
 _PATTERN = """
   SELECT crop_id, CASE WHEN b IS NULL THEN l WHEN l IS NULL OR l = b THEN b END AS pattern FROM (
@@ -72,6 +107,21 @@ _PATTERN = """
 """
 
 ORACLES = {
+    "p3_found": """
+SELECT page_id FROM (
+  SELECT page_id, max(frac_bbox.b) - min(frac_bbox.t) AS tall FROM gt_cells
+  WHERE 0 <= frac_bbox.l AND frac_bbox.l < frac_bbox.r AND frac_bbox.r <= 1
+    AND 0 <= frac_bbox.t AND frac_bbox.t < frac_bbox.b AND frac_bbox.b <= 1
+  GROUP BY page_id) JOIN page_images USING (page_id) JOIN piece_limits USING (source)
+WHERE tall * img_h > max_piece_px
+""",
+    "p6_found": """
+WITH RECURSIVE r AS (SELECT * FROM predicted_cells WHERE det_id IS NOT NULL),
+e AS (SELECT a.pred_id AS a, b.pred_id AS b FROM r a JOIN r b ON a.shot_id = b.shot_id AND a.pred_id <> b.pred_id
+      WHERE a.det_id = b.det_id OR (abs(a.cx - b.cx) < greatest(a.w, b.w) / 2 AND abs(a.cy - b.cy) < greatest(a.h, b.h) / 2)),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+SELECT DISTINCT a AS pred_id_a, b AS pred_id_b FROM c WHERE a < b
+""",
     "p1_found": f"""
 WITH p AS ({_PATTERN}), n AS (SELECT count(pattern) // 5 AS s FROM p)
 SELECT label_int FROM sample_targets t, n
