@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotframe.llm import leakage, mixing, pieces, representative, sample, splits, tokenize
+from dotframe.llm import leakage, mixing, mojibake, pieces, representative, sample, splits, tokenize
 from dotframe.session import staged
 from dotframe.sources.tables import table
 
@@ -102,7 +102,17 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_leaks(spark, sf).where(F.col("longest_run") >= leakage.RUN).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_shares, p4_mix, p2_found, p2_overlaps, p2_report, p3_found, p3_pieces, p6_found, p6_best, p7_ids, p7_roundtrip, p8_found, p8_leaks)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return mojibake.affected(docs, mojibake.substitutions(docs)).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return mojibake.restored(docs, mojibake.substitutions(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_shares, p4_mix, p2_found, p2_overlaps, p2_report, p3_found, p3_pieces, p6_found, p6_best, p7_ids, p7_roundtrip, p8_found, p8_leaks, p9_found, p9_restored)}
 
 _PATTERN = """
   SELECT crop_id, CASE WHEN b IS NULL THEN l WHEN l IS NULL OR l = b THEN b END AS pattern FROM (
