@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dotframe.plans import general
+from dotframe.plans import general, reference
 
-_MODULES = (general,)
+_MODULES = (general, reference)
 
 
 def queries() -> dict:
