@@ -55,8 +55,8 @@ def shingle_hashes(ws: list[str], hashes: dict) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _bits(grams: np.ndarray) -> list[np.ndarray]:
-    return [(grams >> np.uint64(20 * k)) % np.uint64(BLOOM_BITS) for k in range(BLOOM_HASHES)]
+def _bits(grams: np.ndarray, n_bits: int) -> list[np.ndarray]:
+    return [(grams >> np.uint64(20 * k)) % np.uint64(n_bits) for k in range(BLOOM_HASHES)]
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
@@ -77,17 +77,17 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, at int, gram long")
 
 
-def bloom(grams: DataFrame) -> np.ndarray:
-    """A filter of BLOOM_BITS bits, whatever the number of shingles; it lets
-    too much through when full, and never too little."""
+def bloom(grams: DataFrame, n_bits: int = BLOOM_BITS) -> np.ndarray:
+    """A filter of n_bits bits, whatever the number of shingles; it lets too
+    much through when full, and never too little."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.unique(np.concatenate(_bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))).astype(np.int64))
+            bits = np.unique(np.concatenate(_bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), n_bits)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array((np.uint64(1) << (bits & 63).astype(np.uint64)).view(np.int64))], ["cell", "mask"])
 
     cells = grams.select("gram").mapInArrow(run, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)  # at most BLOOM_BITS / 64 rows come to the driver
+    out = np.zeros(n_bits // 64, dtype=np.uint64)  # at most n_bits / 64 rows come to the driver
     out[cells["cell"].to_numpy(dtype=np.int64)] = cells["mask"].to_numpy(dtype=np.int64).view(np.uint64)
     return out
 
@@ -106,7 +106,7 @@ def corpus_hits(documents: DataFrame, filter_bits: np.ndarray) -> DataFrame:
                 ws = words(text.as_py())
                 g = shingle_hashes(ws, hashes)
                 ok = np.ones(len(g), dtype=bool)
-                for b in _bits(g):
+                for b in _bits(g, 64 * len(bits)):
                     ok &= (bits[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
                 hit = np.flatnonzero(ok)
                 if len(hit):
@@ -183,7 +183,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], names)
 
 
-def leaks(documents: DataFrame, items: DataFrame, least_score: int = MATCH * RUN) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least_score: int = MATCH * RUN, n_bits: int = BLOOM_BITS) -> DataFrame:
     """Pairs of a document and a passage whose alignment scores least_score or
     more: item_words, score, longest_run, covered_words (of the passage, in
     shared runs of five or more), ends_at (word of the document at which the
@@ -194,7 +194,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: int = MATCH * RUN
     (their score is at least MATCH * RUN).
     """
     shingles = staged(item_shingles(items), "item-shingles")
-    hits = staged(corpus_hits(documents, bloom(shingles)), "hits")
+    hits = staged(corpus_hits(documents, bloom(shingles, n_bits)), "hits")
     seeds = rare_seeds(shingles, hits)
     found = (
         hits.select("doc_id", F.explode(F.array_distinct("grams")).alias("gram"))

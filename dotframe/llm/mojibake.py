@@ -124,8 +124,10 @@ def sequences(own: dict[str, int]) -> dict[str, str]:
     return out
 
 
-def whole_word(token: str, own: dict[str, int]) -> str | None:
-    """The token's original if all of it is UTF-8 read in one encoding."""
+def whole_word(token: str, own: dict[str, int], times: int = 3) -> str | None:
+    """The token's original if all of it is UTF-8 read in one encoding, up to
+    ``times`` times in a row."""
+    deeper = None
     for r in SINGLE_BYTE:
         data = written(token, r)
         if data is None or all(b < 0x80 for b in data):
@@ -136,7 +138,9 @@ def whole_word(token: str, own: dict[str, int]) -> str | None:
             continue
         if all(c <= "\x7f" or c in own or "⠀" <= c <= "⣿" for c in word):
             return word
-    return None
+        if deeper is None and times > 1:
+            deeper = whole_word(word, own, times - 1)
+    return deeper
 
 
 class Reader:
@@ -238,10 +242,13 @@ def substitutions(documents: DataFrame) -> DataFrame:
     )
     # What words read as after their sequences are undone is looked up.
     ratio = F.when(F.length("read") == 1, SINGLE_RATIO).otherwise(RATIO)
+    # A lost character alone can be any, and a single letter of another script
+    # is a word of its own, not garbled punctuation.
+    letter = F.col("read").rlike(f"^{LOST}+$") | (F.length("read") == 1) & F.col("read").rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & ~F.col("original").rlike(r"\p{L}")
     by_word = (
         judged.groupBy("read").agg(F.sum("df").alias("df"))
         .join(table, F.col("read") == F.col("form"))
-        .where((F.col("n") >= ratio * F.col("df")) & (F.col("original") != F.col("read")))
+        .where((F.col("n") >= ratio * F.col("df")) & (F.col("original") != F.col("read")) & ~letter)
         .groupBy("read").agg(F.max_by(F.struct("original", "how"), F.struct("n", "original")).alias("best"))
     )
     dots = F.col("token").isin(*dot_parts()) if any("⠀" <= c <= "⣿" for c in dot_cells(documents)) else F.lit(False)

@@ -58,6 +58,9 @@ def link_shots(shot: np.ndarray, det: np.ndarray, cx: np.ndarray, cy: np.ndarray
         keys = (shot[sized], k, m, np.floor(cx[sized] / 2.0**k), np.floor(cy[sized] / 2.0**m))
         a, b = _chain(keys, np.lexsort(keys[::-1]))
         parent = _find(parent, sized[a], sized[b])
+        # Of rows alike in place and size, linked by now, one goes on.
+        alike = np.unique(np.column_stack([shot[sized], cx[sized], cy[sized], half_w[sized], half_h[sized]]), axis=0, return_index=True)[1]
+        rows = np.sort(np.concatenate([np.setdiff1d(rows, sized, assume_unique=True), sized[alike]]))
     if not len(rows):
         return parent
     _, of = np.unique(shot[rows], return_inverse=True)
