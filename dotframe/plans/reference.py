@@ -261,9 +261,9 @@ def cells_in_tiles(s, d):
     return _placed(s, d).select("page_id", "cell_idx", c("tile_no").cast("long").alias("tile_no"))
 
 
-@query(_TILES + "SELECT page_id, cell_idx, CAST(tile_no AS BIGINT) AS tile_no, round(l, 6) AS l, round(t, 6) AS t, round(r, 6) AS r, round(b, 6) AS b FROM placed")
+@query(_TILES + "SELECT page_id, cell_idx, CAST(tile_no AS BIGINT) AS tile_no, round(l, 9) AS l, round(t, 9) AS t, round(r, 9) AS r, round(b, 9) AS b FROM placed")
 def tile_relative_bbox(s, d):
-    return _placed(s, d).select("page_id", "cell_idx", c("tile_no").cast("long").alias("tile_no"), *r6("l", "t", "r", "b"))
+    return _placed(s, d).select("page_id", "cell_idx", c("tile_no").cast("long").alias("tile_no"), *r6("l", "t", "r", "b", digits=9))
 
 
 @query(_TILES + "SELECT page_id, CAST(tile_no AS BIGINT) AS tile_no, count(*) AS n_cells FROM placed GROUP BY page_id, tile_no")
@@ -938,7 +938,7 @@ def voc_xml_parse(s, d):
     return ann.voc_boxes(parsed).select("page_id", "cell_idx", *r6("l", "b"))
 
 
-@query("SELECT page_id, path AS value FROM page_images WHERE path IS NOT NULL", pre=False)
+@query(r"SELECT page_id, replace(path, '\', '/') AS value FROM page_images WHERE path IS NOT NULL", pre=False)
 def page_list_clean(s, d):
     raw = table(s, d, "page_images").where("path is not null").select("page_id", F.concat(F.lit("  "), F.translate("path", "/", "\\"), F.lit(" \r")).alias("value"))
     blank = raw.withColumn("value", F.lit("  \t"))
