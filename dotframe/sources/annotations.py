@@ -61,7 +61,7 @@ def grid_cells(texts: DataFrame, img_w: Column, img_h: Column, text: str = "valu
     cells = (
         lines.withColumn("_line", F.explode(F.slice("_l", F.lit(4), F.greatest(F.size("_l") - 3, F.lit(0)))))
         .withColumn("_f", F.split(F.trim("_line"), r"\s+")).where(F.size("_f") >= 8)
-        .withColumn("row", F.element_at("_f", 1).cast("int")).withColumn("col", F.element_at("_f", 2).cast("int"))
+        .withColumn("row", F.try_element_at("_f", F.lit(1)).cast("int")).withColumn("col", F.try_element_at("_f", F.lit(2)).cast("int"))
         .withColumn("bits6", F.array_join(F.slice("_f", 3, 6), ""))
     )
     boxes = grid_boxes(F.col("row"), F.col("col"), F.col("_xs"), F.col("_ys"), img_w, img_h)
@@ -69,7 +69,7 @@ def grid_cells(texts: DataFrame, img_w: Column, img_h: Column, text: str = "valu
 
 
 def read_grid_txt(spark: SparkSession, path: str, img_w: int, img_h: int) -> DataFrame:
-    texts = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    texts = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     return grid_cells(texts, F.lit(img_w), F.lit(img_h))
 
 
