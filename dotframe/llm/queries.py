@@ -124,7 +124,34 @@ _PATTERN = """
     FROM (SELECT DISTINCT crop_id, bits6, label_int FROM manifest))
 """
 
+
+def _name_sql(path: str) -> str:
+    s = f"lower({path})"
+    for pattern, to in splits.NAME_STEPS:
+        s = f"regexp_replace({s}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return s
+
+
 ORACLES = {
+    "p2_found": f"""
+WITH pt AS ({_PATTERN}), m AS (SELECT DISTINCT crop_id, page_id, cell_idx, split, path, bits6, label_int FROM manifest WHERE page_id IS NOT NULL),
+pg AS (
+  SELECT page_id, bool_or(split = 'train') AS tr, bool_or(split IN ('val', 'test')) AS ev, bool_and(bits6 IS NULL AND label_int IS NULL) AS bare, min(path) AS path,
+    string_agg(chr(CAST(pattern AS INT) + 63), '' ORDER BY cell_idx, crop_id) FILTER (WHERE pattern IS NOT NULL) AS seq
+  FROM m JOIN pt USING (crop_id) GROUP BY page_id),
+nm AS (SELECT page_id, tr, ev, {_name_sql('path')} AS name FROM pg WHERE bare)
+SELECT DISTINCT least(t.page_id, e.page_id) AS page_id_a, greatest(t.page_id, e.page_id) AS page_id_b FROM pg t JOIN pg e
+  ON t.tr AND e.ev AND t.page_id <> e.page_id AND abs(length(t.seq) - length(e.seq)) <= greatest(length(t.seq), length(e.seq)) // 10
+WHERE levenshtein(t.seq, e.seq) <= greatest(length(t.seq), length(e.seq)) // 10
+UNION SELECT least(t.page_id, e.page_id), greatest(t.page_id, e.page_id) FROM nm t JOIN nm e ON t.tr AND e.ev AND t.page_id <> e.page_id AND t.name = e.name AND t.name <> ''
+""",
+    "p8_found": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+""",
     "p3_found": """
 SELECT page_id FROM (
   SELECT page_id, max(frac_bbox.b) - min(frac_bbox.t) AS tall FROM gt_cells

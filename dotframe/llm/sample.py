@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HASH_BUCKETS = 1024
+HASH_BUCKETS = 8192
 MAX_SIGNATURES = 1 << 16
 
 
