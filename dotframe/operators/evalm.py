@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dotframe.params import PARAMS
+from dotframe.session import spread
 
 
 def match_cells(pred: DataFrame, truth: DataFrame, frac: float = PARAMS.match_frac) -> DataFrame:
@@ -39,7 +40,7 @@ def match_cells(pred: DataFrame, truth: DataFrame, frac: float = PARAMS.match_fr
 
     cols = [F.col(k).alias(k) for k in ("page_id", "det_id", "cx", "cy", "w")]
     return (
-        pred.select(*cols).groupBy("page_id").cogroup(truth.select(*cols).groupBy("page_id"))
+        spread(pred.select(*cols), "page_id").groupBy("page_id").cogroup(spread(truth.select(*cols), "page_id").groupBy("page_id"))
         .applyInPandas(page, "page_id long, pred_id long, gt_id long")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,17 +10,16 @@ from pyspark.sql import functions as F
 from dotframe.functions.encode import ALL_DOTS
 from dotframe.operators.layout import char_spacing, edge_slots, gap_slots, line_groups
 from dotframe.params import PARAMS
+from dotframe.session import spread
 
 
 def reliable(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("conf") >= PARAMS.high_conf)
 
 
-def slots(cells: DataFrame) -> DataFrame:
-    """Empty places of each page in the order they are visited (line by line;
-    gaps from left to right, then outward to the left and the right), with the
-    line's spacing and the median size of the page's reliable cells."""
-    lines = line_groups(reliable(cells))
+def slots(lines: DataFrame) -> DataFrame:
+    """Empty places of each page in the order they are visited: line by line;
+    gaps from left to right, then outward to the left and the right."""
     gaps = gap_slots(lines).select("page_id", "line_id", F.lit(0).alias("part"), "det_id", "k", "ex", "ey")
     at = lines.select("page_id", "det_id", "cx")
     gaps = gaps.join(at, ["page_id", "det_id"]).select("page_id", "line_id", "part", F.col("cx").alias("from"), "det_id", "k", "ex", "ey")
@@ -42,8 +42,9 @@ def grid_fill(cells: DataFrame) -> DataFrame:
     """
     ok = reliable(cells)
     size = ok.groupBy("page_id").agg(F.median("w").alias("mw"), F.median("h").alias("mh"))
-    spacing = char_spacing(line_groups(ok)).select("page_id", "line_id", "spacing")
-    visit = slots(cells).join(spacing, ["page_id", "line_id"]).join(size, "page_id")
+    lines = line_groups(ok)
+    spacing = char_spacing(lines).select("page_id", "line_id", "spacing")
+    visit = slots(lines).join(spacing, ["page_id", "line_id"]).join(size, "page_id")
     low = cells.where((F.col("conf") < PARAMS.high_conf) & ~((F.col("bits") == ALL_DOTS) & (F.col("conf") < PARAMS.all_dots_min_conf)))
     fresh = lambda df, *cols: df.select(*[F.col(k).alias(k) for k in cols])
     low = fresh(low.join(size, "page_id"), "page_id", "det_id", "cx", "cy", "w", "h", "conf", "bits")
@@ -52,25 +53,31 @@ def grid_fill(cells: DataFrame) -> DataFrame:
     schema = "page_id long, stage string, det_id long, ex double, ey double, cx double, cy double, w double, h double, conf double, bits string"
 
     def claim(key, places: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        places = places.sort_values(["line_id", "part", "from", "det_id", "k"], kind="stable")
-        pool = pool.sort_values("det_id", ignore_index=True)
-        x, y, conf = (pool[c].to_numpy(float) for c in ("cx", "cy", "conf"))
-        free, out = [True] * len(pool), []
-        for p in places.itertuples():
-            near = ((abs(x - p.ex) < p.spacing * 0.45) & (abs(y - p.ey) < p.mh * PARAMS.line_band)).nonzero()[0]
-            near = [j for j in near if free[j]]
-            if near:
-                j = max(near, key=lambda i: (conf[i], -i))
-                free[j] = False
-                c = pool.iloc[j]
-                out.append((key[0], "rescued", c.det_id, p.ex, p.ey, c.cx, c.cy, c.w, c.h, c.conf, c.bits))
-            else:
-                out.append((key[0], "gap" if p.part == 0 else "edge", None, p.ex, p.ey, p.ex, p.ey, p.mw, p.mh, PARAMS.crop_conf, None))
-        got = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-        got["det_id"] = pd.Series([None if o[2] is None else int(o[2]) for o in out], dtype=object)
-        return got
+        places = places.sort_values(["line_id", "part", "from", "det_id", "k"], kind="stable", ignore_index=True)
+        pool = pool.sort_values("cx", kind="stable", ignore_index=True)
+        x, y, conf, ids = (pool[c].to_numpy() for c in ("cx", "cy", "conf", "det_id"))
+        ex, ey = places["ex"].to_numpy(), places["ey"].to_numpy()
+        dx, dy = places["spacing"].to_numpy() * 0.45, places["mh"].to_numpy() * PARAMS.line_band
+        lo, hi = np.searchsorted(x, ex - dx), np.searchsorted(x, ex + dx, side="right")
+        free = np.ones(len(pool), dtype=bool)
+        chosen = np.full(len(places), -1)
+        for i in np.flatnonzero(hi > lo):
+            near = np.arange(lo[i], hi[i])
+            near = near[free[near] & (np.abs(x[near] - ex[i]) < dx[i]) & (np.abs(y[near] - ey[i]) < dy[i])]
+            if len(near):
+                j = near[np.lexsort((ids[near], -conf[near]))[0]]
+                free[j], chosen[i] = False, j
+        won = chosen >= 0
+        got = pool.take(np.where(won, chosen, 0)).reset_index(drop=True) if len(pool) else pool.reindex(range(len(places)))
+        out = pd.DataFrame({"page_id": key[0], "stage": np.where(won, "rescued", np.where(places["part"] == 0, "gap", "edge")), "ex": ex, "ey": ey})
+        out["det_id"] = got["det_id"].astype("Int64").where(won)
+        empty = {"cx": ex, "cy": ey, "w": places["mw"].to_numpy(), "h": places["mh"].to_numpy(), "conf": PARAMS.crop_conf}
+        for c, v in empty.items():
+            out[c] = np.where(won, got[c].to_numpy(dtype=float), v)
+        out["bits"] = got["bits"].astype(object).where(won, None)
+        return out[[c.split()[0] for c in schema.split(", ")]]
 
-    filled = visit.groupBy("page_id").cogroup(low.groupBy("page_id")).applyInPandas(claim, schema)
+    filled = spread(visit, "page_id").groupBy("page_id").cogroup(spread(low, "page_id").groupBy("page_id")).applyInPandas(claim, schema)
     as_stage = lambda df, s: df.select(
         "page_id", F.lit(s).alias("stage"), "det_id", F.col("cx").alias("ex"), F.col("cy").alias("ey"), "cx", "cy", "w", "h", "conf", "bits"
     )

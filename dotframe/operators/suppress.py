@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from dotframe.functions.geom import corners, inside, iou
 from dotframe.params import PARAMS
+from dotframe.session import spread
 
 
 def with_corners(cells: DataFrame) -> DataFrame:
@@ -131,4 +132,4 @@ def resolve_overlaps(cells: DataFrame, threshold: float = PARAMS.residual_iou) -
         return pdf[surviving(pdf[["cx", "cy", "w", "h", "conf"]].to_numpy(float), threshold)]
 
     some = cells.select(*cols)
-    return some.groupBy("page_id").applyInPandas(page, some.schema)
+    return spread(some, "page_id").groupBy("page_id").applyInPandas(page, some.schema)

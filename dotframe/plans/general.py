@@ -17,4 +17,31 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean}
-ORACLES: dict[str, str] = {}
+_NUMBER = badrows.NUMBER.strip("^$")
+
+ORACLES: dict[str, str] = {
+    "p5_found": rf"""
+WITH t AS (
+  SELECT raw_id, file_path, fmt, line_no, regexp_replace(CASE WHEN line_no = 1 THEN regexp_replace(coalesce(raw_line, ''), '^\x{{FEFF}}', '') ELSE coalesce(raw_line, '') END, '\r\z', '') AS s FROM raw_annotations),
+k AS (SELECT *, CASE fmt WHEN 'cell_csv' THEN ';' ELSE ',' END AS sep FROM t
+  WHERE NOT regexp_full_match(s, '\s*') AND line_no > CASE fmt WHEN 'grid_txt' THEN 3 WHEN 'manifest_csv' THEN 1 ELSE 0 END),
+q AS (SELECT *, CASE WHEN fmt = 'grid_txt' THEN regexp_split_to_array(trim(s, ' ' || chr(9)), '[ \t]+')
+    WHEN fmt = 'cell_csv' AND regexp_full_match(s, '([ \t]*"([^"]|"")*"[ \t]*|[^";]*)(;([ \t]*"([^"]|"")*"[ \t]*|[^";]*))*') THEN regexp_extract_all(s || ';', '([ \t]*"(?:[^"]|"")*"[ \t]*|[^";]*);', 1)
+    WHEN fmt = 'manifest_csv' AND regexp_full_match(s, '([ \t]*"([^"]|"")*"[ \t]*|[^",]*)(,([ \t]*"([^"]|"")*"[ \t]*|[^",]*))*') THEN regexp_extract_all(s || ',', '([ \t]*"(?:[^"]|"")*"[ \t]*|[^",]*),', 1) END AS raw FROM k),
+f AS (SELECT *, list_transform(raw, lambda x: CASE WHEN fmt <> 'grid_txt' AND starts_with(trim(x, ' ' || chr(9)), '"')
+    THEN replace(substr(trim(x, ' ' || chr(9)), 2, length(trim(x, ' ' || chr(9))) - 2), '""', '"') ELSE trim(x, ' ' || chr(9)) END) AS f FROM q),
+h AS (SELECT file_path, max(len(regexp_split_to_array(trim(s, ' ' || chr(9)), '[ \t]+'))) FILTER (WHERE line_no = 2) // 2 AS n_cols,
+    max(len(regexp_split_to_array(trim(s, ' ' || chr(9)), '[ \t]+'))) FILTER (WHERE line_no = 3) // 3 AS n_rows FROM t WHERE fmt = 'grid_txt' GROUP BY file_path),
+v AS (SELECT raw_id, CASE WHEN raw IS NULL THEN 'quoting' WHEN len(f) <> CASE fmt WHEN 'cell_csv' THEN 5 WHEN 'grid_txt' THEN 8 ELSE 4 END THEN 'column_count'
+    WHEN NOT coalesce(CASE fmt
+      WHEN 'cell_csv' THEN len(list_filter(f[1:4], lambda x: regexp_full_match(x, '{_NUMBER}'))) = 4 AND regexp_full_match(f[5], '0*([1-9]|[1-5][0-9]|6[0-3])')
+        AND TRY_CAST(f[1] AS DOUBLE) >= 0 AND TRY_CAST(f[1] AS DOUBLE) < TRY_CAST(f[3] AS DOUBLE) AND TRY_CAST(f[3] AS DOUBLE) <= 1
+        AND TRY_CAST(f[2] AS DOUBLE) >= 0 AND TRY_CAST(f[2] AS DOUBLE) < TRY_CAST(f[4] AS DOUBLE) AND TRY_CAST(f[4] AS DOUBLE) <= 1
+      WHEN 'grid_txt' THEN regexp_full_match(f[1], '[0-9]+') AND regexp_full_match(f[2], '[0-9]+') AND TRY_CAST(f[1] AS DOUBLE) BETWEEN 1 AND n_rows AND TRY_CAST(f[2] AS DOUBLE) BETWEEN 1 AND n_cols
+        AND len(list_filter(f[3:8], lambda x: x IN ('0', '1'))) = 6
+      ELSE f[1] IN ('train', 'val', 'test') AND f[2] <> '' AND regexp_full_match(f[3], '[01]{{6}}') AND regexp_full_match(f[4], '[0-9]+')
+        AND TRY_CAST(f[4] AS DOUBLE) BETWEEN 1 AND 63 AND TRY_CAST(f[4] AS DOUBLE) = (ascii(f[3][1])-48) + 2*(ascii(f[3][2])-48) + 4*(ascii(f[3][3])-48) + 8*(ascii(f[3][4])-48) + 16*(ascii(f[3][5])-48) + 32*(ascii(f[3][6])-48) END, false)
+    THEN 'value' END AS reason FROM f LEFT JOIN h USING (file_path))
+SELECT raw_id, reason FROM v WHERE reason IS NOT NULL
+"""
+}

@@ -60,6 +60,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by the keys over all shuffle partitions. For stages of
+    Python code, whose small inputs would else be put into one partition."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def _close() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None:
