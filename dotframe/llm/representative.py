@@ -17,8 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from dotframe.llm.linking import link_large
 from dotframe.session import staged
 
+#: Records of a shot that one task takes.
+SHOT_ROWS = 200_000
+
 
 def _find(parent: np.ndarray, edges_a: np.ndarray, edges_b: np.ndarray) -> np.ndarray:
     """Smallest member of each node's component, by vectorised hooking of the
@@ -134,7 +138,7 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _grouped(pa.concat_tables(held)).to_batches()
 
 
-def grouped_records(records: DataFrame, *extra: str) -> DataFrame:
+def grouped_records(records: DataFrame, *extra: str, most: int = SHOT_ROWS) -> DataFrame:
     """The records that belong to a cell, with ``cell``, the smallest pred_id
     of its cell, and the cell's n_records. Columns: pred_id, shot_id, det_id,
     cx, cy, w, h and ``extra``.
@@ -142,22 +146,31 @@ def grouped_records(records: DataFrame, *extra: str) -> DataFrame:
     Records without shot_id, det_id or pred_id belong to none. Unknown sizes
     reach nothing by themselves, unknown centres link by det_id alone. Rows
     are shuffled by shot, not by page: a page photographed over and over
-    spreads over all tasks. A shot is one photograph.
+    spreads over all tasks. Shots of more than ``most`` records are linked by
+    joins instead (linking.link_large), with the same result.
     """
     f = lambda c: F.col(c).cast("double").alias(c)
     some = records.where("shot_id is not null and det_id is not null and pred_id is not null").select(
         F.col("pred_id").cast("long"), F.col("shot_id").cast("long"), "det_id", f("cx"), f("cy"), f("w"), f("h"), *extra
     )
     schema = ", ".join(f"`{c}` {t}" for c, t in some.dtypes) + ", cell long, n_records long"
-    return some.repartition("shot_id").sortWithinPartitions("shot_id").mapInArrow(_label, schema)
-
-
-def pairs(records: DataFrame) -> DataFrame:
+    in_task = lambda df: df.repartition("shot_id").sortWithinPartitions("shot_id").mapInArrow(_label, schema)
+    large = staged(some.groupBy("shot_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("shot_id"), "large")
+    if large.isEmpty():
+        return in_task(some)
+    big = some.join(large, "shot_id", "left_semi")
+    cell = staged(link_large(big), "cell")
+    sizes = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n_records"))
+    joined = big.join(cell, "pred_id").join(sizes, "cell")
+    return in_task(some.join(large, "shot_id", "left_anti").select(*some.columns)).unionByName(joined)
+
+
+def pairs(records: DataFrame, most: int = SHOT_ROWS) -> DataFrame:
     """Every two records of one cell: (pred_id_a, pred_id_b), smaller first."""
-    member = grouped_records(records).where("n_records > 1").select("cell", "pred_id")
-    lists = member.groupBy("cell").agg(F.array_sort(F.collect_list("pred_id")).alias("ids"))
-    firsts = lists.select("ids", F.posexplode("ids").alias("at", "pred_id_a"))
-    return firsts.select("pred_id_a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("pred_id_b"))
+    member = grouped_records(records, most=most).where("n_records > 1").select("cell", "pred_id")
+    member = staged(member, "members")
+    a, b = (member.select("cell", F.col("pred_id").alias(f"pred_id_{x}")) for x in "ab")
+    return a.join(b, "cell").where("pred_id_a < pred_id_b").select("pred_id_a", "pred_id_b")
 
 
 def precedence(grouped: DataFrame) -> DataFrame:

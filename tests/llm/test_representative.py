@@ -49,6 +49,26 @@ def test_links_as_brute_force(rows):
     assert same_partition(rep.link_shots(cols[0].astype(int), *cols[1:]).tolist(), brute(*cols))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_large_shots_by_joins(spark, seed):
+    rng = np.random.default_rng(seed)
+    some = lambda v, p=0.1: None if rng.random() < p else float(v)
+    rows = []
+    for i in range(160):
+        size = rng.choice([3.0, 9.8, 16.0, 20.0]), rng.choice([5.0, 14.0, 30.0])
+        rows.append((i, 1, int(rng.integers(0, 2)), int(rng.integers(0, 140)), some(rng.integers(0, 900) / 5), some(rng.integers(0, 900) / 5), some(size[0]), some(size[1]), 0.5, "100000", False, False, "a", None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    near = {(r.pred_id_a, r.pred_id_b) for r in rep.pairs(df).collect()}
+    joined = {(r.pred_id_a, r.pred_id_b) for r in rep.pairs(df, most=0).collect()}
+    assert joined == near and near
+
+
+def test_dense_large_shot(spark, rng):
+    rows = [(i, 1, 1, i, float(x), float(y), 20.0, 30.0, 0.5, "100000", False, False, "a", None) for i, (x, y) in enumerate(rng.random((3000, 2)) * 6)]
+    got = rep.grouped_records(spark.createDataFrame(rows, SCHEMA), most=10).groupBy("cell").count().collect()
+    assert [(r.cell, r["count"]) for r in got] == [(0, 3000)]
+
+
 def test_dense_shot_is_one_cell(rng):
     n = 20_000
     ones = np.ones(n)
