@@ -18,7 +18,7 @@ def _crops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.report(_crops(spark, sf), table(spark, sf, "sample_targets"))
+    return sample.report(_crops(spark, sf), {"label_int": table(spark, sf, "sample_targets")}, "label_int")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return sample.draw(_crops(spark, sf), table(spark, sf, "sample_targets"))
+    return sample.draw(_crops(spark, sf), {"label_int": table(spark, sf, "sample_targets")})
 
 
 def _sized(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ and the final counts are materialised by each signature's smallest hashes.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Window as W
 
 HASH_BUCKETS = 8192
 MAX_SIGNATURES = 1 << 16
+PAIRS = 512
 
 
 def pattern_column(bits6: str = "bits6", label_int: str = "label_int") -> Column:
@@ -43,20 +45,31 @@ def distinct_crops(manifest: DataFrame, *columns: str) -> DataFrame:
 
 @dataclass
 class SamplePlan:
-    """Counts per category: what there is, what is wanted, what is drawn."""
+    """Signatures (a category of each column) with their counts, and per
+    category of each column what there is, what is wanted and the floor."""
 
-    categories: list
+    columns: list[str]
+    signatures: list[tuple]
     available: np.ndarray
-    target: np.ndarray
-    floor: np.ndarray
     drawn: np.ndarray
+    wanted: dict[str, dict]
+
+    def per_category(self, column: str) -> list[tuple]:
+        """(category, named, available, wanted, floor, drawn) in order."""
+        at = self.columns.index(column)
+        have, drawn = Counter(), Counter()
+        for sig, n, d in zip(self.signatures, self.available, self.drawn):
+            have[sig[at]] += int(n)
+            drawn[sig[at]] += int(d)
+        of = self.wanted[column]
+        return [(k, k in of, have[k], *of.get(k, (0, 0)), drawn[k]) for k in sorted({*have, *of})]
 
 
 def _spread(rng: np.random.Generator, room: np.ndarray, n: int) -> np.ndarray:
     """n records drawn at random, without return, from room[i] of each kind."""
     total = int(room.sum())
     n = min(n, total)
-    if not n:
+    if n <= 0:
         return np.zeros_like(room)
     if total < 10**9:
         return rng.multivariate_hypergeometric(room, n, method="marginals")
@@ -67,112 +80,134 @@ def _spread(rng: np.random.Generator, room: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out, room)
 
 
-def swap_repair(available: np.ndarray, target: np.ndarray, floor: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+def swap_repair(
+    available: np.ndarray, target: np.ndarray, floor: np.ndarray, size: int, seed: int = 0, signatures: np.ndarray | None = None
+) -> np.ndarray:
     """Drawn counts per signature, adding up to min(size, all).
 
-    Starts from min(floor, available) of each plus a random rest, then moves
-    records from the signature with the largest deviation from its target to
-    the one with the smallest, as many as lower the sum of squared deviations
-    most, until no exchange lowers it. Signatures with target 0 give before
-    all others and take after them. Floors are never undercut.
+    ``signatures[i]`` holds the categories (indices into target and floor) of
+    signature i, one a column; by default each signature is a category.
+
+    Starts from a random sample that holds min(floor, available) of each
+    category, then moves records from one signature to another, each time the
+    pair and number that lower the sum of squared deviations from the targets
+    most, until no exchange lowers it. Categories with target 0 give before
+    all others and take after them. Floors are never undercut. Of more than
+    PAIRS signatures those with the largest and smallest deviations are paired.
     """
     available, target = available.astype(np.int64), target.astype(np.int64)
-    least = np.minimum(floor.astype(np.int64), available)
-    if least.sum() > size:  # floors alone don't fit: the largest give way
-        least = np.floor(least * (size / max(1, least.sum()))).astype(np.int64)
+    sig = np.arange(len(available))[:, None] if signatures is None else signatures
+    count = lambda x: np.bincount(sig.ravel(), np.repeat(x, sig.shape[1]), minlength=len(target)).astype(np.int64)
+    least = np.minimum(floor.astype(np.int64), count(available))
     rng = np.random.default_rng(seed)
-    drawn = least + _spread(rng, available - least, int(min(size, available.sum()) - least.sum()))
-    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    size = int(min(size, available.sum()))
+    drawn = np.zeros_like(available)
+    for c in np.argsort(count(available), kind="stable"):  # rare categories first
+        of = np.flatnonzero((sig == c).any(axis=1))
+        drawn[of] += _spread(rng, (available - drawn)[of], int(least[c] - count(drawn)[c]))
+    if drawn.sum() > size:  # floors alone don't fit: all give way
+        drawn = np.floor(drawn * (size / drawn.sum())).astype(np.int64)
+        least = np.minimum(least, count(drawn))
+    drawn += _spread(rng, available - drawn, size - int(drawn.sum()))
     last = np.where(target > 0, 0, int(available.sum()) + 1)
     while True:
-        over = drawn - target + last
-        giving, taking = np.where(drawn > least, over, low), np.where(drawn < available, over, high)
-        a, b = int(giving.argmax()), int(taking.argmin())
-        if giving[a] == low or taking[b] == high or giving[a] - taking[b] <= 1:
+        now = count(drawn)
+        over, slack = now - target + last, now - least
+        pull = 2 * over[sig].sum(axis=1)
+        gives = np.flatnonzero((drawn > 0) & ((slack[sig] > 0).all(axis=1) if sig.shape[1] == 1 else True))
+        takes = np.flatnonzero(drawn < available)
+        gives = gives[np.argsort(-pull[gives], kind="stable")][:PAIRS]
+        takes = takes[np.argsort(pull[takes], kind="stable")][:PAIRS]
+        if not len(gives) or not len(takes):
+            return drawn
+        differ = sig[gives][:, None, :] != sig[takes][None, :, :]
+        change = 2 * differ.sum(axis=2)
+        spare = np.where(differ, slack[sig[gives]][:, None, :], np.iinfo(np.int64).max).min(axis=2)
+        fall = pull[gives][:, None] - pull[takes][None, :]
+        n = np.maximum(1, fall // np.maximum(2 * change, 1))
+        n = np.minimum(np.minimum(n, spare), np.minimum(drawn[gives][:, None], (available - drawn)[takes][None, :]))
+        gain = np.where((fall > change) & (change > 0) & (n > 0), n * (fall - n * change).astype(float), 0.0)
+        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[i, j] <= 0:
             return drawn
-        n = int(min((giving[a] - taking[b]) // 2, drawn[a] - least[a], available[b] - drawn[b]))
-        drawn[a] -= n
-        drawn[b] += n
+        drawn[gives[i]] -= n[i, j]
+        drawn[takes[j]] += n[i, j]
 
 
-def _counts(crops: DataFrame, category: str) -> dict:
-    """{category: records}; size-checked by the number of signatures."""
-    rows = crops.groupBy(category).count().limit(MAX_SIGNATURES + 1).collect()
+def _counts(crops: DataFrame, columns: list[str]) -> dict[tuple, int]:
+    """{signature: records}; size-checked by the number of signatures."""
+    known = crops.dropna(subset=columns)
+    rows = known.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_SIGNATURES + 1).collect()
     if len(rows) > MAX_SIGNATURES:
         raise ValueError(f"more than {MAX_SIGNATURES} category signatures")
-    return {r[0]: r[1] for r in rows}
+    return {tuple(r[:-1]): r[-1] for r in rows}
 
 
-def plan_sample(crops: DataFrame, targets: DataFrame, category: str, divisor: int = 5, seed: int = 0) -> SamplePlan:
-    """Plans a sample of N div ``divisor`` of the records with a category.
+def plan_sample(crops: DataFrame, targets: dict[str, DataFrame], divisor: int = 5, seed: int = 0) -> SamplePlan:
+    """Plans a sample of N div ``divisor`` of the records with a category in
+    every column of ``targets``.
 
-    targets: category, target_bp (1/10,000), min_rows; both null as 0. Repeated
-    target rows of one category add up their shares and keep the largest
-    floor. Categories without a target have target and floor 0 and only fill
-    up what the others can't supply.
+    A column's targets: the category, target_bp (1/10,000), min_rows; both
+    null as 0. Repeated rows of one category add up their shares and keep the
+    largest floor. Categories without a target have target and floor 0 and
+    only fill up what the others can't supply.
     """
-    have = _counts(crops, category)
-    have.pop(None, None)
-    want = {
-        r[0]: (r[1], r[2])
-        for r in targets.where(F.col(category).isNotNull())
-        .groupBy(category)
-        .agg(F.sum(F.coalesce("target_bp", F.lit(0))), F.max(F.coalesce("min_rows", F.lit(0))))
-        .limit(MAX_SIGNATURES)
-        .collect()
-    }
+    columns = list(targets)
+    have = _counts(crops, columns)
     size = sum(have.values()) // divisor
-    keys = sorted(set(have) | set(want))
-    available = np.array([have.get(k, 0) for k in keys], dtype=np.int64)
-    share = np.array([want.get(k, (0, 0))[0] * size // 10_000 for k in keys], dtype=np.int64)
-    floor = np.array([want.get(k, (0, 0))[1] for k in keys], dtype=np.int64)
-    target = np.maximum(share, floor)
-    drawn = swap_repair(available, target, floor, size, seed) if keys else available
-    return SamplePlan(keys, available, target, floor, drawn)
-
-
-def report(crops: DataFrame, targets: DataFrame, category: str = "label_int", divisor: int = 5, seed: int = 0) -> DataFrame:
-    """One row per category: records there are, wanted (the larger of target
-    share and floor), floor and drawn; ``met`` is false where there are fewer
-    than wanted. An empty table meets every target of 0."""
-    plan = plan_sample(crops, targets, category, divisor, seed)
-    named = {r[0] for r in targets.select(category).where(F.col(category).isNotNull()).distinct().limit(MAX_SIGNATURES).collect()}
-    rows = [
-        (k, k in named, int(a), int(t), int(f), int(d), bool(a >= t))
-        for k, a, t, f, d in zip(plan.categories, plan.available, plan.target, plan.floor, plan.drawn)
-    ]
-    kind = dict(crops.dtypes)[category]
+    wanted = {}
+    for c, t in targets.items():
+        rows = t.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum(F.coalesce("target_bp", F.lit(0))), F.max(F.coalesce("min_rows", F.lit(0))))
+        wanted[c] = {r[0]: (max(r[1] * size // 10_000, r[2]), r[2]) for r in rows.limit(MAX_SIGNATURES).collect()}
+    signatures = sorted(have)
+    index = {k: i for i, k in enumerate((c, v) for at, c in enumerate(columns) for v in sorted({*wanted[c], *(s[at] for s in signatures)}))}
+    goal = np.array([wanted[c].get(v, (0, 0)) for c, v in index], dtype=np.int64).reshape(-1, 2)
+    available = np.array([have[s] for s in signatures], dtype=np.int64)
+    sig = np.array([[index[c, v] for c, v in zip(columns, s)] for s in signatures], dtype=np.int64).reshape(-1, len(columns))
+    drawn = swap_repair(available, goal[:, 0], goal[:, 1], size, seed, sig) if signatures else available
+    return SamplePlan(columns, signatures, available, drawn, wanted)
+
+
+def report(crops: DataFrame, targets: dict[str, DataFrame], column: str, divisor: int = 5, seed: int = 0) -> DataFrame:
+    """One row per category of ``column``: whether it is named by a target,
+    records there are, wanted (the larger of target share and floor), floor
+    and drawn; ``met`` is false where there are fewer than wanted. An empty
+    table meets every target of 0."""
+    plan = plan_sample(crops, targets, divisor, seed)
+    rows = [(*r, r[2] >= r[3]) for r in plan.per_category(column)]
+    kind = dict(crops.dtypes)[column]
     return crops.sparkSession.createDataFrame(
-        rows, f"`{category}` {kind}, named boolean, available long, wanted long, min_rows long, drawn long, met boolean"
+        rows, f"`{column}` {kind}, named boolean, available long, wanted long, min_rows long, drawn long, met boolean"
     )
 
 
-def draw(crops: DataFrame, targets: DataFrame, category: str = "label_int", key: str = "crop_id", divisor: int = 5, seed: int = 0) -> DataFrame:
-    """The sampled records themselves: of each category its planned number,
+def draw(crops: DataFrame, targets: dict[str, DataFrame], key: str = "crop_id", divisor: int = 5, seed: int = 0) -> DataFrame:
+    """The sampled records themselves: of each signature its planned number,
     those with the smallest hash of ``key``. Exact at any size and without
-    one task per category: counts of hash buckets find the bucket in which a
-    category's last record lies, and only that bucket is ordered."""
-    plan = plan_sample(crops, targets, category, divisor, seed)
-    kind = dict(crops.dtypes)[category]
+    one task per signature: counts of hash buckets find the bucket in which a
+    signature's last record lies, and only that bucket is ordered."""
+    plan = plan_sample(crops, targets, divisor, seed)
+    kinds = dict(crops.dtypes)
+    names = [f"_c{i}" for i in range(len(plan.columns))]
     wanted = crops.sparkSession.createDataFrame(
-        [(k, int(d)) for k, d in zip(plan.categories, plan.drawn) if d > 0], f"_cat {kind}, _n long"
+        [(*s, i, int(d)) for i, (s, d) in enumerate(zip(plan.signatures, plan.drawn)) if d > 0],
+        ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, plan.columns)) + ", _sig long, _n long",
     )
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    match = [F.col(c) == F.col(n) for c, n in zip(plan.columns, names)]
     hashed = (
-        crops.where(F.col(category).isNotNull())
-        .withColumn("_h", h)
+        crops.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
         .withColumn("_bucket", F.pmod("_h", F.lit(HASH_BUCKETS)))
-        .join(F.broadcast(wanted), F.col(category) == F.col("_cat"))  # at most MAX_SIGNATURES rows
+        .join(F.broadcast(wanted), match)  # at most MAX_SIGNATURES rows
     )
-    upto = W.partitionBy("_cat").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = W.partitionBy("_sig").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     edges = (
-        hashed.groupBy("_cat", "_n", "_bucket").count()
-        .withColumn("_upto", F.sum("count").over(upto))  # HASH_BUCKETS rows a category
-        .where(F.col("_upto") - F.col("count") < F.col("_n"))
-        .select(F.col("_cat").alias("_ecat"), F.col("_bucket").alias("_ebucket"), (F.col("_n") - F.col("_upto") + F.col("count")).alias("_left"), (F.col("_upto") <= F.col("_n")).alias("_whole"))
+        hashed.groupBy("_sig", "_n", "_bucket").agg(F.count(F.lit(1)).alias("_k"))
+        .withColumn("_upto", F.sum("_k").over(upto))  # HASH_BUCKETS rows a signature
+        .where(F.col("_upto") - F.col("_k") < F.col("_n"))
+        .select(F.col("_sig").alias("_esig"), F.col("_bucket").alias("_ebucket"), (F.col("_n") - F.col("_upto") + F.col("_k")).alias("_left"), (F.col("_upto") <= F.col("_n")).alias("_whole"))
     )
-    inside = hashed.join(edges, (F.col("_cat") == F.col("_ecat")) & (F.col("_bucket") == F.col("_ebucket")))
-    last = W.partitionBy("_cat", "_bucket").orderBy("_h", key)
+    inside = hashed.join(edges, (F.col("_sig") == F.col("_esig")) & (F.col("_bucket") == F.col("_ebucket")))
+    last = W.partitionBy("_sig", "_bucket").orderBy("_h", key)
     keep = inside.where("_whole").unionByName(
         inside.where("not _whole").withColumn("_rank", F.row_number().over(last)).where("_rank <= _left").drop("_rank")
     )
