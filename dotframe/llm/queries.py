@@ -132,8 +132,7 @@ def _name_sql(path: str) -> str:
     return s
 
 
-ORACLES = {
-    "p2_found": f"""
+_P2_PAIRS = f"""
 WITH pt AS ({_PATTERN}), m AS (SELECT DISTINCT crop_id, page_id, cell_idx, split, path, bits6, label_int FROM manifest WHERE page_id IS NOT NULL),
 pg AS (
   SELECT page_id, bool_or(split = 'train') AS tr, bool_or(split IN ('val', 'test')) AS ev, bool_and(bits6 IS NULL AND label_int IS NULL) AS bare, min(path) AS path,
@@ -144,7 +143,29 @@ SELECT DISTINCT least(t.page_id, e.page_id) AS page_id_a, greatest(t.page_id, e.
   ON t.tr AND e.ev AND t.page_id <> e.page_id AND abs(length(t.seq) - length(e.seq)) <= greatest(length(t.seq), length(e.seq)) // 10
 WHERE levenshtein(t.seq, e.seq) <= greatest(length(t.seq), length(e.seq)) // 10
 UNION SELECT least(t.page_id, e.page_id), greatest(t.page_id, e.page_id) FROM nm t JOIN nm e ON t.tr AND e.ev AND t.page_id <> e.page_id AND t.name = e.name AND t.name <> ''
+"""
+
+
+ORACLES = {
+    "p2_report": f"""
+WITH pairs AS ({_P2_PAIRS}),
+pages AS (SELECT page_id, split, min(lower(trim(source))) AS source FROM manifest WHERE page_id IS NOT NULL GROUP BY page_id, split),
+hit AS (SELECT DISTINCT page_id FROM (SELECT page_id_a AS page_id FROM pairs UNION ALL SELECT page_id_b FROM pairs))
+SELECT split, source, count(*) AS n_pages, count(hit.page_id) AS n_overlapping FROM pages LEFT JOIN hit USING (page_id) GROUP BY split, source
+""",
+    "p6_best": """
+WITH RECURSIVE r AS (SELECT * FROM predicted_cells WHERE det_id IS NOT NULL AND shot_id IS NOT NULL AND pred_id IS NOT NULL),
+e AS (SELECT a.pred_id AS a, b.pred_id AS b FROM r a JOIN r b ON a.shot_id = b.shot_id
+      WHERE a.det_id = b.det_id OR (abs(a.cx - b.cx) < greatest(a.w, b.w) / 2 AND abs(a.cy - b.cy) < greatest(a.h, b.h) / 2)),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+g AS (SELECT a AS pred_id, min(b) AS cell FROM c GROUP BY a)
+SELECT any_value(shot_id) AS shot_id, cell, count(*) AS n_records,
+  arg_max(cx, (detected_at, -pred_id)) FILTER (WHERE cx IS NOT NULL) AS cx, arg_max(cy, (detected_at, -pred_id)) FILTER (WHERE cy IS NOT NULL) AS cy,
+  arg_max(conf, (detected_at, -pred_id)) FILTER (WHERE conf BETWEEN 0 AND 1) AS conf,
+  coalesce(arg_max(bits, (detected_at, -pred_id)) FILTER (WHERE regexp_full_match(bits, '[01]{6}') AND bits <> '000000'), CASE WHEN bool_or(bits = '000000') THEN '000000' END) AS bits
+FROM r JOIN g USING (pred_id) GROUP BY cell
 """,
+    "p2_found": _P2_PAIRS,
     "p8_found": r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
