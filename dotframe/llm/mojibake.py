@@ -189,11 +189,13 @@ def own_characters(vocabulary: DataFrame, n_documents: int) -> dict[str, int]:
     return {r[0]: r[1] for r in rows}
 
 
-def substitutions(documents: DataFrame) -> DataFrame:
+def substitutions(documents: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """(token, original, how) of the garbled words of the corpus. ``original``
-    is null where it can't be told."""
+    is null where it can't be told. ``tokens`` are document_tokens, if they
+    are there already."""
     spark = documents.sparkSession
-    vocabulary = staged(document_tokens(documents).groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
+    tokens = document_tokens(documents) if tokens is None else tokens
+    vocabulary = staged(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
     own = own_characters(vocabulary, documents.count())
     own_b = spark.sparkContext.broadcast(own)
 
@@ -277,17 +279,18 @@ def dot_parts() -> list[str]:
     return sorted(out)
 
 
-def affected(documents: DataFrame, subs: DataFrame) -> DataFrame:
+def affected(documents: DataFrame, subs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, words): documents with garbled words, their number,
     and the garbled words with their originals."""
+    tokens = document_tokens(documents) if tokens is None else tokens
     return (
-        document_tokens(documents).join(subs, "token")
+        tokens.join(subs, "token")
         .groupBy("doc_id")
         .agg(F.count(F.lit(1)).alias("n_words"), F.collect_list(F.struct("token", "original")).alias("words"))
     )
 
 
-def restored(documents: DataFrame, subs: DataFrame) -> DataFrame:
+def restored(documents: DataFrame, subs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """(doc_id, text, n_words, n_lost) of the affected documents: garbled
     words replaced by their originals, the rest of the text untouched. n_lost
     words have no known original and stay. Null and empty texts are never
@@ -303,5 +306,5 @@ def restored(documents: DataFrame, subs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(3), batch.column(4)], ["doc_id", "text", "n_words", "n_lost"])
 
     lost = F.size(F.filter("words", lambda w: w["original"].isNull())).cast("long").alias("n_lost")
-    some = documents.select("doc_id", "text").join(affected(documents, subs), "doc_id").select("doc_id", "text", "words", "n_words", lost)
+    some = documents.select("doc_id", "text").join(affected(documents, subs, tokens), "doc_id").select("doc_id", "text", "words", "n_words", lost)
     return some.mapInArrow(run, f"doc_id {dict(some.dtypes)['doc_id']}, text string, n_words long, n_lost long")

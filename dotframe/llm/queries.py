@@ -104,12 +104,14 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return mojibake.affected(docs, mojibake.substitutions(docs)).select("doc_id")
+    tokens = staged(mojibake.document_tokens(docs), "tokens")
+    return mojibake.affected(docs, mojibake.substitutions(docs, tokens), tokens).select("doc_id")
 
 
 def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return mojibake.restored(docs, mojibake.substitutions(docs))
+    tokens = staged(mojibake.document_tokens(docs), "tokens")
+    return mojibake.restored(docs, mojibake.substitutions(docs, tokens), tokens)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_shares, p4_mix, p2_found, p2_overlaps, p2_report, p3_found, p3_pieces, p6_found, p6_best, p7_ids, p7_roundtrip, p8_found, p8_leaks, p9_found, p9_restored)}
