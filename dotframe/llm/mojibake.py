@@ -43,6 +43,10 @@ _OTHER = r"[^\x00-\x7F⠀-⣿​-‍️﻿]"
 _REST = r"[^\x00-\x40\x5B-\x60\x7B-\x7F⠀-⣿​-‍️﻿]"
 _ESCAPES = "(?:&[A-Za-z]{2,8};[A-Za-z]*+)*"
 TOKEN = rf"(?<![A-Za-z])[A-Za-z]*+{_ESCAPES}{_OTHER}{_REST}*+"
+#: ASCII text from a separator to a separator: nothing of it is in a word with
+#: other characters.
+_SEPARATOR = r"[\x00-\x25\x27-\x3A\x3C-\x40\x5B-\x60\x7B-\x7F]"
+ASCII_RUN = rf"{_SEPARATOR}[\x00-\x7F]*{_SEPARATOR}"
 CONTROL = "[\u0080-\u0084\u0086-\u009f]"
 
 
@@ -170,14 +174,15 @@ def document_tokens(documents: DataFrame) -> DataFrame:
     """(doc_id, token): distinct words with other than ASCII characters. A
     no-break blank may be the text's own or a garbled byte: words with one
     count whole and in parts."""
-    tokens = F.expr(f"regexp_extract_all(text, r'{TOKEN}', 0)")
-    parts = F.flatten(F.transform(F.filter(tokens, lambda t: F.contains(t, F.lit("\xa0"))), lambda t: F.split(t, "\xa0")))
+    plain = documents.where("text is not null").select("doc_id", F.regexp_replace("text", ASCII_RUN, " ").alias("_t"))
+    # A step of its own, lest the pattern runs once for each use.
+    found = plain.select("doc_id", F.expr(f"regexp_extract_all(_t, r'{TOKEN}', 0)").alias("_w")).where("size(_w) > 0")
+    parts = F.flatten(F.transform(F.filter("_w", lambda t: F.contains(t, F.lit("\xa0"))), lambda t: F.split(t, "\xa0")))
     other = F.filter(parts, lambda t: t.rlike(r"[^\x00-\x7F]"))
     return (
-        documents.where("text is not null")
-        .select("doc_id", F.explode(F.array_union(tokens, other)).alias("token"))
+        found.select("doc_id", F.explode(F.array_union("_w", other)).alias("token"))
         .where(~F.col("token").rlike("^\xa0*$"))
-    )
+    )
 
 
 def own_characters(vocabulary: DataFrame, n_documents: int) -> dict[str, int]:

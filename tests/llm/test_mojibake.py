@@ -1,4 +1,8 @@
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from dotframe.llm import mojibake
 
@@ -56,9 +60,13 @@ def test_empty(spark):
     assert subs.count() == 0 and mojibake.restored(docs, subs).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab;&é—⠁\xa0Z1 \n.я", "&eacute;", "words and more"]), max_size=25).map("".join))
+def test_ascii_runs_hold_no_word(text):
+    assert re.findall(mojibake.TOKEN, re.sub(mojibake.ASCII_RUN, " ", text)) == re.findall(mojibake.TOKEN, text)
+
+
 def test_token_patterns_agree(spark):
     text = "donâ€™t ma&ccedil;ã ab⠝⠁cdé x1yé &amp; é" + "a" * 2000
     docs = spark.createDataFrame([(1, text)], DOCS)
-    import re
-
     assert {r.token for r in mojibake.document_tokens(docs).collect()} == set(re.findall(mojibake.TOKEN, text))
