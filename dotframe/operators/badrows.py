@@ -13,21 +13,26 @@ from pyspark.sql import functions as F
 INT = r"^[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
-# Format, column number, field, pattern, lowest, highest value
+# What a value of each kind must look like.
+KINDS = {
+    "number": NUMBER, "integer": INT, "dot": "^[01]$", "split": "^(train|val|test)$", "text": "(?s)^.+$", "bits": "^[01]{6}$",
+}
+
+# Format, column number, field, kind, lowest, highest value
 # (row and col take the highest from the file's own headers).
 RULES = [
-    ("cell_csv", 1, "l", NUMBER, 0.0, 1.0),
-    ("cell_csv", 2, "t", NUMBER, 0.0, 1.0),
-    ("cell_csv", 3, "r", NUMBER, 0.0, 1.0),
-    ("cell_csv", 4, "b", NUMBER, 0.0, 1.0),
-    ("cell_csv", 5, "label", INT, 1.0, 63.0),
-    ("grid_txt", 1, "row", INT, 1.0, None),
-    ("grid_txt", 2, "col", INT, 1.0, None),
-    *[("grid_txt", 2 + k, f"d{k}", "^[01]$", None, None) for k in range(1, 7)],
-    ("manifest_csv", 1, "split", "^(train|val|test)$", None, None),
-    ("manifest_csv", 2, "path", "(?s)^.+$", None, None),
-    ("manifest_csv", 3, "bits6", "^[01]{6}$", None, None),
-    ("manifest_csv", 4, "label_int", INT, 1.0, 63.0),
+    ("cell_csv", 1, "l", "number", 0.0, 1.0),
+    ("cell_csv", 2, "t", "number", 0.0, 1.0),
+    ("cell_csv", 3, "r", "number", 0.0, 1.0),
+    ("cell_csv", 4, "b", "number", 0.0, 1.0),
+    ("cell_csv", 5, "label", "integer", 1.0, 63.0),
+    ("grid_txt", 1, "row", "integer", 1.0, None),
+    ("grid_txt", 2, "col", "integer", 1.0, None),
+    *[("grid_txt", 2 + k, f"d{k}", "dot", None, None) for k in range(1, 7)],
+    ("manifest_csv", 1, "split", "split", None, None),
+    ("manifest_csv", 2, "path", "text", None, None),
+    ("manifest_csv", 3, "bits6", "bits", None, None),
+    ("manifest_csv", 4, "label_int", "integer", 1.0, 63.0),
 ]
 WIDTH = {"cell_csv": 5, "grid_txt": 8, "manifest_csv": 4}
 HEADERS = {"cell_csv": 0, "grid_txt": 3, "manifest_csv": 1}
@@ -38,7 +43,7 @@ MARK = "\u0001"
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "fmt string, col_no int, field string, pattern string, lo double, hi double")
+    return spark.createDataFrame(RULES, "fmt string, col_no int, field string, shape string, lo double, hi double")
 
 
 def _by_fmt(of: dict[str, Column]) -> Column:
@@ -99,7 +104,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         F.concat_ws("|", F.lit("?"), F.to_json(F.struct("file_path", "fmt", "line_no", "raw_line"))),
     )
     header = _by_fmt({f: F.coalesce(F.col("line_no") <= n, F.lit(False)) for f, n in HEADERS.items()})
-    segs = F.split("text", '"', -1)
+    segs = F.col("segs")  # a step of its own, lest it is split again for each use
     return (
         lines.select("raw_id", "file_path", "fmt", "line_no", "raw_line")
         .withColumn("key", key)
@@ -108,6 +113,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             "kind",
             F.when(F.col("text").rlike(r"^\s*$"), "blank").when(F.coalesce(header, F.lit(False)), "header").otherwise("data"),
         )
+        .withColumn("segs", F.split("text", '"', -1))
         .withColumn("quoting_ok", F.coalesce(_by_fmt({f: _quoted_ok(segs, s) for f, s in SEPARATOR.items()}), F.lit(True)))
         .withColumn(
             "fields",
@@ -116,7 +122,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                 | {"grid_txt": F.split(F.trim("text", F.lit(BLANKS)), "[ \t]+")}
             ),
         )
-        .drop("text")
+        .drop("text", "segs")
     )
 
 
@@ -158,25 +164,28 @@ def _judged(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("ranged", F.lit(True))
     )
     rest = ruled.where(~(is_grid & F.col("field").isin("row", "col"))).withColumn("ranged", F.col("lo").isNotNull())
-    both = rest.select("key", "fmt", "field", "value", "pattern", "lo", "hi", "ranged").unionByName(
-        bounded.select("key", "fmt", "field", "value", "pattern", "lo", "hi", "ranged")
+    both = rest.select("key", "fmt", "field", "value", "shape", "lo", "hi", "ranged").unionByName(
+        bounded.select("key", "fmt", "field", "value", "shape", "lo", "hi", "ranged")
     )
-    shaped = F.expr("rlike(value, pattern)")
+    shaped = F.lit(False)  # constant patterns are compiled once
+    for shape, pattern in KINDS.items():
+        shaped = F.when(F.col("shape") == shape, F.col("value").rlike(pattern)).otherwise(shaped)
     number = F.expr("try_cast(value as double)")
     valid = shaped & F.when(F.col("ranged"), F.coalesce((number >= F.col("lo")) & (number <= F.col("hi")), F.lit(False))).otherwise(True)
-    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
-    fields = [r[2] for r in RULES]
+    # Numbers only, which hash aggregation takes; texts stay in the line's fields.
+    worth = F.when(F.col("field") == "bits6", F.expr("try_cast(conv(reverse(value), 2, 10) as double)")).otherwise(number)
+    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("worth")))
+    fields = [r[2] for r in RULES if r[2] not in ("split", "path")]
     by_line = (
-        both.withColumn("bad", ~F.coalesce(valid, F.lit(False)))
+        both.withColumn("bad", ~F.coalesce(valid, F.lit(False))).withColumn("worth", worth)
         .groupBy("key", "fmt")
         .agg(F.sum(F.col("bad").cast("int")).alias("n_bad"), *[pick(f).alias(f"v_{f}") for f in fields])
     )
-    num = lambda f: F.expr(f"try_cast(v_{f} as double)")
-    reversed_bits = F.expr("try_cast(conv(reverse(v_bits6), 2, 10) as int)")
+    num = lambda f: F.col(f"v_{f}")
     crossed = _by_fmt(
         {
             "cell_csv": (num("l") < num("r")) & (num("t") < num("b")),
-            "manifest_csv": reversed_bits == F.expr("try_cast(v_label_int as int)"),
+            "manifest_csv": num("bits6") == num("label_int"),
             "grid_txt": F.lit(True),
         }
     )
@@ -214,12 +223,14 @@ def clean_cells(lines: DataFrame) -> DataFrame:
     sized, by_line = _judged(lines)
     ok = sized.where("early is null").join(by_line.where("fails").select("key"), "key", "left_anti")
     typed = by_line.where("not fails").drop("fmt")
+    manifest = F.col("fmt") == "manifest_csv"
     bits = (
-        F.when(F.col("fmt") == "manifest_csv", F.col("v_bits6"))
-        .when(F.col("fmt") == "grid_txt", F.concat(*[F.col(f"v_d{k}") for k in range(1, 7)]))
-        .otherwise(F.expr("reverse(lpad(bin(try_cast(v_label as int)), 6, '0'))"))
+        F.when(manifest, F.try_element_at("fields", F.lit(3)))
+        .when(F.col("fmt") == "grid_txt", F.array_join(F.slice("fields", 3, 6), ""))
+        .otherwise(F.expr("reverse(lpad(bin(cast(v_label as int)), 6, '0'))"))
     )
-    num = lambda f, t: F.expr(f"try_cast(v_{f} as {t})").alias(f)
+    num = lambda f, t: F.col(f"v_{f}").cast(t).alias(f)
+    text = lambda i, f: F.when(manifest, F.try_element_at("fields", F.lit(i))).alias(f)
     return (
         ok.join(typed, "key")
         .withColumn("bits6", bits)
@@ -227,7 +238,7 @@ def clean_cells(lines: DataFrame) -> DataFrame:
             "raw_id", "file_path", "fmt", "line_no",
             num("l", "double"), num("t", "double"), num("r", "double"), num("b", "double"),
             num("row", "int"), num("col", "int"),
-            F.col("v_split").alias("split"), F.col("v_path").alias("path"), "bits6",
+            text(1, "split"), text(2, "path"), "bits6",
             F.expr("cast(conv(reverse(bits6), 2, 10) as int)").alias("label"),
         )
     )
