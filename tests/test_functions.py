@@ -75,6 +75,9 @@ def test_kernels(rng=np.random.default_rng(0)):
     assert kernels.resize(np.full((3, 5, 3), 7.0), 11, 2).shape == (11, 2, 3)
     crop = kernels.classifier_crop(np.zeros((10, 10, 3)), 10, 10, 4, 4)
     assert crop.size == 3 * 64 * 64 and np.isfinite(crop).all()
+    every = [(15 + dx, 20 + dy, kernels.dot_strength(image, 15 + dx, 20 + dy, 20, 30)) for dy in (-4, -2, 0, 2, 4) for dx in (-4, -2, 0, 2, 4)]
+    want = max(every, key=lambda e: e[2].sum())  # max takes the first of equals
+    assert kernels.snap(image, 15, 20, 20, 30) == (*want[:2], want[2].sum(), want[2].max())
     x, y, total, peak = kernels.snap(image, 15, 20, 20, 30)
     assert abs(x - 15) <= 4 and abs(y - 20) <= 4 and total >= kernels.dot_strength(image, 15, 20, 20, 30).sum() - 1e-9 and peak <= total
     out = kernels.letterboxed(np.zeros((100, 300, 3)))
