@@ -1,6 +1,6 @@
 """Documents that hold all or part of held-out passages.
 
-Rare word shingles of the passages are the seeds that find candidate
+All word shingles of the passages are the seeds that find candidate
 documents; a Smith-Waterman alignment of words scores each candidate, edited
 and paraphrased copies too, and gives the longest unbroken run of shared words.
 """
@@ -125,24 +125,6 @@ def corpus_hits(documents: DataFrame, filter_bits: np.ndarray) -> DataFrame:
     return some.mapInArrow(run, "doc_id long, at array<int>, grams array<long>, begins int, passage string")
 
 
-def rare_seeds(shingles: DataFrame, hits: DataFrame) -> DataFrame:
-    """(item_id, gram): of each RUN consecutive words of a passage the shingle
-    that fewest documents hold. A run of RUN shared words holds one."""
-    usual = hits.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    width = RUN - SHINGLE + 1
-    last = shingles.groupBy("item_id").agg(F.max("at").alias("last"))
-    return (
-        shingles.join(usual, "gram")
-        .join(last, "item_id")
-        # windows of `width` shingles that hold this one; a short passage has one
-        .withColumn("window", F.explode(F.expr(f"sequence(greatest(at - {width - 1}, 0), greatest(least(at, last - {width - 1}), 0))")))
-        .groupBy("item_id", "window")
-        .agg(F.min(F.struct("df", "at", "gram")).alias("rare"))
-        .select("item_id", F.col("rare.gram").alias("gram"))
-        .distinct()
-    )
-
-
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     """Smith-Waterman over two word sequences: best score, the place in b
     where that alignment ends, longest run of equal words, words matched by
@@ -190,12 +172,14 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: int = MATCH * RUN
     best alignment ends).
 
     Null, empty and blank texts hold nothing; rows without an id are left out.
-    A document and a passage that share RUN consecutive words are always found
-    (their score is at least MATCH * RUN).
+    Every document and passage that share SHINGLE consecutive words are aligned,
+    however many other documents hold them; those that share RUN are always
+    found (their score is at least MATCH * RUN). A pair without SHINGLE shared
+    words in a row isn't aligned.
     """
     shingles = staged(item_shingles(items), "item-shingles")
     hits = staged(corpus_hits(documents, bloom(shingles, n_bits)), "hits")
-    seeds = rare_seeds(shingles, hits)
+    seeds = shingles.select("item_id", "gram").distinct()
     found = (
         hits.select("doc_id", F.explode(F.array_distinct("grams")).alias("gram"))
         .join(seeds, "gram").select("doc_id", "item_id").distinct()

@@ -45,6 +45,14 @@ def test_edited_copy_is_scored(spark):
     assert got[0].longest_run < 12 and got[0].score > 24 and 5 <= got[0].covered_words < got[0].item_words
 
 
+def test_edited_copy_beside_a_verbatim_one(spark):
+    ws = [f"w{i}" for i in range(16)]
+    edited = " ".join([*ws[:7], "other", *ws[8:]])
+    docs = [(1, " ".join(ws)), (2, f"well {edited} then"), (3, edited), (4, "nothing at all")]
+    got = leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(5, " ".join(ws))], ITEMS)).collect()
+    assert {r.doc_id: (r.score, r.longest_run) for r in got} == {1: (32, 16), 2: (29, 8), 3: (29, 8)}
+
+
 def score_of(a, b):
     """Smith-Waterman, cell by cell."""
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
