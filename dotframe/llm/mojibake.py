@@ -2,13 +2,15 @@
 
 Every distinct clean word of the corpus, and every character of such words, is
 put through all encoding chains. The garbled forms are a table that the
-corpus's own words are hash-joined against; a match is taken if the original
-is the more frequent of the two, and replaces the garbled word.
+corpus's own words are hash-joined against. Which of a matching pair is the
+original is told by the look of the two words, else by the words beside them
+that are told so, else by the number of different texts that hold each.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,8 +33,9 @@ TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac-roman")
 WHOLE_ONLY = ("cp1251", "koi8-r", "iso8859-5", "mac-cyrillic")
 #: A character counts as the corpus's own from this share of its documents on.
 OWN_SHARE = 0.0005
-#: The original must be so many times as frequent as its garbled form; more
-#: for single characters, which many encodings make of each other.
+#: Where nothing else tells, the original must be so many times as frequent as
+#: its garbled form; more for single characters, which many encodings make of
+#: each other.
 RATIO = 2
 SINGLE_RATIO = 20
 LOST = "�"
@@ -113,6 +116,40 @@ def garbled_forms(word: str) -> dict[str, str]:
     return out
 
 
+_ESCAPE = re.compile("&[A-Za-z]{2,8};")
+_BREAKS = re.compile(r"[\s\xa0\xad'’‘“”„‚«»‹›…–—‐‑-]+")
+
+
+def _script(c: str) -> str:
+    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin" if c <= "ɏ" or "Ḁ" <= c <= "ỿ" else "other"
+
+
+def looks(word: str) -> int:
+    """1 of a word as languages write them; 0 of one with signs between its
+    letters, of two scripts, with a capital after a small letter (one of them
+    beyond ASCII) or five or more letters beyond ASCII in a row in Latin
+    script; -1 of less than three letters, which tell nothing."""
+    word = _ESCAPE.sub("e", word)
+    if sum(map(str.isalpha, word)) < 3:
+        return -1
+    for part in _BREAKS.split(word):
+        at = [i for i, c in enumerate(part) if c.isalpha()]
+        core = part[at[0] : at[-1] + 1] if at else ""
+        row = 0
+        for k, c in enumerate(core):
+            if not c.isalpha() and unicodedata.category(c) not in ("Mn", "Cf"):
+                return 0
+            before = core[k - 1] if k else ""
+            if before.islower() and c.isupper() and max(before, c) > "\x7f":
+                return 0
+            row = row + 1 if c > "\x7f" and c.isalpha() and _script(c) == "latin" else 0
+            if row >= 5:
+                return 0
+        if len({_script(c) for c in core if c.isalpha()}) > 1:
+            return 0
+    return 1
+
+
 def _other(kind: str) -> bool:
     return "Ѐ" <= kind <= "ӿ"
 
@@ -171,27 +208,52 @@ class Reader:
 
 
 def document_tokens(documents: DataFrame) -> DataFrame:
-    """(doc_id, token): distinct words with other than ASCII characters. A
-    no-break blank may be the text's own or a garbled byte: words with one
+    """(doc_id, token, text_id): distinct words with other than ASCII
+    characters; copies of a text have the same text_id. A no-break blank may be the text's own or a garbled byte: words with one
     count whole and in parts."""
-    plain = documents.where("text is not null").select("doc_id", F.regexp_replace("text", ASCII_RUN, " ").alias("_t"))
+    plain = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), F.regexp_replace("text", ASCII_RUN, " ").alias("_t"))
     # A step of its own, lest the pattern runs once for each use.
-    found = plain.select("doc_id", F.expr(f"regexp_extract_all(_t, r'{TOKEN}', 0)").alias("_w")).where("size(_w) > 0")
+    found = plain.select("doc_id", "text_id", F.expr(f"regexp_extract_all(_t, r'{TOKEN}', 0)").alias("_w")).where("size(_w) > 0")
     parts = F.flatten(F.transform(F.filter("_w", lambda t: F.contains(t, F.lit("\xa0"))), lambda t: F.split(t, "\xa0")))
     other = F.filter(parts, lambda t: t.rlike(r"[^\x00-\x7F]"))
     return (
-        found.select("doc_id", F.explode(F.array_union("_w", other)).alias("token"))
+        found.select("doc_id", F.explode(F.array_union("_w", other)).alias("token"), "text_id")
         .where(~F.col("token").rlike("^\xa0*$"))
     )
 
 
-def own_characters(vocabulary: DataFrame, n_documents: int) -> dict[str, int]:
+def own_characters(vocabulary: DataFrame, n_documents: int) -> tuple[dict[str, int], dict[str, int]]:
     """Characters in at least OWN_SHARE of the documents, at most as many as
-    Unicode has, with their weights."""
-    chars = vocabulary.where("length(token) <= 40").select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "df")
+    Unicode has, with their weights in documents and in different texts."""
+    chars = vocabulary.where("length(token) <= 40").select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "df", "nt")
     least = max(2, int(OWN_SHARE * n_documents))
-    rows = chars.where("c <> ''").groupBy("c").agg(F.sum("df").alias("n")).where(F.col("n") >= least).collect()
-    return {r[0]: r[1] for r in rows}
+    rows = chars.where("c <> ''").groupBy("c").agg(F.sum("df").alias("n"), F.sum("nt").alias("nt")).where(F.col("n") >= least).collect()
+    return {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+
+
+def _directed(matched: DataFrame, judged: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Of the matched pairs (read, df, nt, look; original, n, n_texts,
+    original_look, how) those in which ``original`` is the original. The look
+    of the words tells, if it differs. Else the words of the texts that hold
+    ``read`` tell, if most of these texts have ones that are told by their look
+    under the same chain. Else the original is in RATIO times as many texts,
+    or in RATIO times as many documents and no fewer texts."""
+    sign = F.expr("case when original_look = 1 and look = 0 then 1 when original_look = 0 and look = 1 then -1 else 0 end")
+    signed = staged(matched.withColumn("sign", sign).withColumn("chain", F.regexp_replace("how", " part$", "")), "matched")
+    places = judged.select("token", "read").join(tokens.select("text_id", "token"), "token").select("text_id", "read").distinct()
+    told = (
+        signed.where("sign <> 0").groupBy("read", "chain").agg(F.max("sign").alias("sign"))
+        .join(places, "read").groupBy("text_id", "chain").agg(F.sum("sign").alias("sum")).where("sum <> 0")
+    )
+    beside = (
+        signed.where("sign = 0").select("read", "chain").distinct().join(places, "read").join(told, ["text_id", "chain"])
+        .groupBy("read", "chain").agg(F.count_if(F.col("sum") > 0).alias("pro"), F.count_if(F.col("sum") < 0).alias("con"))
+    )
+    ratio = F.when(F.length("read") == 1, SINGLE_RATIO).otherwise(RATIO)
+    often = (F.col("n_texts") >= ratio * F.col("nt")) | (F.col("n") >= ratio * F.col("df")) & (F.col("n_texts") >= F.col("nt"))
+    by_words = F.when(F.col("pro") * 2 > F.col("nt"), True).when(F.col("con") * 2 > F.col("nt"), False).otherwise(often)
+    by_words = F.when(F.length("read") == 1, often).otherwise(by_words)
+    return signed.join(beside, ["read", "chain"], "left").where(F.when(F.col("sign") != 0, F.col("sign") > 0).otherwise(by_words))
 
 
 def substitutions(documents: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -200,8 +262,9 @@ def substitutions(documents: DataFrame, tokens: DataFrame | None = None) -> Data
     are there already."""
     spark = documents.sparkSession
     tokens = document_tokens(documents) if tokens is None else tokens
-    vocabulary = staged(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
-    own = own_characters(vocabulary, documents.count())
+    by_text = tokens.groupBy("token", "text_id").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = staged(by_text.groupBy("token").agg(F.sum("df").alias("df"), F.count(F.lit(1)).alias("nt")), "vocabulary")
+    own, own_texts = own_characters(vocabulary, documents.count())
     own_b = spark.sparkContext.broadcast(own)
 
     # Sequences as frequent as the character they would stand for are no garbling.
@@ -209,14 +272,17 @@ def substitutions(documents: DataFrame, tokens: DataFrame | None = None) -> Data
         reader = Reader(own_b.value)
         for batch in batches:
             n: dict[str, int] = defaultdict(int)
-            for token, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            nt: dict[str, int] = defaultdict(int)
+            for token, df, texts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for s in set(reader.found(token)):
                     n[s] += df
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["s", "n"])
+                    nt[s] += texts
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(list(nt.values()), pa.int64())], ["s", "n", "nt"])
 
-    counts = vocabulary.mapInArrow(seen, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    counts = vocabulary.mapInArrow(seen, "s string, n long, nt long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("nt").alias("nt")).collect()
     table = sequences(own)
-    drop = spark.sparkContext.broadcast(frozenset(r[0] for r in counts if r[1] * RATIO > own[table[r[0]]]))
+    usual = frozenset(r[0] for r in counts if r[1] * RATIO > own[table[r[0]]] and r[2] * RATIO > own_texts[table[r[0]]])
+    drop = spark.sparkContext.broadcast(usual)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(own_b.value, drop.value)
@@ -226,37 +292,38 @@ def substitutions(documents: DataFrame, tokens: DataFrame | None = None) -> Data
             read = [reader.restore(t) for t in tokens]
             hard = [LOST in t or bool(control.search(t)) for t in tokens]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(read, pa.string()), pa.array(hard, pa.bool_())], ["token", "df", "read", "hard"]
+                [*batch.columns, pa.array(read, pa.string()), pa.array(hard, pa.bool_()), pa.array(list(map(looks, read)), pa.int32())], ["token", "df", "nt", "read", "hard", "look"]
             )
 
-    judged = staged(vocabulary.mapInArrow(judge, "token string, df long, read string, hard boolean"), "judged")
-    clean = judged.where("not hard and read = token and length(token) <= 64").select("token", "df")
+    judged = staged(vocabulary.mapInArrow(judge, "token string, df long, nt long, read string, hard boolean, look int"), "judged")
+    clean = judged.where("not hard and read = token").select("token", "df", "nt", "look")
+
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g, w, n, how = [], [], [], []
-            for token, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if df < RATIO:
-                    continue
+            at, g, how = [], [], []
+            for i, token in enumerate(batch.column(0).to_pylist()):
                 f = garbled_forms(token)
                 g += f.keys()
                 how += f.values()
-                w += [token] * len(f)
-                n += [df] * len(f)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(how, pa.string())], ["form", "original", "n", "how"])
+                at += [i] * len(f)
+            of = [c.take(pa.array(at, pa.int64())) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), *of, pa.array(how, pa.string())], ["form", "original", "n", "n_texts", "original_look", "how"])
 
     table = clean.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(
-        forms, "form string, original string, n long, how string"
+        forms, "form string, original string, n long, n_texts long, original_look int, how string"
     )
     # What words read as after their sequences are undone is looked up.
-    ratio = F.when(F.length("read") == 1, SINGLE_RATIO).otherwise(RATIO)
     # A lost character alone can be any, and a single letter of another script
     # is a word of its own, not garbled punctuation.
     letter = F.col("read").rlike(f"^{LOST}+$") | (F.length("read") == 1) & F.col("read").rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & ~F.col("original").rlike(r"\p{L}")
+    matched = (
+        judged.groupBy("read").agg(F.sum("df").alias("df"), F.sum("nt").alias("nt"), F.first("look").alias("look"))
+        .join(table, F.col("read") == F.col("form")).drop("form")
+        .where((F.col("original") != F.col("read")) & ~letter)
+    )
     by_word = (
-        judged.groupBy("read").agg(F.sum("df").alias("df"))
-        .join(table, F.col("read") == F.col("form"))
-        .where((F.col("n") >= ratio * F.col("df")) & (F.col("original") != F.col("read")) & ~letter)
-        .groupBy("read").agg(F.max_by(F.struct("original", "how"), F.struct("n", "original")).alias("best"))
+        _directed(matched, judged, tokens)
+        .groupBy("read").agg(F.max_by(F.struct("original", "how"), F.struct("sign", "n_texts", "n", "original")).alias("best"))
     )
     dots = F.col("token").isin(*dot_parts()) if any("⠀" <= c <= "⣿" for c in dot_cells(documents)) else F.lit(False)
     whole = F.expr("if(best.how not like '% part', best.original, null)")

@@ -54,6 +54,27 @@ def test_lost_characters_and_copies(result):
     assert rows[20_006].text == "only grüne here" and sum(r.doc_id == 20_006 for r in result[1]) == 2
 
 
+def test_many_copies_of_a_garbled_document(spark):
+    polish, russian = CLEAN[2], CLEAN[3]
+    clean = [(i, f"{t} {i}") for i, t in enumerate([polish, russian] * 3)]
+    garbled = [(100 + i, garble(polish, "cp1250", "cp1252")) for i in range(20)] + [(200 + i, garble(russian, "cp1251", "latin-1")) for i in range(20)]
+    docs = spark.createDataFrame(clean + garbled, DOCS)
+    subs = mojibake.substitutions(docs).cache()
+    assert {r.doc_id: r.text for r in mojibake.restored(docs, subs).collect()} == {i: polish if i < 200 else russian for i, _ in garbled}
+    assert {r.doc_id for r in mojibake.affected(docs, subs).collect()} == {i for i, _ in garbled}
+
+
+def test_a_word_of_one_text_and_a_long_one(spark):
+    long = "ż" + "abcdefgh" * 10 + "ółta"
+    docs = spark.createDataFrame([(1, f"{long} łódka"), (2, garble(f"{long} łódka", "cp1250", "cp1252"))], DOCS)
+    assert [(r.doc_id, r.text) for r in mojibake.restored(docs, mojibake.substitutions(docs)).collect()] == [(2, f"{long} łódka")]
+
+
+def test_looks():
+    assert all(mojibake.looks(w) == 1 for t in CLEAN for w in re.findall(mojibake.TOKEN, t) if sum(map(str.isalpha, w)) > 2)
+    assert not any(mojibake.looks(w) for w in ("M³ynarz", "Ïðîâåðüòå", "оПНБЕПЭРЕ", "seÒora", "абвabc")) and mojibake.looks("°C") == -1
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     subs = mojibake.substitutions(docs)
