@@ -160,6 +160,21 @@ def resized(patches: DataFrame, key: str, out_h: int, out_w: int) -> DataFrame:
     return patches.select(key, "image").mapInPandas(run, schema)
 
 
+def normalised(patches: DataFrame, key: str) -> DataFrame:
+    """(key, channel, y, x, value) of grey patches as the classifier takes
+    them: grey in all three channels, planar and standardised."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for k, im in zip(pdf[key], _images(pdf)):
+                out = planar(np.repeat(im[:, :, None], 3, axis=2), standardise=True)
+                channel, y, x = (a.ravel() for a in np.indices(out.shape))
+                yield pd.DataFrame({key: k, "channel": channel, "y": y, "x": x, "value": out.ravel()})
+
+    schema = T.StructType().add(patches.schema[key]).add("channel", "integer").add("y", "integer").add("x", "integer").add("value", "double")
+    return patches.select(key, "image").mapInPandas(run, schema)
+
+
 def dot_threshold(signals: DataFrame, by: str) -> DataFrame:
     """Per group: 25th percentile of the strengths of present dots, at least
     5, and 20 without any. ``present`` tells the dots."""

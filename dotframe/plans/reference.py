@@ -1072,6 +1072,14 @@ def bilinear_resize(s, d):
 
 @query("SELECT vec_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round((v/255 - 0.485e0)/0.229e0, 6) AS value FROM px WHERE y % 8 = x % 8")
 def chw_norm(s, d):
-    # the diagonal pixels of each block, first channel
-    px = fx.patches(s, d).select("vec_id", F.posexplode("image").alias("y", "row")).select("vec_id", "y", F.posexplode("row").alias("x", "v"))
-    return px.where("y % 8 = x % 8").select("vec_id", "y", "x", F.round((c("v") / 255 - 0.485) / 0.229, 6).alias("value"))
+    # only a sample for its SQL: the diagonal pixels of each block, first channel; chw_planar has all
+    px = kernels.normalised(fx.patches(s, d), "vec_id").where("channel = 0 and y % 8 = x % 8")
+    return px.select("vec_id", "y", "x", F.round("value", 6).alias("value"))
+
+
+@query(
+    """SELECT vec_id, CAST(c AS INT) AS channel, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round((v/255 - mean)/dev, 6) AS value
+FROM px, (VALUES (0, 0.485e0, 0.229e0), (1, 0.456e0, 0.224e0), (2, 0.406e0, 0.225e0)) z(c, mean, dev)"""
+)
+def chw_planar(s, d):
+    return kernels.normalised(fx.patches(s, d), "vec_id").withColumn("value", F.round("value", 6))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dotframe.functions import encode, geom, text
 from dotframe.operators import dataset, evalm, kernels, recover, translate
+from dotframe.plans import catalog
 
 CODES = {"111001": 0x2827, "111000": 0x2807, "110100": 0x280B, "111101": 0x282F, "000000": 0x2800, "100000": 0x2801, "000001": 0x2820, "111111": 0x283F}
 
@@ -85,6 +86,16 @@ def test_kernels(rng=np.random.default_rng(0)):
     assert kernels.planar(np.full((2, 2, 3), 255.0)).max() == 1 and kernels.contrast(np.full((2, 2, 3), 9.0), 3.0).max() == 9
 
 
+def test_planar_query_has_every_pixel_and_channel(spark, tmp_path):
+    vectors = [(i, i, [float(v) for v in np.linspace(-1, 1 - i / 4, 64)]) for i in range(3)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["chw_planar"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 3 * 3 * 32 * 32 and len(got.drop_duplicates(["vec_id", "channel", "y", "x"])) == len(got)
+    for r in got[got.index % 97 == 0].itertuples():
+        grey = np.floor((float(np.float32(vectors[r.vec_id][2][r.y // 4 * 8 + r.x // 4]) + np.float32(1))) * 127.5)
+        assert abs(r.value - (grey / 255 - kernels.CHANNEL_MEAN[r.channel]) / kernels.CHANNEL_STD[r.channel]) < 1e-5
+
+
 def test_seeded_split_is_stable():
     names = [f"n{i:02d}" for i in range(20)]
     got = dataset.seeded_split(names)
