@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from dotframe.functions.text import strip_orphans
 
@@ -51,6 +52,30 @@ def _deletes(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one(word), F.flatten(F.transform(one(word), one))))
 
 
+#: Words that a dictionary of general language lacks.
+DOMAIN = (
+    "skiing", "leashes", "vibrotactile", "tactile", "slope", "slopes", "strap", "straps", "system", "systems", "function", "functions",
+    "signal", "signals", "skier", "skiers", "retractable",
+)
+#: The dictionary's share of all words of the texts, each counted as often as
+#: it occurs.
+COVERED = 0.999
+
+
+def dictionary(words: DataFrame, covered: float = COVERED) -> DataFrame:
+    """(word, freq): the most frequent words, with those as frequent as the
+    last, that make up ``covered`` of the texts, and the domain words. A share,
+    so it's no smaller a part of the job as the texts grow."""
+    classes = words.groupBy("freq").agg((F.count(F.lit(1)) * F.col("freq")).alias("n"))
+    # a row for each different frequency
+    above = F.coalesce(F.sum("n").over(W.orderBy(F.desc("freq")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    least = classes.withColumn("above", above).withColumn("total", F.sum("n").over(W.partitionBy())).where(F.col("above") < F.col("total") * covered).agg(F.min("freq").alias("least"))
+    domain = words.sparkSession.createDataFrame([(w, 0) for w in DOMAIN], "word string, freq long")
+    usual = words.crossJoin(F.broadcast(least)).where("freq >= least").select("word", "freq")
+    rare = words.join(F.broadcast(domain.select("word")), "word", "left_semi").select("word", "freq")
+    return usual.unionByName(rare).unionByName(domain).groupBy("word").agg(F.max("freq").alias("freq"))
+
+
 def corrections(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, correction): the dictionary word (word, freq) within two edits
     of each unknown one, by distance, then frequency, then alphabet. Words

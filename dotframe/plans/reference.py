@@ -13,6 +13,7 @@ from dotframe.functions import text as names
 from dotframe.operators import dataset, evalm, gridfill, kernels, layout, recover, sinks, suppress, translate
 from dotframe.plans import fixtures as fx
 from dotframe.plans.fixtures import PRE, label_sql
+from dotframe.session import staged
 from dotframe.sources import annotations as ann
 from dotframe.sources.tables import table
 
@@ -1021,6 +1022,33 @@ def spell_correct(s, d):
     return translate.corrections(u, w.where("freq >= 50"))
 
 
+# The three above are what their SQL describes: words of ASCII texts, and
+# dictionaries by absolute counts. The three below do the whole job.
+
+
+def _all_words(s, d):
+    docs = table(s, d, "documents").where("text is not null").where(names.english(c("lang")))
+    return docs.select(F.explode(names.whole_candidates(c("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
+@query()
+def spell_candidates_all(s, d):
+    return _all_words(s, d)
+
+
+@query()
+def word_lookup_all(s, d):
+    w = staged(_all_words(s, d), "words")
+    return w.select("word").join(translate.dictionary(w).select("word"), "word", "left_anti")
+
+
+@query()
+def spell_correct_all(s, d):
+    w = staged(_all_words(s, d), "words")
+    known = staged(translate.dictionary(w), "dictionary")
+    return translate.corrections(w.join(known.select("word"), "word", "left_anti"), known)
+
+
 # Pixels --------------------------------------------------------------------
 
 

@@ -96,6 +96,27 @@ def test_planar_query_has_every_pixel_and_channel(spark, tmp_path):
         assert abs(r.value - (grey / 255 - kernels.CHANNEL_MEAN[r.channel]) / kernels.CHANNEL_STD[r.channel]) < 1e-5
 
 
+@pytest.mark.parametrize("times", [1, 60])
+def test_spelling_takes_all_texts_at_any_size(spark, tmp_path, times):
+    rows = [("the curly “margin” holds", "en"), ("margin of a naïvelywritten marginé", " EN "), ("margin with no language", None), ("margins ⠝⠁ here", "en-GB"), ("lumiere", "fr"), (None, "en")] * times
+    rows += [("margin " * 500, "en")] * times + [("marginx quaffed", "en")] * (times // 60 or 1)
+    spark.createDataFrame(rows, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda q: {tuple(r) for r in catalog.queries()[q](spark, str(tmp_path)).collect()}
+    words = dict(got("spell_candidates_all"))
+    assert words == {"margin": 503 * times, "margins": times, "language": times, "marginx": 1, "quaffed": 1}
+    # 'margin' makes up 99 % of the texts and more
+    known = translate.dictionary(spark.createDataFrame(list(words.items()), "word string, freq long"), 0.99)
+    assert {r.word for r in known.collect()} == {"margin", *translate.DOMAIN}
+
+
+def test_every_unknown_word_is_corrected(spark, tmp_path):
+    text = "language margin " * 30_000 + "languagx tactyle signal qwertyuiop"
+    spark.createDataFrame([(text, "EN")], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda q: {tuple(r) for r in catalog.queries()[q](spark, str(tmp_path)).collect()}
+    assert got("word_lookup_all") == {("languagx",), ("tactyle",), ("qwertyuiop",)}
+    assert got("spell_correct_all") == {("languagx", "language"), ("tactyle", "tactile")}
+
+
 def test_seeded_split_is_stable():
     names = [f"n{i:02d}" for i in range(20)]
     got = dataset.seeded_split(names)
