@@ -20,6 +20,13 @@ HASH_BUCKETS = 8192
 #: Relative weight at times 0, 1/2 and 1 by source; others are level.
 DEFAULT_CURRICULUM: dict[str, tuple[float, float, float]] = {}
 
+#: The schedules of the registered mix: rendered and even pages first, then
+#: the large photographed sets, the rough ones last.
+PRODUCTION_CURRICULUM: dict[str, tuple[float, float, float]] = {
+    "synth_render": (3.0, 1.0, 0.0), "school_sheets": (2.0, 1.0, 0.5), "dsbi": (1.5, 1.0, 0.5), "angelina": (0.5, 1.0, 1.5),
+    "press_archive": (0.5, 1.5, 1.0), "braille_natural": (0.0, 1.0, 2.0), "field_notes": (0.0, 1.0, 3.0), "museum_labels": (0.0, 0.5, 2.0),
+}
+
 
 def norm_source(c: str | Column) -> Column:
     """Compared without case and surrounding blanks; empty counts as missing."""
@@ -49,7 +56,7 @@ def demand(crops: DataFrame, targets: DataFrame) -> DataFrame:
     but at most max_repeats times what there is) and whether that falls short.
     Sources not in targets supply nothing; repeated rows of one source add up.
     """
-    have = crops.groupBy("source").agg(F.sum("size").alias("available"), F.count(F.lit(1)).alias("n_crops"))
+    have = crops.groupBy("source").agg(F.sum("size").alias("available"), F.count(F.lit(1)).alias("n_crops"), F.max("size").alias("largest"))
     total = have.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
     want = (
         targets.groupBy(norm_source("source").alias("source"))
@@ -57,7 +64,7 @@ def demand(crops: DataFrame, targets: DataFrame) -> DataFrame:
         .where("source is not null")
     )
     return (
-        want.join(have, "source", "left").fillna(0, ["available", "n_crops"])
+        want.join(have, "source", "left").fillna(0, ["available", "n_crops", "largest"])
         .withColumn("total", total.scalar())
         .withColumn("wanted", F.expr("target_pct * total / 100.0e0"))
         .withColumn("short", F.expr("target_pct * total > 100 * max_repeats * available"))
@@ -150,10 +157,18 @@ def ordered(mixed: DataFrame) -> DataFrame:
 
 def shares(crops: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFrame:
     """Per source: its target, bytes there are, wanted and mixed, the share of
-    the total it was to supply that was reached, and ``short``."""
-    got = mixed.groupBy("source").agg(F.sum("size").alias("mixed_bytes"), F.count(F.lit(1)).alias("mixed_rows"), (F.max("copy") + 1).alias("passes"))
+    the total it was to supply that was reached, the bytes placed in the first
+    half of the training time, ``short`` (by the sums, as in ``demand``) and
+    ``fell_short``: the bytes placed are fewer than wanted, and either every
+    record has all its repeats or more is missing than the largest record, so
+    that the caps of paths keep it from its target."""
+    half = F.coalesce(F.sum(F.when(F.col("position") < 0.5, F.col("size"))), F.lit(0)).alias("first_half_bytes")
+    got = mixed.groupBy("source").agg(F.sum("size").alias("mixed_bytes"), F.count(F.lit(1)).alias("mixed_rows"), (F.max("copy") + 1).alias("passes"), half)
+    missing = F.col("target_pct") * F.col("total") - 100 * F.col("mixed_bytes")
+    used_up = F.col("mixed_bytes") >= F.col("max_repeats") * F.col("available")
     return (
-        demand(crops, targets).join(got, "source", "left").fillna(0, ["mixed_bytes", "mixed_rows", "passes"])
+        demand(crops, targets).join(got, "source", "left").fillna(0, ["mixed_bytes", "mixed_rows", "passes", "first_half_bytes"])
+        .withColumn("fell_short", (missing > 0) & (used_up | (missing > 100 * F.col("largest"))))
         .withColumn("reached_pct", F.when(F.col("total") > 0, F.round(F.expr("100 * mixed_bytes / total"), 6)).otherwise(0.0))
-        .select("source", "target_pct", "max_repeats", "available", "wanted", "mixed_bytes", "mixed_rows", "passes", "reached_pct", "short")
+        .select("source", "target_pct", "max_repeats", "available", "wanted", "mixed_bytes", "mixed_rows", "passes", "first_half_bytes", "reached_pct", "short", "fell_short")
     )

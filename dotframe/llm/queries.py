@@ -35,7 +35,7 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_shares(spark: SparkSession, sf: str) -> DataFrame:
     crops, targets = _sized(spark, sf), table(spark, sf, "mix_targets")
-    return mixing.shares(crops, targets, mixing.mix(crops, targets))
+    return mixing.shares(crops, targets, mixing.mix(crops, targets, mixing.PRODUCTION_CURRICULUM))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.ordered(mixing.mix(_sized(spark, sf), table(spark, sf, "mix_targets")))
+    return mixing.ordered(mixing.mix(_sized(spark, sf), table(spark, sf, "mix_targets"), mixing.PRODUCTION_CURRICULUM))
 
 
 def p2_overlaps(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dotframe.llm import mixing
+from dotframe.llm import mixing, queries
 
 MANIFEST = "crop_id long, page_id long, cell_idx int, source string, split string, path string, bits6 string, label_int int, n_bytes long"
 TARGETS = "source string, target_pct int, max_repeats int"
@@ -34,6 +34,26 @@ def test_curriculum_moves_a_source(spark, crops):
     assert mixed.where("source = 'small'").agg(F.min("position")).first()[0] > 0.5
 
 
+def test_registered_mix_follows_its_schedules(spark, tmp_path):
+    manifest = [(i, i % 50, i, s, "train", f"p{i}", None, None, 100) for i, s in enumerate(["synth_render", "dsbi", "field_notes", "museum_labels"] * 500)]
+    spark.createDataFrame(manifest, MANIFEST).write.parquet(f"{tmp_path}/manifest.parquet")
+    spark.createDataFrame([(1, "dsbi")], "page_id long, source string").write.parquet(f"{tmp_path}/page_images.parquet")
+    spark.createDataFrame([("synth_render", 20, 1), ("dsbi", 20, 1), ("field_notes", 40, 1)], TARGETS).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    half = {r.source: r.n for r in queries.p4_mix(spark, str(tmp_path)).groupBy("source").agg(F.avg((F.col("position") < 0.5).cast("int")).alias("n")).collect()}
+    for source, share in half.items():
+        a, b, c = mixing.PRODUCTION_CURRICULUM[source]
+        assert abs(share - (a + b) / (a + 2 * b + c)) < 0.01
+    got = {r.source: r for r in queries.p4_shares(spark, str(tmp_path)).collect()}
+    assert got["field_notes"].fell_short and not got["dsbi"].fell_short and got["synth_render"].first_half_bytes > 0.75 * got["synth_render"].mixed_bytes
+
+
+def test_short_by_the_bytes_placed(spark):
+    crops = spark.createDataFrame([(i, "same" if i < 90 else f"p{i}", 10, "a") for i in range(100)], "crop_id long, path string, size long, source string")
+    t = spark.createDataFrame([("a", 90, 2)], TARGETS)
+    got = mixing.shares(crops, t, mixing.mix(crops, t)).first()
+    assert got.mixed_bytes <= 2 * 11 * 10 < got.wanted and got.fell_short and not got.short
+
+
 @pytest.mark.parametrize("w", [(1.0, 1.0, 1.0), (0.0, 1.0, 0.0), (2.0, 1.0, 0.0), (0.0, 0.0, 3.0), (3.0, 0.5, 1.5)])
 def test_inverse_of_the_integral(spark, w):
     df = spark.range(0, 101).select((F.col("id") / 100).alias("u"))
