@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +75,17 @@ def seeded_split(names: list[str], seed: int = PARAMS.split_seed, share: float =
     random.Random(seed).shuffle(order)
     n = max(1, round(len(order) * share))
     return {x: "val" if i < n else "test" if i < 2 * n else "train" for i, x in enumerate(order)}
+
+
+def image_splits(images: DataFrame) -> DataFrame:
+    """(page_id, source, path, split) of page images: the different paths of a
+    source by ``seeded_split``. Sources are compared without case and
+    surrounding blanks, unknown ones make one source; images without a path
+    are left out. A task holds the paths of a source."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(split=pdf["path"].map(seeded_split(list(pdf["path"].unique()))))
+
+    source = F.lower(F.trim("source"))
+    some = images.where("path is not null").select("page_id", F.when(source != "", source).alias("source"), "path")
+    return some.groupBy("source").applyInPandas(run, some.withColumn("split", F.lit("")).schema)

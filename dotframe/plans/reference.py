@@ -843,6 +843,12 @@ def split_permutation(s, d):
     return found.join(s.createDataFrame(list(_SPLIT.items()), "source string, split string"), "source")
 
 
+@query()
+def image_splits(s, d):
+    # split_permutation only permutes the names of the sources; this permutes the images of each
+    return dataset.image_splits(table(s, d, "page_images"))
+
+
 @query("SELECT path, regexp_replace(replace(path, '/', '_'), '\\.[^.]*$', '') AS stem FROM page_images WHERE path IS NOT NULL", pre=False)
 def unique_stem(s, d):
     return table(s, d, "page_images").where("path is not null").select("path", names.flat_stem(c("path")).alias("stem"))

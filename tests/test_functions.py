@@ -124,6 +124,17 @@ def test_seeded_split_is_stable():
     assert sorted(got.values()).count("val") == sorted(got.values()).count("test") == 3
 
 
+def test_every_page_image_has_a_split(spark, tmp_path):
+    rows = [(i, f"{s}/{i:03d}.png", s) for i, s in enumerate(["dsbi", "new_source"] * 20)]
+    rows += [(100, "dsbi/000.png", " DSBI "), (101, "x.png", None), (102, None, "dsbi")]
+    spark.createDataFrame(rows, "page_id long, path string, source string").write.parquet(f"{tmp_path}/page_images.parquet")
+    got = catalog.queries()["image_splits"](spark, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in got) == [*range(40), 100, 101]
+    for source in ("dsbi", "new_source"):
+        want = dataset.seeded_split([p for _, p, s in rows[:40] if s == source])
+        assert {r.path: r.split for r in got if r.source == source} == want and set(want.values()) == {"val", "test", "train"}
+
+
 def test_scores_without_cells(spark):
     df = spark.createDataFrame([(0, 0, 0, 0), (2, 4, 1, 1)], "n_gt long, n_pred long, tp long, class_ok long")
     got = evalm.scores(df).orderBy("n_gt").collect()
