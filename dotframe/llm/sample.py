@@ -9,6 +9,7 @@ and the final counts are materialised by each signature's smallest hashes.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,7 +94,8 @@ def swap_repair(
     pair and number that lower the sum of squared deviations from the targets
     most, until no exchange lowers it. Categories with target 0 give before
     all others and take after them. Floors are never undercut. Of more than
-    PAIRS signatures those with the largest and smallest deviations are paired.
+    PAIRS signatures those with the largest and smallest deviations are paired
+    first, and where none of these lowers the sum, all others, block by block.
     """
     available, target = available.astype(np.int64), target.astype(np.int64)
     sig = np.arange(len(available))[:, None] if signatures is None else signatures
@@ -116,22 +118,35 @@ def swap_repair(
         pull = 2 * over[sig].sum(axis=1)
         gives = np.flatnonzero((drawn > 0) & ((slack[sig] > 0).all(axis=1) if sig.shape[1] == 1 else True))
         takes = np.flatnonzero(drawn < available)
-        gives = gives[np.argsort(-pull[gives], kind="stable")][:PAIRS]
-        takes = takes[np.argsort(pull[takes], kind="stable")][:PAIRS]
-        if not len(gives) or not len(takes):
+        gives = gives[np.argsort(-pull[gives], kind="stable")]
+        takes = takes[np.argsort(pull[takes], kind="stable")]
+        for a, b in _blocks(len(gives), len(takes)):
+            if pull[gives[a]] <= pull[takes[b]]:
+                continue  # nor does any pair of the block gain
+            g, t = gives[a : a + PAIRS], takes[b : b + PAIRS]
+            differ = sig[g][:, None, :] != sig[t][None, :, :]
+            change = 2 * differ.sum(axis=2)
+            spare = np.where(differ, slack[sig[g]][:, None, :], np.iinfo(np.int64).max).min(axis=2)
+            fall = pull[g][:, None] - pull[t][None, :]
+            n = np.maximum(1, fall // np.maximum(2 * change, 1))
+            n = np.minimum(np.minimum(n, spare), np.minimum(drawn[g][:, None], (available - drawn)[t][None, :]))
+            gain = np.where((fall > change) & (change > 0) & (n > 0), n * (fall - n * change).astype(float), 0.0)
+            i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[i, j] > 0:
+                drawn[g[i]] -= n[i, j]
+                drawn[t[j]] += n[i, j]
+                break
+        else:
             return drawn
-        differ = sig[gives][:, None, :] != sig[takes][None, :, :]
-        change = 2 * differ.sum(axis=2)
-        spare = np.where(differ, slack[sig[gives]][:, None, :], np.iinfo(np.int64).max).min(axis=2)
-        fall = pull[gives][:, None] - pull[takes][None, :]
-        n = np.maximum(1, fall // np.maximum(2 * change, 1))
-        n = np.minimum(np.minimum(n, spare), np.minimum(drawn[gives][:, None], (available - drawn)[takes][None, :]))
-        gain = np.where((fall > change) & (change > 0) & (n > 0), n * (fall - n * change).astype(float), 0.0)
-        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
-        if gain[i, j] <= 0:
-            return drawn
-        drawn[gives[i]] -= n[i, j]
-        drawn[takes[j]] += n[i, j]
+
+
+def _blocks(n: int, m: int) -> Iterator[tuple[int, int]]:
+    """Where blocks of PAIRS by PAIRS of n givers and m takers begin, the
+    largest deviations first."""
+    rows, cols = -(-n // PAIRS), -(-m // PAIRS)
+    for k in range(rows + cols - 1 if rows and cols else 0):
+        for i in range(max(0, k - cols + 1), min(k + 1, rows)):
+            yield i * PAIRS, (k - i) * PAIRS
 
 
 def _counts(crops: DataFrame, columns: list[str]) -> dict[tuple, int]:
@@ -158,7 +173,10 @@ def plan_sample(crops: DataFrame, targets: dict[str, DataFrame], divisor: int =
     wanted = {}
     for c, t in targets.items():
         rows = t.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum(F.coalesce("target_bp", F.lit(0))), F.max(F.coalesce("min_rows", F.lit(0))))
-        wanted[c] = {r[0]: (max(r[1] * size // 10_000, r[2]), r[2]) for r in rows.limit(MAX_SIGNATURES).collect()}
+        named = rows.limit(MAX_SIGNATURES + 1).collect()
+        if len(named) > MAX_SIGNATURES:
+            raise ValueError(f"more than {MAX_SIGNATURES} targets of {c}")
+        wanted[c] = {r[0]: (max(r[1] * size // 10_000, r[2]), r[2]) for r in named}
     signatures = sorted(have)
     index = {k: i for i, k in enumerate((c, v) for at, c in enumerate(columns) for v in sorted({*wanted[c], *(s[at] for s in signatures)}))}
     goal = np.array([wanted[c].get(v, (0, 0)) for c, v in index], dtype=np.int64).reshape(-1, 2)

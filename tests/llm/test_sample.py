@@ -84,6 +84,37 @@ def test_two_columns_no_single_exchange_helps(have, goals, size):
                 assert cost(other) >= cost(out) or (count(other) < least).any()
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_pairs_beyond_the_first_block(monkeypatch, seed):
+    monkeypatch.setattr(sample, "PAIRS", 2)
+    rng = np.random.default_rng(seed)
+    sig = np.array([(a, 4 + b) for a in range(4) for b in range(4)])
+    have, want, floor = rng.integers(0, 9, 16), rng.integers(0, 12, 8), rng.integers(0, 4, 8)
+    out = sample.swap_repair(have, want, floor, int(have.sum() // 2), seed, sig)
+    count = lambda x: np.bincount(sig.ravel(), np.repeat(x, 2), minlength=8)
+    least = np.minimum(np.minimum(floor, count(have)), count(out))
+    weight = np.where(want > 0, 0, int(have.sum()) + 1)
+    cost = lambda x: ((count(x) - want) ** 2 + weight * count(x)).sum()
+    for i in range(16):
+        for j in range(16):
+            if i != j and out[i] > 0 and out[j] < have[j]:
+                other = out.copy()
+                other[i] -= 1
+                other[j] += 1
+                assert (count(other) < least).any() or cost(other) >= cost(out)
+
+
+def test_blocks_hold_every_pair(monkeypatch):
+    monkeypatch.setattr(sample, "PAIRS", 2)
+    assert sorted(sample._blocks(5, 3)) == [(a, b) for a in (0, 2, 4) for b in (0, 2)] and not list(sample._blocks(0, 3))
+
+
+def test_too_many_targets(spark, crops, monkeypatch):
+    monkeypatch.setattr(sample, "MAX_SIGNATURES", 10)
+    with pytest.raises(ValueError, match="targets"):
+        sample.plan_sample(crops, {"label_int": targets(spark, [(i, 10, 0) for i in range(11)])})
+
+
 def test_two_columns(spark):
     rows = [(i, i % 2, "x" if i % 5 else "y") for i in range(2000)]
     crops = spark.createDataFrame(rows, "crop_id long, a int, b string")
