@@ -4,7 +4,7 @@ Records of one shot show one cell if they share a det_id or lie close to each
 other; groups are closed under this. The surviving record is chosen field by
 field by currency: transitions between values of timestamped records of the
 same cell teach which values come later, records without a time take their
-place by that precedence, and the topologically latest known value wins.
+place by ranks learned from that precedence, and the latest known value wins.
 """
 
 from __future__ import annotations
@@ -177,8 +177,8 @@ def precedence(grouped: DataFrame) -> DataFrame:
     """(stage, rank): how late a value of ``stage`` comes, learned from all
     cells with two or more timestamped records. u precedes v if records of one
     cell go from u to v more often than back; the rank of v is the number of
-    values that precede it less those it precedes, a topological order where
-    the learned precedence has no cycles."""
+    values that precede it less those it precedes. That is no topological order,
+    and stages that nothing compares get ranks all the same."""
     by_time = W.partitionBy("cell").orderBy("detected_at", "pred_id")
     moves = (
         grouped.where("n_records > 1 and detected_at is not null")
