@@ -1,8 +1,9 @@
 """Separating annotation lines that fail to parse from typed valid cells.
 
 Parsed lines are exploded into (line, column, value); a rule table says what
-each column of each format must hold; violations are aggregated to the first
-reason per line; the clean side is the anti-join of the lines with those.
+each column of each format must hold, and what it must be to another column of
+its line; only violations are shuffled, aggregated to the first reason per
+line; the clean side is the anti-join of the lines with those.
 """
 
 from __future__ import annotations
@@ -18,32 +19,32 @@ KINDS = {
     "number": NUMBER, "integer": INT, "dot": "^[01]$", "split": "^(train|val|test)$", "text": "(?s)^.+$", "bits": "^[01]{6}$",
 }
 
-# Format, column number, field, kind, lowest, highest value
-# (row and col take the highest from the file's own headers).
+# Format, column number, field, kind, lowest, highest value (row
+# and col take the highest from the file's own headers), the column it is held
+# against, and what it must be to it.
 RULES = [
-    ("cell_csv", 1, "l", "number", 0.0, 1.0),
-    ("cell_csv", 2, "t", "number", 0.0, 1.0),
-    ("cell_csv", 3, "r", "number", 0.0, 1.0),
-    ("cell_csv", 4, "b", "number", 0.0, 1.0),
-    ("cell_csv", 5, "label", "integer", 1.0, 63.0),
-    ("grid_txt", 1, "row", "integer", 1.0, None),
-    ("grid_txt", 2, "col", "integer", 1.0, None),
-    *[("grid_txt", 2 + k, f"d{k}", "dot", None, None) for k in range(1, 7)],
-    ("manifest_csv", 1, "split", "split", None, None),
-    ("manifest_csv", 2, "path", "text", None, None),
-    ("manifest_csv", 3, "bits6", "bits", None, None),
-    ("manifest_csv", 4, "label_int", "integer", 1.0, 63.0),
+    ("cell_csv", 1, "l", "number", 0.0, 1.0, 3, "less"),
+    ("cell_csv", 2, "t", "number", 0.0, 1.0, 4, "less"),
+    ("cell_csv", 3, "r", "number", 0.0, 1.0, None, None),
+    ("cell_csv", 4, "b", "number", 0.0, 1.0, None, None),
+    ("cell_csv", 5, "label", "integer", 1.0, 63.0, None, None),
+    ("grid_txt", 1, "row", "integer", 1.0, None, None, None),
+    ("grid_txt", 2, "col", "integer", 1.0, None, None, None),
+    *[("grid_txt", 2 + k, f"d{k}", "dot", None, None, None, None) for k in range(1, 7)],
+    ("manifest_csv", 1, "split", "split", None, None, None, None),
+    ("manifest_csv", 2, "path", "text", None, None, None, None),
+    ("manifest_csv", 3, "bits6", "bits", None, None, 4, "pattern"),
+    ("manifest_csv", 4, "label_int", "integer", 1.0, 63.0, None, None),
 ]
 WIDTH = {"cell_csv": 5, "grid_txt": 8, "manifest_csv": 4}
 HEADERS = {"cell_csv": 0, "grid_txt": 3, "manifest_csv": 1}
 SEPARATOR = {"cell_csv": ";", "manifest_csv": ","}
-REASONS = ("format", "quoting", "column_count", "value")
 BLANKS = " \t"
 MARK = "\u0001"
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "fmt string, col_no int, field string, shape string, lo double, hi double")
+    return spark.createDataFrame(RULES, "fmt string, col_no int, field string, shape string, lo double, hi double, other int, relation string")
 
 
 def _by_fmt(of: dict[str, Column]) -> Column:
@@ -93,16 +94,19 @@ def _csv_fields(segs: Column, sep: str) -> Column:
     return F.transform(F.split(F.array_join(F.transform(segs, mask), ""), sep, -1), unmask)
 
 
+def _partners(fields: Column, fmt: str) -> Column:
+    """The value each of a line's fields is held against, null without."""
+    other = {n: o for f, n, *_, o, _ in RULES if f == fmt and o}
+    return F.array(*[F.try_element_at(fields, F.lit(other[i])) if i in other else F.lit(None).cast("string") for i in range(1, WIDTH[fmt] + 1)])
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds ``key``, ``kind`` (blank, header or data), ``quoting_ok`` and
-    ``fields`` to each raw line; needs fmt, line_no, raw_line, file_path and
-    raw_id."""
+    """Adds ``key`` (what tells lines without a raw_id apart), ``kind`` (blank,
+    header or data), ``quoting_ok`` and ``fields`` to each raw line; needs fmt,
+    line_no, raw_line, file_path and raw_id."""
     text = F.regexp_replace(F.coalesce("raw_line", F.lit("")), r"\r\z", "")
     text = F.when(F.col("line_no") == 1, F.regexp_replace(text, r"\A﻿", "")).otherwise(text)
-    key = F.coalesce(
-        F.col("raw_id").cast("string"),
-        F.concat_ws("|", F.lit("?"), F.to_json(F.struct("file_path", "fmt", "line_no", "raw_line"))),
-    )
+    key = F.when(F.col("raw_id").isNull(), F.to_json(F.struct("file_path", "fmt", "line_no", "raw_line")))
     header = _by_fmt({f: F.coalesce(F.col("line_no") <= n, F.lit(False)) for f, n in HEADERS.items()})
     segs = F.col("segs")  # a step of its own, lest it is split again for each use
     return (
@@ -126,71 +130,60 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def grid_sizes(parsed: DataFrame) -> DataFrame:
+def _data(lines: DataFrame) -> DataFrame:
+    """Data lines with ``early``: the reason not to look at their fields."""
+    width = _by_fmt({f: F.size("fields") == n for f, n in WIDTH.items()})
+    known = F.coalesce(F.col("fmt").isin(*WIDTH), F.lit(False))
+    early = F.when(~known, "format").when(~F.col("quoting_ok"), "quoting").when(~width, "column_count")
+    return parse_lines(lines).where("kind = 'data'").withColumn("early", early)
+
+
+def grid_sizes(lines: DataFrame) -> DataFrame:
     """Numbers of columns (two header numbers each) and rows (three each) of
     each grid file, from its own header lines."""
     count = F.size("fields")
     return (
-        parsed.where((F.col("fmt") == "grid_txt") & (F.col("kind") == "header") & F.col("line_no").isin(2, 3))
+        parse_lines(lines.where((F.col("fmt") == "grid_txt") & F.col("line_no").isin(2, 3))).where("kind = 'header'")
         .groupBy("file_path")
         .agg(
             F.max(F.when(F.col("line_no") == 2, F.floor(count / 2))).alias("n_cols"),
             F.max(F.when(F.col("line_no") == 3, F.floor(count / 3))).alias("n_rows"),
         )
-    )
+    )
+
 
+LINE = ["raw_id", "key", "file_path", "fmt", "line_no", "raw_line"]
 
-def _judged(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(data lines, per line the violations and typed values)."""
+
+def _violations(lines: DataFrame) -> DataFrame:
+    """(line, col_no, reason): cells that break a rule, and lines that fail
+    before their cells are looked at, at col_no 0."""
     spark = lines.sparkSession
-    parsed = parse_lines(lines)
-    data = parsed.where("kind = 'data'")
-    width = _by_fmt({f: F.size("fields") == n for f, n in WIDTH.items()})
-    known = F.coalesce(F.col("fmt").isin(*WIDTH), F.lit(False))
-    sized = data.withColumn(
-        "early",
-        F.when(~known, "format").when(~F.col("quoting_ok"), "quoting").when(~width, "column_count"),
-    )
-    cells = sized.where("early is null").select(
-        "key", "fmt", "file_path", F.posexplode("fields").alias("at", "value")
-    ).withColumn("col_no", F.col("at") + 1)
-    ruled = cells.join(F.broadcast(rule_table(spark)), ["fmt", "col_no"])  # 17 rules, always
-    sizes = grid_sizes(parsed)
-    is_grid = F.col("fmt") == "grid_txt"
-    bounded = (
-        ruled.where(is_grid & F.col("field").isin("row", "col"))
-        .join(sizes, "file_path", "left")
-        .withColumn("hi", F.when(F.col("field") == "row", F.col("n_rows")).otherwise(F.col("n_cols")).cast("double"))
-        .withColumn("ranged", F.lit(True))
-    )
-    rest = ruled.where(~(is_grid & F.col("field").isin("row", "col"))).withColumn("ranged", F.col("lo").isNotNull())
-    both = rest.select("key", "fmt", "field", "value", "shape", "lo", "hi", "ranged").unionByName(
-        bounded.select("key", "fmt", "field", "value", "shape", "lo", "hi", "ranged")
-    )
+    whole = F.arrays_zip(F.col("fields").alias("value"), _by_fmt({f: _partners(F.col("fields"), f) for f in WIDTH}).alias("partner"))
+    none = F.lit(None).cast("string")
+    cell = F.when(F.col("early").isNull(), whole).otherwise(F.array(F.struct(none.alias("value"), none.alias("partner"))))
+    cells = _data(lines).select(*LINE, "early", F.posexplode(cell).alias("at", "cell")).select(
+        *LINE, "early", "cell.value", "cell.partner", F.when(F.col("early").isNull(), F.col("at") + 1).otherwise(0).alias("col_no")
+    )
+    ruled = cells.join(F.broadcast(rule_table(spark)), ["fmt", "col_no"], "left")  # as many rows as RULES
     shaped = F.lit(False)  # constant patterns are compiled once
     for shape, pattern in KINDS.items():
         shaped = F.when(F.col("shape") == shape, F.col("value").rlike(pattern)).otherwise(shaped)
-    number = F.expr("try_cast(value as double)")
-    valid = shaped & F.when(F.col("ranged"), F.coalesce((number >= F.col("lo")) & (number <= F.col("hi")), F.lit(False))).otherwise(True)
-    # Numbers only, which hash aggregation takes; texts stay in the line's fields.
-    worth = F.when(F.col("field") == "bits6", F.expr("try_cast(conv(reverse(value), 2, 10) as double)")).otherwise(number)
-    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("worth")))
-    fields = [r[2] for r in RULES if r[2] not in ("split", "path")]
-    by_line = (
-        both.withColumn("bad", ~F.coalesce(valid, F.lit(False))).withColumn("worth", worth)
-        .groupBy("key", "fmt")
-        .agg(F.sum(F.col("bad").cast("int")).alias("n_bad"), *[pick(f).alias(f"v_{f}") for f in fields])
-    )
-    num = lambda f: F.col(f"v_{f}")
-    crossed = _by_fmt(
-        {
-            "cell_csv": (num("l") < num("r")) & (num("t") < num("b")),
-            "manifest_csv": num("bits6") == num("label_int"),
-            "grid_txt": F.lit(True),
-        }
-    )
-    by_line = by_line.withColumn("fails", (F.col("n_bad") > 0) | ~F.coalesce(crossed, F.lit(False)))
-    return sized, by_line
+    number, partner = F.expr("try_cast(value as double)"), F.expr("try_cast(partner as double)")
+    ranged = F.col("lo").isNull() | ((number >= F.col("lo")) & (F.col("hi").isNull() | (number <= F.col("hi"))))
+    pattern = F.expr("try_cast(conv(reverse(value), 2, 10) as double)")
+    related = F.col("relation").isNull() | F.when(F.col("relation") == "less", number < partner).otherwise(pattern == partner)
+    valid = F.coalesce(shaped & ranged & related, F.lit(False))
+    broken = ruled.where(F.col("early").isNotNull() | ~valid).select(*LINE, "col_no", F.coalesce("early", F.lit("value")).alias("reason"))
+    # Places that a grid file's own headers lack.
+    places = F.array(*[F.struct(F.lit(i).alias("col_no"), F.try_element_at("fields", F.lit(i)).alias("value")) for i in (1, 2)])
+    placed = (
+        _data(lines.where("fmt = 'grid_txt'")).where("early is null").select(*LINE, F.explode(places).alias("p")).select(*LINE, "p.*")
+        .where(F.col("value").rlike(INT)).withColumn("number", number).where("number >= 1")
+        .join(grid_sizes(lines), "file_path", "left")
+        .where(~F.coalesce(F.col("number") <= F.when(F.col("col_no") == 1, F.col("n_rows")).otherwise(F.col("n_cols")), F.lit(False)))
+    )
+    return broken.unionByName(placed.select(*LINE, "col_no", F.lit("value").alias("reason")))
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
@@ -203,16 +196,11 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
     raw_id are told apart by their place and text, and equal ones all count.
     An empty table gives an empty result.
     """
-    sized, by_line = _judged(lines)
-    early = sized.where("early is not null").select(
-        "raw_id", "file_path", "fmt", "line_no", "raw_line", F.col("early").alias("reason")
-    )
-    late = (
-        sized.where("early is null")
-        .join(by_line.where("fails").select("key"), "key", "left_semi")
-        .select("raw_id", "file_path", "fmt", "line_no", "raw_line", F.lit("value").alias("reason"))
-    )
-    return early.unionByName(late)
+    # Equal lines break equal rules, so each broken one tells how many there are.
+    n = [F.count_if(F.col("col_no") == i).alias(f"n{i}") for i in range(max(WIDTH.values()) + 1)]
+    by_line = _violations(lines).groupBy(*LINE).agg(F.min("reason").alias("reason"), *n)  # a line's violations share their reason
+    copies = F.greatest(*[f"n{i}" for i in range(len(n))]).cast("int")
+    return by_line.select("raw_id", "file_path", "fmt", "line_no", "raw_line", "reason", F.explode(F.array_repeat(F.lit(0), copies)).alias("_c")).drop("_c")
 
 
 def clean_cells(lines: DataFrame) -> DataFrame:
@@ -220,25 +208,19 @@ def clean_cells(lines: DataFrame) -> DataFrame:
     row, col, bits of grid_txt; split, path, bits and label of manifest_csv.
     Columns a format lacks are null, except bits and label, which follow from
     each other."""
-    sized, by_line = _judged(lines)
-    ok = sized.where("early is null").join(by_line.where("fails").select("key"), "key", "left_anti")
-    typed = by_line.where("not fails").drop("fmt")
-    manifest = F.col("fmt") == "manifest_csv"
-    bits = (
-        F.when(manifest, F.try_element_at("fields", F.lit(3)))
-        .when(F.col("fmt") == "grid_txt", F.array_join(F.slice("fields", 3, 6), ""))
-        .otherwise(F.expr("reverse(lpad(bin(cast(v_label as int)), 6, '0'))"))
-    )
-    num = lambda f, t: F.col(f"v_{f}").cast(t).alias(f)
-    text = lambda i, f: F.when(manifest, F.try_element_at("fields", F.lit(i))).alias(f)
-    return (
-        ok.join(typed, "key")
-        .withColumn("bits6", bits)
-        .select(
-            "raw_id", "file_path", "fmt", "line_no",
-            num("l", "double"), num("t", "double"), num("r", "double"), num("b", "double"),
-            num("row", "int"), num("col", "int"),
-            text(1, "split"), text(2, "path"), "bits6",
-            F.expr("cast(conv(reverse(bits6), 2, 10) as int)").alias("label"),
-        )
+    bad = _violations(lines).select(F.col("raw_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = F.col("raw_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))
+    ok = _data(lines).where("early is null").join(bad, same, "left_anti")
+    of = lambda fmt, i: F.when(F.col("fmt") == fmt, F.try_element_at("fields", F.lit(i)))
+    label = lambda fmt, i: of(fmt, i).cast("double").cast("int")
+    bits = F.coalesce(
+        of("manifest_csv", 3), F.when(F.col("fmt") == "grid_txt", F.array_join(F.slice("fields", 3, 6), "")),
+        F.reverse(F.lpad(F.bin(label("cell_csv", 5)), 6, "0")),
+    )
+    return ok.withColumn("bits6", bits).select(
+        "raw_id", "file_path", "fmt", "line_no",
+        *[of("cell_csv", i).cast("double").alias(k) for i, k in enumerate("ltrb", 1)],
+        *[of("grid_txt", i).cast("double").cast("int").alias(k) for i, k in enumerate(("row", "col"), 1)],
+        of("manifest_csv", 1).alias("split"), of("manifest_csv", 2).alias("path"), "bits6",
+        F.expr("cast(conv(reverse(bits6), 2, 10) as int)").alias("label"),
     )
