@@ -2,9 +2,10 @@
 
 Records of one shot show one cell if they share a det_id or lie close to each
 other; groups are closed under this. The surviving record is chosen field by
-field by currency: transitions between values of timestamped records of the
-same cell teach which values come later, records without a time take their
-place by ranks learned from that precedence, and the latest known value wins.
+field by currency: transitions between the stages (detector and whether it was
+a rescue) of timestamped records of the same cell teach which stage comes
+before which; that precedence, closed under transitivity, orders the records of
+each group in part, and the value that is topologically latest wins.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from dotframe.session import staged
 
 #: Records of a shot that one task takes.
 SHOT_ROWS = 200_000
+#: Records of a cell that a block of its pairs holds on one side.
+PAIR_BLOCK = 1024
 
 
 def _find(parent: np.ndarray, edges_a: np.ndarray, edges_b: np.ndarray) -> np.ndarray:
@@ -165,73 +168,119 @@ def grouped_records(records: DataFrame, *extra: str, most: int = SHOT_ROWS) -> D
     return in_task(some.join(large, "shot_id", "left_anti").select(*some.columns)).unionByName(joined)
 
 
-def pairs(records: DataFrame, most: int = SHOT_ROWS) -> DataFrame:
-    """Every two records of one cell: (pred_id_a, pred_id_b), smaller first."""
-    member = grouped_records(records, most=most).where("n_records > 1").select("cell", "pred_id")
-    member = staged(member, "members")
-    a, b = (member.select("cell", F.col("pred_id").alias(f"pred_id_{x}")) for x in "ab")
-    return a.join(b, "cell").where("pred_id_a < pred_id_b").select("pred_id_a", "pred_id_b")
+def _cells(records: DataFrame, most: int) -> DataFrame:
+    """grouped_records with what currency needs, written once."""
+    stage = F.concat_ws("|", F.coalesce("detector", F.lit("?")), F.coalesce(F.col("rescued").cast("string"), F.lit("?")))
+    return staged(grouped_records(records.withColumn("stage", stage), "conf", "bits", "detected_at", "stage", most=most), "cells")
+
+
+def pairs(records: DataFrame, most: int = SHOT_ROWS, block: int = PAIR_BLOCK) -> DataFrame:
+    """Every two records of one cell: (pred_id_a, pred_id_b), smaller first.
+    The cells are those that the representatives stand for. A cell of many
+    records is paired in blocks of about ``block``, in as many tasks."""
+    grouped = _cells(records, most)
+    kept = staged(best_of_cells(grouped), "representatives").where("n_records > 1").select("cell", "n_records")
+    member = grouped.where("n_records > 1").select("cell", "pred_id").join(kept, "cell")
+    member = staged(member.withColumn("blocks", F.expr(f"cast(ceil(n_records / {block}) as int)")).drop("n_records"), "members")
+    a = member.select("cell", F.pmod(F.xxhash64("pred_id"), F.col("blocks")).cast("int").alias("block"), F.col("pred_id").alias("pred_id_a"))
+    b = member.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pred_id").alias("pred_id_b"))
+    return a.join(b, ["cell", "block"]).where("pred_id_a < pred_id_b").select("pred_id_a", "pred_id_b")
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(u, v) for every path from u to v: paths are doubled until none is new,
+    so a path of n edges takes about log2(n) rounds."""
+    reach = staged(edges.select("u", "v").distinct(), "reach")
+    n = reach.count()
+    while True:
+        further = reach.select("u", F.col("v").alias("mid")).join(reach.select(F.col("u").alias("mid"), "v"), "mid").select("u", "v")
+        reach = staged(reach.union(further).distinct(), "reach")
+        was, n = n, reach.count()
+        if n == was:
+            return reach
 
 
 def precedence(grouped: DataFrame) -> DataFrame:
-    """(stage, rank): how late a value of ``stage`` comes, learned from all
-    cells with two or more timestamped records. u precedes v if records of one
-    cell go from u to v more often than back; the rank of v is the number of
-    values that precede it less those it precedes. That is no topological order,
-    and stages that nothing compares get ranks all the same."""
+    """(stage, later): the stages that come after a stage, learned from all
+    cells with two or more timestamped records. u comes before v if records of
+    one cell go from u to v more often than back, or if a path of such steps
+    leads from u to v and none back: stages on a cycle are not ordered among
+    each other. There are at most as many rows as stages."""
     by_time = W.partitionBy("cell").orderBy("detected_at", "pred_id")
     moves = (
         grouped.where("n_records > 1 and detected_at is not null")
-        .withColumn("before", F.lag("stage").over(by_time))
-        .where("before <> stage")
-        .groupBy("before", "stage").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("u", F.lag("stage").over(by_time))
+        .where("u <> stage")
+        .groupBy("u", F.col("stage").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     )
-    net = moves.select(F.col("before").alias("u"), F.col("stage").alias("v"), "n").unionByName(
-        moves.select(F.col("stage").alias("u"), F.col("before").alias("v"), (-F.col("n")).alias("n"))
-    )
-    won = net.groupBy("u", "v").agg(F.sum("n").alias("n"))
-    return won.groupBy(F.col("v").alias("stage")).agg(F.sum(F.signum(F.col("n"))).cast("int").alias("rank"))
+    moves = staged(moves, "moves")
+    back = moves.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("n").alias("n_back"))
+    reach = closure(moves.join(back, ["u", "v"], "left").where("n > coalesce(n_back, 0)"))
+    after = reach.join(reach.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
+    return after.groupBy(F.col("u").alias("stage")).agg(F.collect_set("v").alias("later"))
 
 
-def representatives(records: DataFrame) -> DataFrame:
-    """One row per cell: shot_id, cell, n_records and the latest known cx, cy,
-    conf and bits, each from the record that currency puts last.
-
-    Known: a finite number (conf within 0..1), or six dots as 0 and 1;
-    000000 counts only where no other pattern is known. Of timestamped records
-    the latest comes last, and of the others that of the highest learned rank;
-    of these two, the one without a time wins only if its stage (detector and
-    rescued) is learned to come after. Ties go to the smaller pred_id. A field
-    nobody knows is null.
-    """
-    grouped = grouped_records(
-        records.withColumn("stage", F.concat_ws("|", F.coalesce("detector", F.lit("?")), F.coalesce(F.col("rescued").cast("string"), F.lit("?")))),
-        "conf", "bits", "detected_at", "stage",
-    )
-    grouped = staged(grouped, "cells")
-    ranked = grouped.join(precedence(grouped), "stage", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+def _known() -> dict:
+    """The fields' values where they are known."""
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
     shaped = F.when(F.col("bits").rlike(r"\A[01]{6}\z"), F.col("bits"))
-    values = {
-        "cx": finite("cx"), "cy": finite("cy"),
-        "conf": F.when(F.col("conf").between(0, 1), F.col("conf")),
+    return {
+        "cx": finite("cx"), "cy": finite("cy"), "conf": F.when(F.col("conf").between(0, 1), F.col("conf")),
         "bits": F.when(shaped != "000000", shaped), "blank": F.when(shaped == "000000", shaped),
     }
-    timed = F.col("detected_at").isNotNull()
+
+
+def best_of_cells(grouped: DataFrame) -> DataFrame:
+    """One row per cell of ``grouped``: see ``representatives``."""
+    order = staged(precedence(grouped), "precedence")
+    fields = _known()
+    alone = grouped.where("n_records = 1").select("shot_id", "cell", "n_records", *[v.alias(k) for k, v in fields.items()])
+    timed, id_ = F.col("detected_at").isNotNull(), (-F.col("pred_id")).alias("id")
     aggs = []
-    for name, value in values.items():
-        known = F.struct(value.alias("value"), F.col("rank").alias("rank"))
-        order = F.struct("detected_at", "rank", (-F.col("pred_id")).alias("id"))
-        aggs.append(F.max_by(known, F.when(value.isNotNull() & timed, order)).alias(f"t_{name}"))
-        order = F.struct("rank", (-F.col("pred_id")).alias("id"))
-        aggs.append(F.max_by(known, F.when(value.isNotNull() & ~timed, order)).alias(f"u_{name}"))
-    best = ranked.groupBy("cell").agg(F.min("shot_id").alias("shot_id"), F.count(F.lit(1)).alias("n_records"), *aggs)
-
-    def chosen(name: str):
-        t, u = F.col(f"t_{name}"), F.col(f"u_{name}")
-        return F.when(t.isNull() | (u["rank"] > t["rank"]), u["value"]).otherwise(t["value"])
-
-    return best.select(
-        "shot_id", "cell", "n_records", *[chosen(c).alias(c) for c in ("cx", "cy", "conf")],
-        F.coalesce(chosen("bits"), chosen("blank")).alias("bits"),
+    for name, value in fields.items():
+        seen = value.isNotNull()
+        aggs.append(F.max(F.when(seen & timed, F.struct("detected_at", id_, value.alias("value")))).alias(f"t_{name}"))
+        aggs.append(F.max(F.when(seen & ~timed, F.struct(id_, value.alias("value")))).alias(f"u_{name}"))
+    # A row a stage first, so that a cell gathers stages and not records.
+    by_stage = grouped.where("n_records > 1").groupBy("cell", "stage").agg(F.min("shot_id").alias("shot_id"), F.count(F.lit(1)).alias("n"), *aggs)
+    none = F.expr("cast(array() as array<string>)")
+    kept = ["stage", "later", *(f"{x}_{k}" for k in fields for x in "tu")]
+    by_cell = (
+        by_stage.join(order, "stage", "left").withColumn("later", F.coalesce("later", none))
+        .groupBy("cell").agg(F.min("shot_id").alias("shot_id"), F.sum("n").alias("n_records"), F.collect_list(F.struct(*kept)).alias("s"))
     )
+    latest = lambda k: F.array_max(
+        F.transform(
+            F.filter("s", lambda x: x[f"t_{k}"].isNotNull()),
+            lambda x: F.struct(x[f"t_{k}"]["detected_at"].alias("at"), x[f"t_{k}"]["id"].alias("id"), x[f"t_{k}"]["value"].alias("value"), x["later"].alias("later")),
+        )
+    )
+    by_cell = by_cell.withColumns({f"t_{k}": latest(k) for k in fields})
+    after = lambda k: F.filter(
+        "s", lambda x: x[f"u_{k}"].isNotNull() & (F.col(f"t_{k}").isNull() | F.array_contains(F.col(f"t_{k}.later"), x["stage"]))
+    )
+    by_cell = by_cell.withColumns({f"u_{k}": after(k) for k in fields})
+
+    def chosen(k: str):
+        top = F.filter(f"u_{k}", lambda x: ~F.exists(f"u_{k}", lambda y: F.array_contains(x["later"], y["stage"])))
+        return F.coalesce(F.array_max(F.transform(top, lambda x: x[f"u_{k}"]))["value"], F.col(f"t_{k}.value")).alias(k)
+
+    several = by_cell.select("shot_id", "cell", "n_records", *[chosen(k) for k in fields])
+    return alone.unionByName(several).withColumn("bits", F.coalesce("bits", "blank")).drop("blank")
+
+
+def representatives(records: DataFrame, most: int = SHOT_ROWS) -> DataFrame:
+    """One row per cell: shot_id, cell, n_records and the latest known cx, cy,
+    conf and bits.
+
+    Known: a finite number (conf within 0..1), or six dots as 0 and 1;
+    000000 counts only where no other pattern is known. Timestamped records of
+    a cell are ordered by their time (ties: the smaller pred_id is later). One
+    without a time is later than another if its stage is learned to come after
+    the other's. Of those that are later than the latest timestamped one, or of
+    all where none has a time, the value wins that comes before no other; of
+    several such the one of the smaller pred_id. A record without a time whose
+    stage isn't comparable gives way to one with a time. A field nobody knows
+    is null.
+    """
+    return best_of_cells(_cells(records, most))

@@ -118,6 +118,76 @@ def test_untimed_records_follow_learned_precedence(spark):
     assert got[3] == "100000"
 
 
+def moves(*steps, shot=90, start=1000):
+    """Timestamped records that teach the given steps, a cell each."""
+    out = []
+    for k, (u, v) in enumerate(steps):
+        out += [row(start + 2 * k, det=k, shot=shot, cx=50.0 * k, detector=u, t=at(0)), row(start + 2 * k + 1, det=k, shot=shot, cx=50.0 * k, detector=v, t=at(1))]
+    return out
+
+
+def test_order_is_topological(spark):
+    # a before b, c before b, b before d: wins less losses would put b and d level
+    rows = moves(("a", "b"), ("c", "b"), ("b", "d"))
+    rows += [row(1, detector="b", bits="100000", t=at(50)), row(2, detector="d", bits="010000")]
+    rows += [row(3, shot=2, detector="a", bits="100000", t=at(50)), row(4, shot=2, detector="d", bits="010000")]  # by way of b
+    rows += [row(5, shot=3, detector="a", bits="100000", t=at(50)), row(6, shot=3, detector="c", bits="010000")]  # not comparable
+    rows += [row(7, shot=4, detector="a", bits="100000"), row(8, shot=4, detector="d", bits="010000"), row(9, shot=4, detector="b", bits="001000")]
+    rows += [row(10, shot=5, detector="c", bits="100000"), row(11, shot=5, detector="a", bits="010000")]  # neither: the smaller id
+    got = {r.cell: r.bits for r in rep.representatives(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k] for k in (1, 3, 5, 7, 10)] == ["010000", "010000", "100000", "010000", "100000"]
+
+
+def test_cycles_order_nothing_within(spark):
+    rows = moves(("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"))
+    rows += [row(1, detector="a", bits="100000", t=at(50)), row(2, detector="b", bits="010000")]
+    rows += [row(3, shot=2, detector="b", bits="100000", t=at(50)), row(4, shot=2, detector="d", bits="010000")]
+    got = {r.cell: r.bits for r in rep.representatives(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == "100000" and got[3] == "010000"
+
+
+def reaches(edges):
+    out = set(edges)
+    while more := {(a, d) for a, b in out for c, d in out if b == c} - out:
+        out |= more
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_untimed_as_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    steps = [tuple(rng.choice(list("abcdef"), 2, replace=False)) for _ in range(7)]
+    rows = moves(*steps)
+    for i in range(60):
+        t = at(int(rng.integers(100, 110))) if rng.random() < 0.4 else None
+        rows.append(row(i, shot=i % 15, detector=str(rng.choice(list("abcdef"))), cx=float(i), w=200.0, conf=None if rng.random() < 0.3 else i / 100, t=t))
+    count = {}
+    by_cell = {}
+    for r in rows:
+        by_cell.setdefault((r[2], r[3]), []).append(r)
+    for group in by_cell.values():
+        seq = sorted((r for r in group if r[13]), key=lambda r: (r[13], r[0]))
+        for u, v in zip(seq, seq[1:]):
+            if u[12] != v[12]:
+                count[u[12], v[12]] = count.get((u[12], v[12]), 0) + 1
+    reach = reaches({e for e, n in count.items() if n > count.get(e[::-1], 0)})
+    before = {(u, v) for u, v in reach if (v, u) not in reach}
+    got = {r.cell: r.conf for r in rep.representatives(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for group in by_cell.values():
+        some = [r for r in group if r[8] is not None]
+        top = max((r for r in some if r[13]), key=lambda r: (r[13], -r[0]), default=None)
+        late = [r for r in some if not r[13] and (top is None or (top[12], r[12]) in before)]
+        late = [r for r in late if not any((r[12], o[12]) in before for o in late)]
+        best = min(late, key=lambda r: r[0], default=top)
+        assert got[min(r[0] for r in group)] == (best[8] if best else None)
+
+
+def test_pairs_of_a_hot_cell_in_blocks(spark):
+    df = spark.createDataFrame([row(i) for i in range(60)] + [row(100, shot=2), row(101, shot=2)], SCHEMA)
+    got = [(r.pred_id_a, r.pred_id_b) for r in rep.pairs(df, block=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(itertools.combinations(range(60), 2)) | {(100, 101)}
+
+
 def test_every_record_once_and_empty(spark):
     df = spark.createDataFrame([row(i, det=i % 4, cx=float(i % 4) * 50) for i in range(40)], SCHEMA)
     got = rep.representatives(df).collect()
