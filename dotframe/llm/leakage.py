@@ -245,8 +245,8 @@ def leaks(documents: DataFrame, items: DataFrame, least_score: int = MATCH * RUN
         found.join(passages.select("item_id", F.explode("items").alias("item")), "item_id")
         .join(texts.select("text_key", "begins", "passage"), "text_key")
     )
-    # Pairs spread by text, so that no passage makes one task's work alone.
-    side_by_side = spread(ready.select("text_key", "item_id", "item", "begins", "passage"), "text_key").sortWithinPartitions("item_id", "item")
+    # Spread by both, so that neither a passage nor a text makes one task's work alone.
+    side_by_side = spread(ready.select("text_key", "item_id", "item", "begins", "passage"), "text_key", "item_id").sortWithinPartitions("item_id", "item")
     scored = side_by_side.mapInArrow(
         _aligner(least_score), "text_key binary, item_id long, item_words long, score long, longest_run long, covered_words long, ends_at long"
     )
