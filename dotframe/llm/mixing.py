@@ -39,15 +39,11 @@ def sized_crops(manifest: DataFrame, page_images: DataFrame) -> DataFrame:
     taken from the page's image. Null sizes count 0. Crops whose source stays
     unknown keep a null source: they count in the total, not in a source."""
     crops = distinct_crops(manifest, "page_id", "path", "n_bytes", "source").withColumn("_own", norm_source("source"))
-    pages = page_images.select(F.col("page_id").alias("_page"), norm_source("source").alias("_of_page")).dropDuplicates(["_page"])
+    pages = page_images.groupBy(F.col("page_id").alias("_page")).agg(F.min(norm_source("source")).alias("_of_page"))
     size = F.greatest(F.coalesce("n_bytes", F.lit(0)), F.lit(0)).cast("long").alias("size")
-    known = crops.where("_own is not null").select("crop_id", "path", size, F.col("_own").alias("source"))
-    found = (
-        crops.where("_own is null")
-        .join(pages, F.col("page_id") == F.col("_page"), "left")
-        .select("crop_id", "path", size, F.col("_of_page").alias("source"))
-    )
-    return known.unionByName(found)
+    # Only crops without a source of their own look for their page.
+    lacking = F.when(F.col("_own").isNull(), F.col("page_id")) == F.col("_page")
+    return crops.join(pages, lacking, "left").select("crop_id", "path", size, F.coalesce("_own", "_of_page").alias("source"))
 
 
 def demand(crops: DataFrame, targets: DataFrame) -> DataFrame:
@@ -108,9 +104,11 @@ def _path_caps(crops: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def mix(crops: DataFrame, targets: DataFrame, curriculum: dict | None = None, seed: int = 0) -> DataFrame:
-    """The mixed records: crop_id, path, source, size, copy (0 for the first
-    pass over a source), position (0..1, in training time).
+def placements(crops: DataFrame, targets: DataFrame, curriculum: dict | None = None, seed: int = 0) -> DataFrame:
+    """One row per record of a source that supplies something: crop_id, path,
+    source, size, max_repeats, cap (its share of the max_repeats of its path),
+    passes (copies that are placed) and positions (of each copy, 0..1, in
+    training time).
 
     In each pass a source's records come in the order of a hash; the last pass
     ends with the last record that fits. Cumulative sizes come from sums of
@@ -132,22 +130,27 @@ def mix(crops: DataFrame, targets: DataFrame, curriculum: dict | None = None, se
         .join(bases, ["source", "_bucket"])
         .withColumn("_end", F.col("_base") + F.col("_in"))
     )
-    # Passes in which the record fits: (pass * available + _end) <= supplied.
-    passes = F.when(F.col("available") > 0, F.floor((F.col("supplied") - F.col("_end")) / F.col("available")) + 1).otherwise(0)
-    passes = F.least(F.greatest(passes, F.lit(0)), F.col("max_repeats"), F.coalesce("_cap", "max_repeats"))
     caps = _path_caps(crops, plan)
     placed = placed.join(
         caps.withColumnRenamed("crop_id", "_cid"), (F.col("crop_id") == F.col("_cid")) & (F.col("path") == F.col("_cpath")), "left"
-    )
+    ).withColumn("cap", F.coalesce("_cap", "max_repeats"))
+    # Passes in which the record fits: (pass * available + _end) <= supplied.
+    fit = F.when(F.col("available") > 0, F.floor((F.col("supplied") - F.col("_end")) / F.col("available")) + 1).otherwise(0)
+    passes = F.least(F.greatest(fit, F.lit(0)), F.col("cap")).cast("int")
     w = [_schedule(curriculum, i) for i in range(3)]
-    share = (F.col("copy") * F.col("available") + F.col("_end") - F.col("size") / 2) / F.col("supplied")
-    return (
-        placed.withColumn("_passes", passes.cast("int"))
-        .where("_passes > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)))
-        .withColumn("position", F.round(invert_demand(share, *w), 12))
-        .select("crop_id", "path", "source", "size", "copy", "position")
-    )
+    share = lambda copy: (copy * F.col("available") + F.col("_end") - F.col("size") / 2) / F.col("supplied")
+    copies = F.when(F.col("passes") > 0, F.sequence(F.lit(0), F.col("passes") - 1)).otherwise(F.array().cast("array<int>"))
+    return placed.withColumn("passes", passes).select(
+        "crop_id", "path", "source", "size", "max_repeats", "cap", "passes",
+        F.transform(copies, lambda k: F.round(invert_demand(share(k), *w), 12)).alias("positions"),
+    )
+
+
+def mix(crops: DataFrame, targets: DataFrame, curriculum: dict | None = None, seed: int = 0) -> DataFrame:
+    """The mixed records: crop_id, path, source, size, copy (0 for the first
+    pass over a source), position (0..1, in training time); see placements."""
+    placed = placements(crops, targets, curriculum, seed)
+    return placed.select("crop_id", "path", "source", "size", F.posexplode("positions").alias("copy", "position"))
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
@@ -155,20 +158,29 @@ def ordered(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy("position", "source", "crop_id", "copy")
 
 
-def shares(crops: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Per source: its target, bytes there are, wanted and mixed, the share of
-    the total it was to supply that was reached, the bytes placed in the first
-    half of the training time, ``short`` (by the sums, as in ``demand``) and
+def shares(crops: DataFrame, targets: DataFrame, placed: DataFrame) -> DataFrame:
+    """Per source of ``targets``, by its placements: its target, bytes there
+    are, wanted and mixed, the share of the total it was to supply that was
+    reached, the bytes placed in the first half of the training time, the bytes
+    of repeats that caps of paths withhold and of those left unused.
+
     ``fell_short``: the bytes placed are fewer than wanted, and either every
-    record has all its repeats or more is missing than the largest record, so
-    that the caps of paths keep it from its target."""
-    half = F.coalesce(F.sum(F.when(F.col("position") < 0.5, F.col("size"))), F.lit(0)).alias("first_half_bytes")
-    got = mixed.groupBy("source").agg(F.sum("size").alias("mixed_bytes"), F.count(F.lit(1)).alias("mixed_rows"), (F.max("copy") + 1).alias("passes"), half)
+    record has all its repeats or more is missing than the largest record.
+    ``short``: not even with all withheld and unused repeats is what is wanted
+    reached, so that it's the source that is too small and not a path's cap.
+    """
+    early = F.size(F.filter("positions", lambda x: x < 0.5))
+    total = lambda x: F.sum(F.col("size") * x)
+    got = placed.groupBy("source").agg(
+        total(F.col("passes")).alias("mixed_bytes"), F.sum("passes").alias("mixed_rows"), F.max("passes").cast("long").alias("passes"), total(early).alias("first_half_bytes"),
+        total(F.col("max_repeats") - F.col("cap")).alias("withheld_bytes"), total(F.col("cap") - F.col("passes")).alias("unused_bytes"),
+    )
     missing = F.col("target_pct") * F.col("total") - 100 * F.col("mixed_bytes")
-    used_up = F.col("mixed_bytes") >= F.col("max_repeats") * F.col("available")
+    sums = ["mixed_bytes", "mixed_rows", "passes", "first_half_bytes", "withheld_bytes", "unused_bytes"]
     return (
-        demand(crops, targets).join(got, "source", "left").fillna(0, ["mixed_bytes", "mixed_rows", "passes", "first_half_bytes"])
-        .withColumn("fell_short", (missing > 0) & (used_up | (missing > 100 * F.col("largest"))))
+        demand(crops, targets).drop("short").join(got, "source", "left").fillna(0, sums)
+        .withColumn("fell_short", (missing > 0) & ((F.col("unused_bytes") + F.col("withheld_bytes") <= 0) | (missing > 100 * F.col("largest"))))
+        .withColumn("short", missing > 100 * (F.col("withheld_bytes") + F.col("unused_bytes")))
         .withColumn("reached_pct", F.when(F.col("total") > 0, F.round(F.expr("100 * mixed_bytes / total"), 6)).otherwise(0.0))
-        .select("source", "target_pct", "max_repeats", "available", "wanted", "mixed_bytes", "mixed_rows", "passes", "first_half_bytes", "reached_pct", "short", "fell_short")
+        .select("source", "target_pct", "max_repeats", "available", "wanted", *sums, "reached_pct", "short", "fell_short")
     )

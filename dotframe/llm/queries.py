@@ -9,12 +9,9 @@ from dotframe.llm import leakage, mixing, mojibake, pieces, representative, samp
 from dotframe.session import staged
 from dotframe.sources.tables import table
 
-CROP = ["page_id", "path", "bits6", "label_int"]
-
-
 def _crops(spark: SparkSession, sf: str) -> DataFrame:
     crops = sample.distinct_crops(table(spark, sf, "manifest"), "bits6", "label_int")
-    return crops.select("crop_id", sample.pattern_column().alias("label_int")).where("label_int is not null")
+    return staged(crops.select("crop_id", sample.pattern_column().alias("label_int")).where("label_int is not null"), "crops")
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +32,7 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_shares(spark: SparkSession, sf: str) -> DataFrame:
     crops, targets = _sized(spark, sf), table(spark, sf, "mix_targets")
-    return mixing.shares(crops, targets, mixing.mix(crops, targets, mixing.PRODUCTION_CURRICULUM))
+    return mixing.shares(crops, targets, staged(mixing.placements(crops, targets, mixing.PRODUCTION_CURRICULUM), "placements"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -67,17 +67,21 @@ class SamplePlan:
 
 
 def _spread(rng: np.random.Generator, room: np.ndarray, n: int) -> np.ndarray:
-    """n records drawn at random, without return, from room[i] of each kind."""
+    """n records drawn at random, without return, from room[i] of each kind:
+    systematic sampling of the kinds in random order from a random start, so
+    that each kind gets its share, rounded up or down by chance."""
     total = int(room.sum())
     n = min(n, total)
     if n <= 0:
         return np.zeros_like(room)
-    if total < 10**9:
-        return rng.multivariate_hypergeometric(room, n, method="marginals")
-    share = room * (n / total)  # the law of large numbers does the drawing
-    out = np.floor(share).astype(np.int64)
-    for i in np.argsort(-(share - out) - rng.random(len(room)) * 1e-9)[: n - int(out.sum())]:
-        out[i] += 1
+    order = rng.permutation(len(room))
+    start = rng.random()
+    ends = [0]
+    for upto in np.cumsum(room[order]).tolist():  # whole numbers: exact at any size
+        whole, rest = divmod(upto * n, total)
+        ends.append(whole + (rest / total > start))
+    out = np.zeros_like(room)
+    out[order] = np.diff(ends)
     return np.minimum(out, room)
 
 
@@ -186,25 +190,36 @@ def plan_sample(crops: DataFrame, targets: dict[str, DataFrame], divisor: int =
     return SamplePlan(columns, signatures, available, drawn, wanted)
 
 
-def report(crops: DataFrame, targets: dict[str, DataFrame], column: str, divisor: int = 5, seed: int = 0) -> DataFrame:
+def report(crops: DataFrame, targets: dict[str, DataFrame], column: str, divisor: int = 5, seed: int = 0, key: str = "crop_id") -> DataFrame:
     """One row per category of ``column``: whether it is named by a target,
-    records there are, wanted (the larger of target share and floor), floor
-    and drawn; ``met`` is false where there are fewer than wanted. An empty
-    table meets every target of 0."""
+    records there are, wanted (the larger of target share and floor), floor,
+    drawn and left (the records of the drawn sample, counted, and those outside
+    it). ``met`` is false where the sample doesn't reach what is wanted and what
+    is left can't make up for it. An empty table meets every target of 0."""
     plan = plan_sample(crops, targets, divisor, seed)
-    rows = [(*r, r[2] >= r[3]) for r in plan.per_category(column)]
     kind = dict(crops.dtypes)[column]
-    return crops.sparkSession.createDataFrame(
-        rows, f"`{column}` {kind}, named boolean, available long, wanted long, min_rows long, drawn long, met boolean"
-    )
+    rows = crops.sparkSession.createDataFrame(
+        [r[:5] for r in plan.per_category(column)], f"`{column}` {kind}, named boolean, available long, wanted long, min_rows long"
+    )  # as many as there are categories
+    drawn = materialise(crops, plan, key, seed).groupBy(F.col(column).alias("_k")).agg(F.count(F.lit(1)).alias("drawn"))
+    return (
+        rows.join(drawn, F.col(column).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+        .withColumn("left", F.col("available") - F.col("drawn"))
+        .withColumn("met", F.col("drawn") + F.when(F.col("drawn") < F.col("wanted"), F.col("left")).otherwise(0) >= F.col("wanted"))
+    )
 
 
 def draw(crops: DataFrame, targets: dict[str, DataFrame], key: str = "crop_id", divisor: int = 5, seed: int = 0) -> DataFrame:
-    """The sampled records themselves: of each signature its planned number,
-    those with the smallest hash of ``key``. Exact at any size and without
-    one task per signature: counts of hash buckets find the bucket in which a
-    signature's last record lies, and only that bucket is ordered."""
-    plan = plan_sample(crops, targets, divisor, seed)
+    """The sampled records themselves."""
+    return materialise(crops, plan_sample(crops, targets, divisor, seed), key, seed)
+
+
+def materialise(crops: DataFrame, plan: SamplePlan, key: str = "crop_id", seed: int = 0) -> DataFrame:
+    """Of each signature its planned number of records, those with the smallest
+    hash bucket of ``key`` and then the smallest hash. Exact at any size and
+    without one task per signature: counts of buckets find the bucket in which a
+    signature's last record lies; lower ones are taken whole, without a shuffle,
+    and only that bucket is ordered."""
     kinds = dict(crops.dtypes)
     names = [f"_c{i}" for i in range(len(plan.columns))]
     wanted = crops.sparkSession.createDataFrame(
@@ -218,15 +233,13 @@ def draw(crops: DataFrame, targets: dict[str, DataFrame], key: str = "crop_id",
         .join(F.broadcast(wanted), match)  # at most MAX_SIGNATURES rows
     )
     upto = W.partitionBy("_sig").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edges = (
+    last = (
         hashed.groupBy("_sig", "_n", "_bucket").agg(F.count(F.lit(1)).alias("_k"))
         .withColumn("_upto", F.sum("_k").over(upto))  # HASH_BUCKETS rows a signature
-        .where(F.col("_upto") - F.col("_k") < F.col("_n"))
-        .select(F.col("_sig").alias("_esig"), F.col("_bucket").alias("_ebucket"), (F.col("_n") - F.col("_upto") + F.col("_k")).alias("_left"), (F.col("_upto") <= F.col("_n")).alias("_whole"))
+        .where("_upto >= _n")
+        .groupBy(F.col("_sig").alias("_esig")).agg(F.min(F.struct(F.col("_bucket").alias("at"), (F.col("_n") - F.col("_upto") + F.col("_k")).alias("left"))).alias("_edge"))
     )
-    inside = hashed.join(edges, (F.col("_sig") == F.col("_esig")) & (F.col("_bucket") == F.col("_ebucket")))
-    last = W.partitionBy("_sig", "_bucket").orderBy("_h", key)
-    keep = inside.where("_whole").unionByName(
-        inside.where("not _whole").withColumn("_rank", F.row_number().over(last)).where("_rank <= _left").drop("_rank")
-    )
-    return keep.select(*crops.columns)
+    inside = hashed.join(F.broadcast(last), F.col("_sig") == F.col("_esig"))  # at most MAX_SIGNATURES rows
+    order = W.partitionBy("_sig").orderBy("_h", key)
+    edge = inside.where("_bucket = _edge.at").withColumn("_rank", F.row_number().over(order)).where("_rank <= _edge.left").drop("_rank")
+    return inside.where("_bucket < _edge.at").unionByName(edge).select(*crops.columns)

@@ -16,7 +16,10 @@ def crops(spark):
 def test_shares_caps_and_order(spark, crops):
     t = spark.createDataFrame([("big", 60, 1), ("small", 30, 2), ("none", 10, 3)], TARGETS)
     mixed = mixing.mix(crops, t).cache()
-    rep = {r.source: r for r in mixing.shares(crops, t, mixed).collect()}
+    rep = {r.source: r for r in mixing.shares(crops, t, mixing.placements(crops, t)).collect()}
+    by_source = {r.source: r for r in mixed.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
+    assert all((r.mixed_bytes, r.mixed_rows) == (by_source[k].s, by_source[k].n) for k, r in rep.items() if k in by_source)
+    assert all(r.mixed_bytes + r.withheld_bytes + r.unused_bytes == r.max_repeats * r.available for r in rep.values())
     assert not rep["big"].short and abs(rep["big"].reached_pct - 60) < 0.1
     assert rep["small"].short and rep["small"].mixed_bytes == 2 * rep["small"].available
     assert rep["none"].short and rep["none"].mixed_rows == 0
@@ -50,7 +53,7 @@ def test_registered_mix_follows_its_schedules(spark, tmp_path):
 def test_short_by_the_bytes_placed(spark):
     crops = spark.createDataFrame([(i, "same" if i < 90 else f"p{i}", 10, "a") for i in range(100)], "crop_id long, path string, size long, source string")
     t = spark.createDataFrame([("a", 90, 2)], TARGETS)
-    got = mixing.shares(crops, t, mixing.mix(crops, t)).first()
+    got = mixing.shares(crops, t, mixing.placements(crops, t)).first()
     assert got.mixed_bytes <= 2 * 11 * 10 < got.wanted and got.fell_short and not got.short
 
 
@@ -89,4 +92,4 @@ def test_empty(spark):
     crops = spark.createDataFrame([], "crop_id long, path string, size long, source string")
     t = spark.createDataFrame([("a", 100, 1), (None, 5, 1)], TARGETS)
     assert mixing.mix(crops, t).count() == 0
-    assert [(r.source, r.short, r.reached_pct) for r in mixing.shares(crops, t, mixing.mix(crops, t)).collect()] == [("a", False, 0.0)]
+    assert [(r.source, r.short, r.reached_pct) for r in mixing.shares(crops, t, mixing.placements(crops, t)).collect()] == [("a", False, 0.0)]
