@@ -37,7 +37,7 @@ def page_extents(cells: DataFrame, page_images: DataFrame, limits: DataFrame) ->
     source's limits and whether its text is taller than max_piece_px. Pages
     that page_images lacks, or whose source has no limit, are not cut."""
     extent = usable_boxes(cells).groupBy("page_id").agg(F.min("t").alias("top"), F.max("b").alias("bottom"))
-    of_page = page_images.groupBy("page_id").agg(F.first("source").alias("source"), F.first("img_h").alias("img_h"))
+    of_page = page_images.groupBy("page_id").agg(F.min("source").alias("source"), F.min("img_h").alias("img_h"))
     of_source = limits.groupBy("source").agg(
         F.min("max_piece_px").alias("max_piece_px"), F.max(F.coalesce("overlap_px", F.lit(0))).alias("overlap_px")
     )
@@ -71,13 +71,14 @@ def cut_page(top: int, bottom: int, most: int, overlap: int, crossed: np.ndarray
     """(y0, y1, natural) of the pieces of rows top..bottom. crossed[y - top]:
     whether a cut at y goes through a cell. A piece ends at the last free row
     within reach, else at the limit; the next starts ``overlap`` rows before."""
-    free = np.flatnonzero(~crossed)
+    # The last free row up to each row: a running maximum over the whole strip.
+    free = np.maximum.accumulate(np.where(crossed, -1, np.arange(len(crossed))))
     most = max(1, most)
     overlap = max(0, min(overlap, most - 1))
     out, y0 = [], top
     while bottom - y0 > most:
-        k = int(np.searchsorted(free, y0 + most - top, side="right")) - 1
-        y = int(free[k]) + top if k >= 0 else y0
+        at = int(free[y0 + most - top])
+        y = at + top if at >= 0 else y0
         natural = y > y0 + overlap
         y = y if natural else y0 + most
         out.append((y0, y, natural))

@@ -44,12 +44,12 @@ def p4_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.overlaps(table(spark, sf, "manifest"))
+    return splits.page_links(table(spark, sf, "manifest"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.least("train_page", "eval_page"), F.greatest("train_page", "eval_page")
-    return p2_overlaps(spark, sf).select(a.alias("page_id_a"), b.alias("page_id_b")).distinct()
+    return splits.overlaps(table(spark, sf, "manifest")).select(a.alias("page_id_a"), b.alias("page_id_b")).distinct()
 
 
 def p2_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,25 +124,28 @@ _PATTERN = """
 """
 
 
-def _name_sql(path: str) -> str:
-    s = f"lower({path})"
-    for pattern, to in splits.NAME_STEPS:
-        s = f"regexp_replace({s}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
-    return s
+# Written out apart from splits.py, so that a fault there shows.
+_NAME = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(replace(lower(path), '\', '/'), '%[0-9a-f][0-9a-f]', ' ', 'g'),
+    '^.*/(train|val|test)/', ''), '_[0-9]+\.(jpg|jpeg|jpe|png|tif|tiff|bmp|gif|webp)\s*$', ''),
+    '(\.(jpg|jpeg|jpe|png|tif|tiff|bmp|gif|webp|labeled))+($|[^a-z0-9])', '\3', 'g'),
+    '[ _-]*\(\s*([0-9]+|copy( *[0-9]+)?)\s*\)', '', 'g'), '^copy( [0-9]+)? of[^a-z0-9]+', ''),
+    '[^a-z0-9]+(copy|duplicate)([^a-z0-9]*[0-9]+)?\s*$', ''), '0*([0-9]+)', '|\1|', 'g'), '[^a-z0-9|]+', '', 'g')"""
 
-
-_P2_PAIRS = f"""
-WITH pt AS ({_PATTERN}), m AS (SELECT DISTINCT crop_id, page_id, cell_idx, split, path, bits6, label_int FROM manifest WHERE page_id IS NOT NULL),
+_P2_DIRECTED = f"""
+WITH pt AS ({_PATTERN}), m AS (SELECT DISTINCT crop_id, page_id, cell_idx, split, path, bits6, label_int, source FROM manifest WHERE page_id IS NOT NULL),
 pg AS (
-  SELECT page_id, bool_or(split = 'train') AS tr, bool_or(split IN ('val', 'test')) AS ev, bool_and(bits6 IS NULL AND label_int IS NULL) AS bare, min(path) AS path,
+  SELECT page_id, bool_or(split = 'train') AS tr, bool_or(split IN ('val', 'test')) AS ev, bool_and(bits6 IS NULL AND label_int IS NULL) AS bare, min(path) AS path, min(lower(trim(source))) AS source,
     string_agg(chr(CAST(pattern AS INT) + 63), '' ORDER BY cell_idx, crop_id) FILTER (WHERE pattern IS NOT NULL) AS seq
   FROM m JOIN pt USING (crop_id) GROUP BY page_id),
-nm AS (SELECT page_id, tr, ev, {_name_sql('path')} AS name FROM pg WHERE bare)
-SELECT DISTINCT least(t.page_id, e.page_id) AS page_id_a, greatest(t.page_id, e.page_id) AS page_id_b FROM pg t JOIN pg e
-  ON t.tr AND e.ev AND t.page_id <> e.page_id AND abs(length(t.seq) - length(e.seq)) <= greatest(length(t.seq), length(e.seq)) // 10
-WHERE levenshtein(t.seq, e.seq) <= greatest(length(t.seq), length(e.seq)) // 10
-UNION SELECT least(t.page_id, e.page_id), greatest(t.page_id, e.page_id) FROM nm t JOIN nm e ON t.tr AND e.ev AND t.page_id <> e.page_id AND t.name = e.name AND t.name <> ''
+nm AS (SELECT page_id, tr, ev, {_NAME} AS name FROM pg WHERE bare),
+directed AS (
+  SELECT t.page_id AS t_page, e.page_id AS e_page FROM pg t JOIN pg e
+    ON t.tr AND e.ev AND t.page_id <> e.page_id AND abs(length(t.seq) - length(e.seq)) <= greatest(length(t.seq), length(e.seq)) // 10
+  WHERE levenshtein(t.seq, e.seq) <= greatest(length(t.seq), length(e.seq)) // 10
+  UNION SELECT t.page_id, e.page_id FROM nm t JOIN nm e ON t.tr AND e.ev AND t.page_id <> e.page_id AND t.name = e.name AND t.name <> '')
 """
+_P2_PAIRS = _P2_DIRECTED + "SELECT DISTINCT least(t_page, e_page) AS page_id_a, greatest(t_page, e_page) AS page_id_b FROM directed"
 
 
 ORACLES = {
@@ -165,12 +168,42 @@ SELECT any_value(shot_id) AS shot_id, cell, count(*) AS n_records,
 FROM r JOIN g USING (pred_id) GROUP BY cell
 """,
     "p2_found": _P2_PAIRS,
+    "p2_overlaps": _P2_DIRECTED
+    + """
+SELECT page_id, CASE WHEN seq IS NOT NULL THEN sha256(seq) ELSE 'name:' || name END AS cls, source, coalesce(pg.tr, false) AS in_train, coalesce(pg.ev, false) AS in_eval,
+  coalesce(n_eval, 0) AS n_eval, coalesce(n_train, 0) AS n_train
+FROM pg LEFT JOIN (SELECT page_id, name FROM nm WHERE name <> '') USING (page_id)
+  LEFT JOIN (SELECT t_page AS page_id, count(*) AS n_eval FROM directed GROUP BY 1) USING (page_id)
+  LEFT JOIN (SELECT e_page AS page_id, count(*) AS n_train FROM directed GROUP BY 1) USING (page_id)
+WHERE (pg.tr OR pg.ev) AND (seq IS NOT NULL OR name IS NOT NULL)
+""",
     "p8_found": r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+""",
+    "p3_pieces": r"""
+WITH RECURSIVE ok AS (SELECT page_id, frac_bbox.t AS t, frac_bbox.b AS b FROM gt_cells
+  WHERE 0 <= frac_bbox.l AND frac_bbox.l < frac_bbox.r AND frac_bbox.r <= 1 AND 0 <= frac_bbox.t AND frac_bbox.t < frac_bbox.b AND frac_bbox.b <= 1 AND page_id IS NOT NULL),
+tall AS (SELECT page_id, img_h, max_piece_px AS most, least(overlap_px, max_piece_px - 1) AS overlap, CAST(floor(top*img_h) AS BIGINT) AS y_top, CAST(ceil(bottom*img_h) AS BIGINT) AS y_bottom
+  FROM (SELECT page_id, min(t) AS top, max(b) AS bottom FROM ok GROUP BY page_id) JOIN page_images USING (page_id) JOIN piece_limits USING (source) WHERE (bottom - top)*img_h > max_piece_px),
+crossed AS (SELECT DISTINCT page_id, unnest(range(CAST(floor(t*img_h) AS BIGINT) + 1, CAST(ceil(b*img_h) AS BIGINT))) AS y FROM ok JOIN tall USING (page_id)),
+free AS (SELECT page_id, list(y) AS ys FROM (SELECT page_id, unnest(range(y_top, y_bottom + 1)) AS y FROM tall) a WHERE NOT EXISTS (SELECT 1 FROM crossed c WHERE c.page_id = a.page_id AND c.y = a.y) GROUP BY page_id),
+strip AS (SELECT *, coalesce(ys, []) AS fs FROM tall LEFT JOIN free USING (page_id)),
+cut AS (
+  SELECT page_id, 0 AS piece_no, y_top AS y0 FROM strip
+  UNION ALL
+  SELECT page_id, piece_no + 1, CASE WHEN f > y0 + overlap THEN f ELSE y0 + most END - overlap FROM (
+    SELECT c.page_id, piece_no, y0, most, overlap, coalesce(list_max(list_filter(fs, lambda y: y <= y0 + most)), y0) AS f FROM cut c JOIN strip s ON s.page_id = c.page_id WHERE y_bottom - y0 > most)),
+piece AS (
+  SELECT page_id, piece_no, count(*) OVER (PARTITION BY page_id) AS n_pieces, y0, CASE WHEN y_bottom - y0 <= most THEN y_bottom WHEN f > y0 + overlap THEN f ELSE y0 + most END AS y1,
+    y_bottom - y0 <= most OR f > y0 + overlap AS natural_end
+  FROM (SELECT c.page_id, piece_no, y0, most, overlap, y_bottom, coalesce(list_max(list_filter(fs, lambda y: y <= y0 + most)), y0) AS f FROM cut c JOIN strip s ON s.page_id = c.page_id)),
+stems AS (SELECT page_id, min(regexp_replace(regexp_replace(path, '^.*/', ''), '_[0-9]+\.[A-Za-z0-9]+$', '')) AS s FROM manifest WHERE page_id IS NOT NULL AND path IS NOT NULL GROUP BY page_id)
+SELECT page_id, CAST(piece_no AS INT) AS piece_no, CAST(n_pieces AS INT) AS n_pieces, y0, y1, natural_end, coalesce(s, 'page' || page_id) AS stem, printf('%s_piece%03d', coalesce(s, 'page' || page_id), piece_no) AS name
+FROM piece LEFT JOIN stems USING (page_id)
 """,
     "p3_found": """
 SELECT page_id FROM (

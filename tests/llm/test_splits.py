@@ -56,6 +56,9 @@ def test_as_brute_force(spark, seed, alphabet):
         for q, (t, b) in pages.items() if t != "train" and b and distance(a, b) <= max(len(a), len(b)) // 10
     }
     assert got == want
+    links = {r.page_id: (r.n_eval, r.n_train) for r in splits.page_links(df).collect()}
+    assert all(n == (sum(p == a for a, _ in want), sum(p == b for _, b in want)) for p, n in links.items())
+    assert {p for pair in want for p in pair} <= set(links)
 
 
 @pytest.mark.parametrize(
@@ -78,7 +81,7 @@ def test_pages_without_patterns_go_by_name(spark):
     spoilt = [(3, 3, 0, None, "train", "/data/crops/train/c_0000.jpg", "??????", None, 1), (4, 4, 0, None, "test", "/data/crops/test/c_0000.jpg", "", None, 1)]
     df = spark.createDataFrame(bare + spoilt, MANIFEST)
     assert [(r.train_page, r.eval_page, r.kind) for r in splits.overlaps(df).collect()] == [(1, 2, "name")]
-    rep = splits.overlap_report(df, splits.overlaps(df)).collect()
+    rep = splits.overlap_report(df, splits.page_links(df)).collect()
     assert sum(r.n_pages for r in rep) == 4 and sum(r.n_overlapping for r in rep) == 2
 
 
@@ -104,3 +107,28 @@ def test_hot_group_of_copies(spark):
     seq = [random.Random(6).randint(1, 63) for _ in range(40)]
     df = spark.createDataFrame([r for p in range(40) for r in rows_of(p, "train" if p % 2 else "val", seq)], MANIFEST)
     assert splits.overlaps(df).count() == 400
+    rows = splits.page_links(df).collect()
+    assert len(rows) == 40 and len({r.cls for r in rows}) == 1 and all((r.n_eval, r.n_train) == ((20, 0) if r.in_train else (0, 20)) for r in rows)
+
+
+def test_hot_class_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(splits, "PAIR_BLOCK", 3)
+    seq = [random.Random(6).randint(1, 63) for _ in range(40)]
+    df = spark.createDataFrame([r for p in range(40) for r in rows_of(p, "train" if p % 2 else "val", seq)], MANIFEST)
+    got = splits.overlaps(df)
+    assert got.count() == got.distinct().count() == 400
+
+
+def test_pages_of_one_repeated_pattern(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BLOCK", 16)
+    seq = {1: [5] * 200, 2: [5] * 190, 3: [5] * 150 + [7] * 40 + [5] * 10, 4: [5, 6] * 100, 5: [6, 5] * 99}
+    df = spark.createDataFrame([r for p, x in seq.items() for s, k in (("train", 0), ("test", 10)) for r in rows_of(p + k, s, x)], MANIFEST)
+    got = {(r.train_page, r.eval_page - 10) for r in splits.overlaps(df).collect()}
+    assert got == {(p, q) for p in seq for q in seq if distance(seq[p], seq[q]) <= max(len(seq[p]), len(seq[q])) // 10}
+
+
+def test_page_in_both_roles_does_not_count_itself(spark):
+    seq = [random.Random(2).randint(1, 63) for _ in range(20)]
+    df = spark.createDataFrame(rows_of(1, "train", seq[:10]) + rows_of(1, "val", seq[10:], 10) + rows_of(2, "train", seq) + rows_of(3, "val", seq), MANIFEST)
+    got = {r.page_id: (r.n_eval, r.n_train) for r in splits.page_links(df).collect()}
+    assert got == {1: (1, 1), 2: (2, 0), 3: (0, 2)}
