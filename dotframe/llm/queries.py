@@ -84,10 +84,11 @@ def p7_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Per document its numbers of tokens and bytes, and whether decoding
     gives the text back."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    back = tokenize.decoded(tokenize.token_ids(docs)).select("doc_id", F.col("text").alias("back"), "begins")
+    tokens = staged(tokenize.encoded(docs), "tokens")
+    back = tokenize.decoded(tokens).select("doc_id", F.col("text").alias("back"))
     text = F.coalesce("text", F.lit(""))
-    return docs.join(back, "doc_id").select(
-        "doc_id", F.size("begins").alias("n_tokens"), F.octet_length(text).alias("n_bytes"), (text == F.col("back")).alias("same")
+    return docs.join(back, "doc_id").join(tokens.select("doc_id", F.size("ids").alias("n_tokens")), "doc_id").select(
+        "doc_id", "n_tokens", F.octet_length(text).alias("n_bytes"), F.coalesce(text == F.col("back"), F.lit(False)).alias("same")
     )
 
 

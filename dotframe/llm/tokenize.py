@@ -4,7 +4,8 @@ Pre-tokenisation finds piece boundaries without a regular expression: each
 code point has a class, each class is a transition function on a small set of
 states, and an associative scan composes these functions over blocks of the
 concatenated texts. Pieces are slices of the text; each distinct piece is
-merged once per worker and then looked up.
+merged once per worker and then looked up. The slices' offsets are retained, so
+that every token knows the bytes of the text that it stands for.
 """
 
 from __future__ import annotations
@@ -57,12 +58,11 @@ _classes: np.ndarray | None = None
 
 def _newer(table: np.ndarray) -> None:
     """Letters and numbers that are newer than this Python's Unicode data: as
-    the public tokenizers' own pre-tokeniser takes them, where it is there."""
-    try:
-        import regex
-        from tokenizers.pre_tokenizers import ByteLevel
-    except ImportError:
-        return
+    the public tokenizers' own pre-tokeniser takes them. Both libraries are
+    needed: without them a worker would give other ids, so it fails."""
+    import regex
+    from tokenizers.pre_tokenizers import ByteLevel
+
     unknown = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
     split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
     for c in regex.findall(r"[\p{L}\p{N}]", unknown):
@@ -222,9 +222,19 @@ def _segments(texts: list[str | None]) -> Iterator[tuple[int, str]]:
 _WHITE = frozenset(WHITE)
 
 
-def encode_texts(texts: list[str | None], merger: Merger) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, where each text's ids begin and end)."""
-    counts, ids = np.zeros(len(texts), dtype=np.int64), []
+def utf8_lengths(cps: np.ndarray) -> np.ndarray:
+    """Bytes of each code point; one for a lone surrogate, which is replaced."""
+    n = 1 + (cps > 0x7F).astype(np.int64) + (cps > 0x7FF) + (cps > 0xFFFF)
+    n[(cps >= 0xD800) & (cps < 0xE000)] = 1
+    return n
+
+
+def encode_texts(texts: list[str | None], merger: Merger, sizes_of: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(ids of all texts in a row, where each text's ids begin and end), and
+    with ``sizes_of`` (bytes of each token by id) the byte of its text at which
+    each token begins."""
+    counts, ids, begins = np.zeros(len(texts), dtype=np.int64), [], []
+    done = np.zeros(len(texts), dtype=np.int64)  # bytes of the segments of a text so far
 
     def run(group: list[tuple[int, str]]) -> None:
         joined = "\0".join(s for _, s in group)
@@ -237,10 +247,24 @@ def encode_texts(texts: list[str | None], merger: Merger) -> tuple[np.ndarray, n
         for d in reversed(drop.tolist()):
             del pieces[d]
         merged = [merger[p] for p in pieces]
-        ids.append(np.fromiter(chain.from_iterable(merged), dtype=np.int32))
-        sizes = np.r_[0, np.cumsum(np.fromiter(map(len, merged), dtype=np.int64, count=len(merged)))]
+        new = np.fromiter(chain.from_iterable(merged), dtype=np.int32)
+        ids.append(new)
+        many = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
+        sizes = np.r_[0, np.cumsum(many)]
         edges = np.r_[0, drop - np.arange(len(drop)), len(pieces)]
-        np.add.at(counts, [k for k, _ in group], sizes[edges[1:]] - sizes[edges[:-1]])
+        texts_of = np.array([k for k, _ in group])
+        if sizes_of is not None:
+            # Where a piece's slice lies in its text, and a token in its piece.
+            at = np.r_[0, np.cumsum(utf8_lengths(cps))]
+            origin = at[np.r_[0, sep + 1]]
+            before = []  # of the segments of a text that this group holds, too
+            for (k, _), a, b in zip(group, origin, at[np.r_[sep, len(cps)]]):
+                before.append(done[k])
+                done[k] += b - a
+            place = np.delete(at[starts], drop) + np.repeat(np.array(before) - origin, np.diff(edges))
+            upto = np.r_[0, np.cumsum(sizes_of[new])]
+            begins.append(np.repeat(place - upto[sizes[:-1]], many) + upto[:-1])
+        np.add.at(counts, texts_of, sizes[edges[1:]] - sizes[edges[:-1]])
 
     group, held = [], 0
     for k, s in _segments(texts):
@@ -251,7 +275,9 @@ def encode_texts(texts: list[str | None], merger: Merger) -> tuple[np.ndarray, n
         held += len(s) + 1
     if group:
         run(group)
-    return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.r_[0, np.cumsum(counts)]
+    join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    out = join(ids, np.int32), np.r_[0, np.cumsum(counts)]
+    return out if sizes_of is None else (*out, join(begins, np.int64))
 
 
 def decode(ids, tokens: dict[int, bytes]) -> str:
@@ -277,18 +303,46 @@ def token_ids(documents: DataFrame, vocabulary: str | None = None, key: str = "d
     return some.mapInArrow(encode, f"`{key}` {some.dtypes[0][1]}, ids array<int>")
 
 
+def encoded(documents: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, begins): token_ids with the byte of the text at which each
+    token begins, from the offsets of the pre-tokeniser's slices."""
+    spark = documents.sparkSession
+    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary or vocabulary_path()))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = Merger(ranks.value)
+        sizes_of = np.zeros(max(ranks.value.values()) + 1, dtype=np.int64)
+        for token, i in ranks.value.items():
+            sizes_of[i] = len(token)
+        for batch in batches:
+            ids, bounds, begins = encode_texts(batch.column(1).to_pylist(), merger, sizes_of)
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), x) for x in (pa.array(ids, pa.int32()), pa.array(begins, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], [key, "ids", "begins"])
+
+    some = documents.select(key, text)
+    return some.mapInArrow(encode, f"`{key}` {some.dtypes[0][1]}, ids array<int>, begins array<bigint>")
+
+
 def decoded(tokens: DataFrame, vocabulary: str | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, text, begins): the text of each list of ids, and the byte at
-    which each token begins in it."""
+    """(key, text): the text of each list of ids, every token put at the byte
+    where it begins (``begins``, see encoded). Null where tokens leave a gap or
+    lie over each other."""
     ranks = tokens.sparkSession.sparkContext.broadcast(read_ranks(vocabulary or vocabulary_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = {i: b for b, i in ranks.value.items()}
         for batch in batches:
-            parts = [[by_id[i] for i in ids or []] for ids in batch.column(1).to_pylist()]
-            begins = [np.cumsum([0, *map(len, p)])[:-1].astype(np.int32) if p else [] for p in parts]
-            texts = pa.array([b"".join(p).decode("utf-8", "replace") for p in parts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(begins, pa.list_(pa.int32()))], [key, "text", "begins"])
-
-    some = tokens.select(key, "ids")
-    return some.mapInArrow(run, f"`{key}` {some.dtypes[0][1]}, text string, begins array<int>")
+            texts = []
+            for ids, begins in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                parts = [by_id[i] for i in ids or []]
+                out, filled = bytearray(sum(map(len, parts))), True
+                for at, part in zip(begins or [], parts):
+                    filled &= 0 <= at <= len(out) - len(part) and not any(out[at : at + len(part)])
+                    out[at : at + len(part)] = part
+                # A zero byte is a gap, unless the tokens hold as many themselves.
+                filled &= out.count(0) == sum(p.count(0) for p in parts) and len(begins or []) == len(parts)
+                texts.append(out.decode("utf-8", "replace") if filled else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    some = tokens.select(key, "ids", "begins")
+    return some.mapInArrow(run, f"`{key}` {some.dtypes[0][1]}, text string")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from dotframe.llm import tokenize
 
@@ -48,6 +49,24 @@ def test_long_texts_in_segments(reference, merger, monkeypatch):
     assert encode(texts, merger) == reference([t or "" for t in texts])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=30).map("".join), max_size=8), st.sampled_from([5, 20, 1 << 20]))
+def test_offsets_are_where_the_tokens_are(merger, texts, chunk):
+    sizes = np.zeros(max(merger.ranks.values()) + 1, dtype=np.int64)
+    for token, i in merger.ranks.items():
+        sizes[i] = len(token)
+    by_id = {i: b for b, i in merger.ranks.items()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokenize, "CHUNK_CHARS", chunk)
+        ids, bounds, begins = tokenize.encode_texts(texts, merger, sizes)
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        data, end = text.encode(), 0
+        for i, at in zip(ids[a:b].tolist(), begins[a:b].tolist()):
+            assert at == end and data[at : at + len(by_id[i])] == by_id[i]
+            end = at + len(by_id[i])
+        assert end == len(data)
+
+
 def test_states_as_step_by_step(rng):
     cls = rng.integers(0, 9, 5000).astype(np.uint8)
     state, want = tokenize.FRESH, []
@@ -69,8 +88,9 @@ def test_table_and_round_trip(spark, reference):
     assert got.columns == ["doc_id", "ids"]
     have = sorted(((r.doc_id or 0, list(r.ids)) for r in got.collect()))
     assert have == sorted((i or 0, reference([t or ""])[0]) for i, t in rows)
-    back = tokenize.decoded(got).collect()
-    assert sorted(r.text for r in back) == sorted(t or "" for _, t in rows)
-    for r in back:
-        assert len(r.begins) == 0 or r.begins[0] == 0
+    full = tokenize.encoded(df)
+    assert sorted(((r.doc_id or 0, list(r.ids)) for r in full.collect())) == have
+    assert sorted(r.text for r in tokenize.decoded(full).collect()) == sorted(t or "" for _, t in rows)
+    moved = full.where("doc_id = 1").withColumn("begins", F.transform("begins", lambda x: x + 1))
+    assert [r.text for r in tokenize.decoded(moved).collect()] == [None, None]
     assert tokenize.token_ids(df.limit(0)).count() == 0
