@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from dotframe.llm.sample import distinct_crops
+from dotframe.session import staged
 
 HASH_BUCKETS = 8192
 
@@ -37,13 +38,15 @@ def norm_source(c: str | Column) -> Column:
 def sized_crops(manifest: DataFrame, page_images: DataFrame) -> DataFrame:
     """One row per crop: crop_id, path, size and source, a missing source
     taken from the page's image. Null sizes count 0. Crops whose source stays
-    unknown keep a null source: they count in the total, not in a source."""
-    crops = distinct_crops(manifest, "page_id", "path", "n_bytes", "source").withColumn("_own", norm_source("source"))
-    pages = page_images.groupBy(F.col("page_id").alias("_page")).agg(F.min(norm_source("source")).alias("_of_page"))
+    unknown keep a null source: they count in the total, not in a source. The
+    crops are written once; of them only those without a source of their own
+    look for their page."""
     size = F.greatest(F.coalesce("n_bytes", F.lit(0)), F.lit(0)).cast("long").alias("size")
-    # Only crops without a source of their own look for their page.
-    lacking = F.when(F.col("_own").isNull(), F.col("page_id")) == F.col("_page")
-    return crops.join(pages, lacking, "left").select("crop_id", "path", size, F.coalesce("_own", "_of_page").alias("source"))
+    crops = distinct_crops(manifest, "page_id", "path", "n_bytes", "source")
+    crops = staged(crops.select("crop_id", "path", size, norm_source("source").alias("source"), "page_id"), "crops")
+    pages = page_images.groupBy(F.col("page_id").alias("_page")).agg(F.min(norm_source("source")).alias("_source"))
+    found = crops.where("source is null").join(pages, F.col("page_id") == F.col("_page"), "left").select("crop_id", "path", "size", F.col("_source").alias("source"))
+    return crops.where("source is not null").drop("page_id").unionByName(found)
 
 
 def demand(crops: DataFrame, targets: DataFrame) -> DataFrame:

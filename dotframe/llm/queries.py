@@ -27,12 +27,12 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    return staged(mixing.sized_crops(table(spark, sf, "manifest"), table(spark, sf, "page_images")), "crops")
+    return mixing.sized_crops(table(spark, sf, "manifest"), table(spark, sf, "page_images"))
 
 
 def p4_shares(spark: SparkSession, sf: str) -> DataFrame:
     crops, targets = _sized(spark, sf), table(spark, sf, "mix_targets")
-    return mixing.shares(crops, targets, staged(mixing.placements(crops, targets, mixing.PRODUCTION_CURRICULUM), "placements"))
+    return mixing.shares(crops, targets, mixing.placements(crops, targets, mixing.PRODUCTION_CURRICULUM))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
