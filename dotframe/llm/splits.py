@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dotframe.llm.sample import pattern_column
-from dotframe.session import staged
+from dotframe.session import spread, staged
 
 CHUNK = 4096
 #: Cells of a page whose shingles are cut together; training pages of a class
@@ -150,6 +150,7 @@ def _candidates(train: DataFrame, held: DataFrame) -> DataFrame:
 def class_pairs(classes: DataFrame) -> DataFrame:
     """(cls, e_cls) of different but nearly equal sequences, the first with
     pages in training, the second with pages in evaluation."""
+    classes = spread(classes, "cls")  # few bytes, much work
     train, held = classes.where("in_train"), classes.where("in_eval")
     seqs = lambda side, c, s: side.select(F.col("cls").alias(c), F.col("seq").alias(s))
     return (
