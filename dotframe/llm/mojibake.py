@@ -31,8 +31,8 @@ TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac-roman")
 #: Readings in which pairs of letters of a language are valid UTF-8: there
 #: only whole words count.
 WHOLE_ONLY = ("cp1251", "koi8-r", "iso8859-5", "mac-cyrillic")
-#: A character counts as the corpus's own from this share of its documents on.
-OWN_SHARE = 0.0005
+#: A character counts as the corpus's own if so many different texts hold it.
+OWN_TEXTS = 2
 #: Where nothing else tells, the original must be so many times as frequent as
 #: its garbled form; more for single characters, which many encodings make of
 #: each other.
@@ -222,12 +222,11 @@ def document_tokens(documents: DataFrame) -> DataFrame:
     )
 
 
-def own_characters(vocabulary: DataFrame, n_documents: int) -> tuple[dict[str, int], dict[str, int]]:
-    """Characters in at least OWN_SHARE of the documents, at most as many as
-    Unicode has, with their weights in documents and in different texts."""
-    chars = vocabulary.where("length(token) <= 40").select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "df", "nt")
-    least = max(2, int(OWN_SHARE * n_documents))
-    rows = chars.where("c <> ''").groupBy("c").agg(F.sum("df").alias("n"), F.sum("nt").alias("nt")).where(F.col("n") >= least).collect()
+def own_characters(vocabulary: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """Characters of words in OWN_TEXTS different texts or more, at most as
+    many as Unicode has, with their weights in documents and in texts."""
+    chars = vocabulary.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "df", "nt").where("c <> ''")
+    rows = chars.groupBy("c").agg(F.sum("df").alias("n"), F.sum("nt").alias("nt")).where(F.col("nt") >= OWN_TEXTS).collect()
     return {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
 
 
@@ -264,7 +263,7 @@ def substitutions(documents: DataFrame, tokens: DataFrame | None = None) -> Data
     tokens = document_tokens(documents) if tokens is None else tokens
     by_text = tokens.groupBy("token", "text_id").agg(F.count(F.lit(1)).alias("df"))
     vocabulary = staged(by_text.groupBy("token").agg(F.sum("df").alias("df"), F.count(F.lit(1)).alias("nt")), "vocabulary")
-    own, own_texts = own_characters(vocabulary, documents.count())
+    own, own_texts = own_characters(vocabulary)
     own_b = spark.sparkContext.broadcast(own)
 
     # Sequences as frequent as the character they would stand for are no garbling.
@@ -312,10 +311,12 @@ def substitutions(documents: DataFrame, tokens: DataFrame | None = None) -> Data
     table = clean.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(
         forms, "form string, original string, n long, n_texts long, original_look int, how string"
     )
-    # What words read as after their sequences are undone is looked up.
     # A lost character alone can be any, and a single letter of another script
     # is a word of its own, not garbled punctuation.
     letter = F.col("read").rlike(f"^{LOST}+$") | (F.length("read") == 1) & F.col("read").rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & ~F.col("original").rlike(r"\p{L}")
+    # The table is many times as large as the words it comes from, which is all
+    # that the planner knows of: it is never to be broadcast.
+    table = table.hint("merge")
     matched = (
         judged.groupBy("read").agg(F.sum("df").alias("df"), F.sum("nt").alias("nt"), F.first("look").alias("look"))
         .join(table, F.col("read") == F.col("form")).drop("form")
@@ -325,25 +326,26 @@ def substitutions(documents: DataFrame, tokens: DataFrame | None = None) -> Data
         _directed(matched, judged, tokens)
         .groupBy("read").agg(F.max_by(F.struct("original", "how"), F.struct("sign", "n_texts", "n", "original")).alias("best"))
     )
-    dots = F.col("token").isin(*dot_parts()) if any("⠀" <= c <= "⣿" for c in dot_cells(documents)) else F.lit(False)
+    # Of words whose sequences can be undone the table tells by which chain, if
+    # it holds what they are undone to.
+    undone = judged.where("read <> token").select(F.col("token").alias("form"), F.col("read").alias("original"))
+    by_table = undone.join(table, ["form", "original"]).groupBy(F.col("form").alias("token")).agg(F.min("how").alias("chain"))
+    dots = F.col("token").isin(*dot_parts())
     whole = F.expr("if(best.how not like '% part', best.original, null)")
-    undone = F.expr("if(read <> token, read, null)")
+    read = F.expr("if(read <> token, read, null)")
+    how = F.coalesce("best.how", "chain", F.expr("if(read <> token, 'sequences', 'lost')"))
     return (
-        judged.join(by_word, "read", "left")
+        judged.join(by_word, "read", "left").join(by_table, "token", "left")
         .where(F.expr("best is not null or hard or read <> token") | dots)
-        .select("token", F.coalesce(whole, undone).alias("original"), F.coalesce("best.how", F.expr("if(read <> token, 'utf-8 sequences', 'lost')")).alias("how"))
+        .select("token", F.coalesce(whole, read).alias("original"), how.alias("how"))
     )
 
 
-def dot_cells(documents: DataFrame) -> list[str]:
-    """One dot cell of the corpus, if there is any."""
-    cell = F.regexp_extract("text", "[⠀-⣿]", 0)
-    return [r[0] for r in documents.select(cell.alias("c")).where("c <> ''").limit(1).collect()]
-
-
 def dot_parts() -> list[str]:
-    """Garbled dot cells between two no-break blanks that became plain ones:
-    the last byte of one cell and the first of the next."""
+    """Garbled forms of two dot cells between no-break blanks that became plain
+    ones: the last byte of one cell and the first of the next. Dot cells belong
+    to the project's texts whether or not a corpus holds any, so a document is
+    told alike in every corpus."""
     out = set()
     for r in ("cp1252", "latin-1", "cp1250", "iso8859-2"):
         for b in range(0x80, 0xC0):
