@@ -39,6 +39,14 @@ def iou(a: str, b: str) -> Column:
     return F.when((iw <= 0) | (ih <= 0) | (union <= 0), 0.0).otherwise(inter / union)
 
 
+def distance_l1(dx: Column, dy: Column) -> Column:
+    return F.abs(dx) + F.abs(dy)
+
+
+def distance_l2(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def inside(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return x.between(x0, x1) & y.between(y0, y1)
 

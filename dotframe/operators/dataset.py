@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dotframe.functions.encode import bits_to_label, mirror_bits
 from dotframe.functions.geom import native_tile, tile_boxes
+from dotframe.operators.near import meet
 from dotframe.params import PARAMS
 
 
@@ -35,8 +36,14 @@ def cells_in_tiles(tiles: DataFrame, cells: DataFrame) -> DataFrame:
     hit = cx.between(c("x0") / c("img_w"), c("x1") / c("img_w")) & cy.between(c("y0") / c("img_h"), c("y1") / c("img_h"))
     tw, th = c("x1") - c("x0"), c("y1") - c("y0")
     zero, one = F.lit(0.0), F.lit(1.0)
+    # Tiles of a page are of one size, so that a cell meets those around it only.
+    keyed = cells.where("frac_bbox is not null").withColumnRenamed("page_id", "_k")
+    half = (c("x1") - c("x0")) / 2 + 1, (c("y1") - c("y0")) / 2 + 1
+    sizes = tiles.select(c("page_id").alias("_k"), c("img_w").alias("_iw"), c("img_h").alias("_ih")).distinct()
+    placed = keyed.join(sizes, "_k").withColumn("_px", cx * c("_iw")).withColumn("_py", cy * c("_ih")).drop("_iw", "_ih")
+    met = meet(tiles, placed, hit, ((c("x0") + c("x1")) / 2, (c("y0") + c("y1")) / 2), half, ("_px", "_py")).drop("_px", "_py")
     return (
-        cells.where("frac_bbox is not null").join(tiles, "page_id").where(hit)
+        met
         .withColumn("l", F.greatest(zero, (b["l"] * c("img_w") - c("x0")) / tw))
         .withColumn("t", F.greatest(zero, (b["t"] * c("img_h") - c("y0")) / th))
         .withColumn("r", F.least(one, (b["r"] * c("img_w") - c("x0")) / tw))

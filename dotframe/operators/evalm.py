@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from dotframe.functions.geom import distance_l2
+from dotframe.operators.near import meet
 from dotframe.params import PARAMS
 from dotframe.session import spread
 
@@ -45,6 +48,68 @@ def match_cells(pred: DataFrame, truth: DataFrame, frac: float = PARAMS.match_fr
     )
 
 
+def nearest_truth(pred: DataFrame, truth: DataFrame, frac: float = PARAMS.match_frac) -> DataFrame:
+    """(page_id, det_id, nearest): the det_id of the nearest ground-truth cell
+    closer than frac mean widths of the page (ties: the smaller); predictions
+    without one are left out."""
+    limit = truth.groupBy("page_id").agg((F.avg("w") * frac).alias("_lim"))
+    t = truth.select(F.col("page_id").alias("_k"), F.col("det_id").alias("_id"), F.col("cx").alias("_x"), F.col("cy").alias("_y"))
+    dist = distance_l2(F.col("_x") - F.col("cx"), F.col("_y") - F.col("cy"))
+    lim = F.col("_lim")
+    met = meet(pred.join(limit, "page_id"), t, dist < lim, (F.col("cx"), F.col("cy")), (lim, lim), ("_x", "_y"))
+    return met.groupBy("page_id", "det_id").agg(F.min_by("_id", F.struct(dist.alias("d"), "_id")).alias("nearest"))
+
+
+def report_line(scored: DataFrame, name: Column) -> Column:
+    """One page's line of the quality report; shares are cut to two digits."""
+    two = lambda k: F.floor(F.col(k) * 100) / 100
+    counts = F.format_string("%s gt=%d pred=%d tp=%d ", name, "n_gt", "n_pred", "tp")
+    return F.concat(counts, F.format_string("prec=%.2f rec=%.2f f1=%.2f cls=%.2f", two("prec"), two("rec"), two("f1"), two("ca")))
+
+
+def aggregate_lines(counts: DataFrame) -> DataFrame:
+    """(line_no, line): the block over all pages that ends the report."""
+    three = lambda label, k: F.concat(F.lit(label), F.format_string("%.3f", F.floor(F.col(k) * 1000) / 1000))
+    lines = [
+        F.format_string("AGGREGATE gt=%d pred=%d tp=%d", "n_gt", "n_pred", "tp"),
+        three("Precision : ", "prec"), three("Recall    : ", "rec"), three("F1        : ", "f1"), three("Class acc : ", "ca"),
+    ]
+    return micro_metrics(counts).select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
+
+
+def dot_hits(rows: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
+    """Adds a row a dot: dot 1..6, x (its logit), y (whether it is raised in
+    ``label``) and hit (1 where the sign of x says so)."""
+    one = rows.select("*", F.posexplode(logits).alias("_at", "x")).withColumn("x", F.col("x").cast("double"))
+    one = one.withColumn("dot", F.col("_at") + 1).withColumn("y", F.expr(f"shiftright({label}, _at) & 1")).drop("_at")
+    return one.withColumn("hit", ((F.col("x") > 0) == (F.col("y") == 1)).cast("int"))
+
+
+def dot_accuracy(hits: DataFrame, *by: str) -> DataFrame:
+    return hits.groupBy(*by).agg(F.count(F.lit(1)).alias("n_dots"), F.avg("hit").alias("dot_acc"))
+
+
+def cell_accuracy(hits: DataFrame, key: str, *by: str) -> DataFrame:
+    """A cell counts if all of its dots do."""
+    return hits.groupBy(*by, key).agg(F.min("hit").alias("ok")).groupBy(*by).agg(F.avg("ok").alias("cell_acc"))
+
+
+def image_range(images: DataFrame, start: int = 0, end: int | None = None, order: tuple[str, ...] = ("path",)) -> DataFrame:
+    """The images from place ``start`` (from 0) up to ``end`` of the sorted
+    list, as sliced on the command line, with their place ``n``. A bounded
+    slice takes the first ``end`` images and sorts no more; without an end all
+    are placed by sorted partitions' sizes."""
+    if end is not None:
+        first = images.orderBy(*order).limit(max(0, end))
+        placed = first.withColumn("n", F.row_number().over(W.orderBy(*order)) - 1)  # at most ``end`` rows
+    else:
+        part = images.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+        part = part.withColumn("_p", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+        base = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
+        placed = part.join(base.drop("_c"), "_p").withColumn("n", F.col("_base") + F.col("_in")).drop("_p", "_in", "_id", "_base")
+    return placed.where(F.col("n") >= start).withColumn("n", F.col("n").cast("long"))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """0 where the denominator is 0."""
     return F.when(b == 0, 0.0).otherwise(a / F.nullif(b, F.lit(0)))

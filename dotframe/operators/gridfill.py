@@ -10,21 +10,21 @@ from pyspark.sql import functions as F
 from dotframe.functions.encode import ALL_DOTS
 from dotframe.operators.layout import char_spacing, edge_slots, gap_slots, line_groups
 from dotframe.params import PARAMS
-from dotframe.session import spread
+from dotframe.session import spread, staged
 
 
 def reliable(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("conf") >= PARAMS.high_conf)
 
 
-def slots(lines: DataFrame) -> DataFrame:
+def slots(lines: DataFrame, spacing: DataFrame | None = None) -> DataFrame:
     """Empty places of each page in the order they are visited: line by line;
     gaps from left to right, then outward to the left and the right."""
-    gaps = gap_slots(lines).select("page_id", "line_id", F.lit(0).alias("part"), "det_id", "k", "ex", "ey")
+    gaps = gap_slots(lines, spacing).select("page_id", "line_id", F.lit(0).alias("part"), "det_id", "k", "ex", "ey")
     at = lines.select("page_id", "det_id", "cx")
     gaps = gaps.join(at, ["page_id", "det_id"]).select("page_id", "line_id", "part", F.col("cx").alias("from"), "det_id", "k", "ex", "ey")
     none = F.lit(None)
-    edges = edge_slots(lines).select(
+    edges = edge_slots(lines, spacing).select(
         "page_id", "line_id", F.when(F.col("side") == "left", 1).otherwise(2).alias("part"),
         none.cast("double").alias("from"), none.cast("long").alias("det_id"), "k", "ex", "ey",
     )
@@ -42,9 +42,9 @@ def grid_fill(cells: DataFrame) -> DataFrame:
     """
     ok = reliable(cells)
     size = ok.groupBy("page_id").agg(F.median("w").alias("mw"), F.median("h").alias("mh"))
-    lines = line_groups(ok)
-    spacing = char_spacing(lines).select("page_id", "line_id", "spacing")
-    visit = slots(lines).join(spacing, ["page_id", "line_id"]).join(size, "page_id")
+    lines = staged(line_groups(ok).select("page_id", "line_id", "det_id", "cx", "cy", "w", "h"), "lines")
+    spacing = staged(char_spacing(lines), "spacing")
+    visit = slots(lines, spacing).join(spacing.select("page_id", "line_id", "spacing"), ["page_id", "line_id"]).join(size, "page_id")
     low = cells.where((F.col("conf") < PARAMS.high_conf) & ~((F.col("bits") == ALL_DOTS) & (F.col("conf") < PARAMS.all_dots_min_conf)))
     fresh = lambda df, *cols: df.select(*[F.col(k).alias(k) for k in cols])
     low = fresh(low.join(size, "page_id"), "page_id", "det_id", "cx", "cy", "w", "h", "conf", "bits")

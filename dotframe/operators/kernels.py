@@ -29,34 +29,58 @@ def paper_levels(grey: np.ndarray, cx: float, cy: float, w: float, h: float) ->
     return tuple(np.percentile(part, (25, 75))) if part.size else None
 
 
-def dot_strength(grey: np.ndarray, cx: float, cy: float, w: float, h: float) -> np.ndarray:
-    """Six signals: the largest of brighter than paper, darker than paper and
-    contrast, in the patch at each dot; 0 where the patch leaves the image."""
-    out = np.zeros(6)
-    paper = paper_levels(grey, cx, cy, w, h)
-    if paper is None:
-        return out
+def _windows(grey: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, range) of the square of 2r pixels around every place where it
+    fits: row y - r of the result is for centre y."""
+    squares = np.lib.stride_tricks.sliding_window_view(grey.astype(float), (2 * r, 2 * r))
+    return squares.mean(axis=(2, 3)), squares.max(axis=(2, 3)) - squares.min(axis=(2, 3))
+
+
+def dot_strengths(grey: np.ndarray, xs: np.ndarray, ys: np.ndarray, w: float, h: float) -> np.ndarray:
+    """Six signals of a cell at each of the given centres: the largest of
+    brighter than paper, darker than paper and contrast, in the patch at each
+    dot; 0 where the patch leaves the image, and where no pixel is the cell's.
+    Patches of all centres are taken from one table of windows."""
+    rows, cols = grey.shape
     r = max(2, int(min(w, h) * SAMPLE_RADIUS * 1.5))
-    for i, (dx, dy) in enumerate(DOT_OFFSETS):
-        x, y = int(cx + dx * w), int(cy + dy * h)
-        if r <= x < grey.shape[1] - r and r <= y < grey.shape[0] - r:
-            patch = grey[y - r : y + r, x - r : x + r].astype(float)
-            mean = patch.mean()
-            out[i] = max(mean - paper[0], paper[1] - mean, np.ptp(patch))
+    out = np.zeros((len(xs), 6))
+    level = [paper_levels(grey, x, y, w, h) for x, y in zip(xs, ys)]
+    some = np.array([p is not None for p in level], dtype=bool)
+    if not some.any() or rows < 2 * r or cols < 2 * r:
+        return out
+    paper = np.array([p or (0.0, 0.0) for p in level])
+    dx, dy = np.array(DOT_OFFSETS).T
+    at_x, at_y = np.trunc(xs[:, None] + dx * w).astype(int), np.trunc(ys[:, None] + dy * h).astype(int)
+    ok = some[:, None] & (at_x >= r) & (at_x < cols - r) & (at_y >= r) & (at_y < rows - r)
+    if not ok.any():
+        return out
+    y0, y1, x0, x1 = at_y[ok].min() - r, at_y[ok].max() + r, at_x[ok].min() - r, at_x[ok].max() + r
+    mean, spread = _windows(grey[y0:y1, x0:x1], r)
+    k, dot = np.nonzero(ok)
+    m, s = (v[at_y[ok] - r - y0, at_x[ok] - r - x0] for v in (mean, spread))
+    out[k, dot] = np.max([m - paper[k, 0], paper[k, 1] - m, s], axis=0)
     return out
 
 
+def dot_strength(grey: np.ndarray, cx: float, cy: float, w: float, h: float) -> np.ndarray:
+    return dot_strengths(grey, np.array([cx], dtype=float), np.array([cy], dtype=float), w, h)[0]
+
+
 def snap(grey: np.ndarray, ex: float, ey: float, w: float, h: float) -> tuple[float, float, float, float]:
     """Best centre near (ex, ey): the offset, row by row, whose six signals
     have the largest sum (the first of equals); with that sum and their peak."""
-    sx, sy, step = int(w * 0.20), int(h * 0.15), max(2, int(min(w, h) * 0.06))
-    best = (ex, ey, -1.0, 0.0)
-    for dy in range(-sy, sy + 1, step):
-        for dx in range(-sx, sx + 1, step):
-            s = dot_strength(grey, ex + dx, ey + dy, w, h)
-            if s.sum() > best[2]:
-                best = (ex + dx, ey + dy, float(s.sum()), float(s.max()))
-    return best
+    step = max(2, int(min(w, h) * 0.06))
+    along = lambda reach: np.arange(-reach, reach + 1, step)
+    dy, dx = (v.ravel() for v in np.meshgrid(along(int(h * 0.15)), along(int(w * 0.20)), indexing="ij"))
+    signals = dot_strengths(grey, ex + dx, ey + dy, w, h)
+    total = signals.sum(axis=1)
+    k = int(total.argmax())
+    return float(ex + dx[k]), float(ey + dy[k]), float(total[k]), float(signals[k].max())
+
+
+def cell_present(signals: np.ndarray, threshold: float, least: int = 2) -> bool:
+    """Whether so many dots stand out."""
+    return int((signals > threshold).sum()) >= least
 
 
 def resize(src: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
@@ -175,6 +199,18 @@ def normalised(patches: DataFrame, key: str) -> DataFrame:
     return patches.select(key, "image").mapInPandas(run, schema)
 
 
+def present_cells(signals: DataFrame, key: str, threshold: float, least: int = 2) -> DataFrame:
+    """(key, present) of dot signals: see cell_present."""
+    return signals.groupBy(key).agg((F.count_if(F.col("strength") > threshold) >= least).alias("present"))
+
+
+def pixel_levels(patches: DataFrame, key: str) -> DataFrame:
+    """(key, paper_low, paper_high): quartiles of a patch's pixels."""
+    px = patches.select(key, F.explode(F.flatten("image")).alias("_v"))
+    q = lambda p, n: F.percentile("_v", F.lit(p)).alias(n)
+    return px.groupBy(key).agg(q(0.25, "paper_low"), q(0.75, "paper_high"))
+
+
 def dot_threshold(signals: DataFrame, by: str) -> DataFrame:
     """Per group: 25th percentile of the strengths of present dots, at least
     5, and 20 without any. ``present`` tells the dots."""

@@ -108,7 +108,12 @@ def line_strings(lines: DataFrame) -> DataFrame:
 
 def page_text(cells: DataFrame) -> DataFrame:
     """One row per page: its lines of dot characters, joined by newlines."""
-    return line_strings(line_groups(cells)).groupBy("page_id").agg(_joined(F.col("text"), "line_id", sep="\n").alias("text"))
+    return joined_lines(line_strings(line_groups(cells)))
+
+
+def joined_lines(lines: DataFrame) -> DataFrame:
+    """(page_id, text) of lines (page_id, line_id, text)."""
+    return lines.groupBy("page_id").agg(_joined(F.col("text"), "line_id", sep="\n").alias("text"))
 
 
 def strip_markout(lines: DataFrame, min_run: int = 2, order: tuple[str, ...] = ("cy", "det_id")) -> DataFrame:
@@ -136,13 +141,28 @@ def horizontal_runs(lines: DataFrame, factor: float = 3.0) -> DataFrame:
     )
 
 
+def small_clusters(lines: DataFrame, most: int = 3) -> DataFrame:
+    """Runs of at most ``most`` cells: (page_id, line_id, run_id, n)."""
+    n = horizontal_runs(lines).groupBy("page_id", "line_id", "run_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.where(F.col("n") <= most)
+
+
+def ordinal_names(cells: DataFrame, stem: Column) -> DataFrame:
+    """Adds ``name``: the stem, with the cell's number from the top where its
+    page has several."""
+    n = F.row_number().over(_down()) - 1
+    named = cells.withColumn("_n", n).withColumn("_of", F.count(F.lit(1)).over(_page()))
+    return named.withColumn("name", F.when(F.col("_of") > 1, F.format_string("%s_%04d", stem, "_n")).otherwise(stem)).drop("_n", "_of")
+
+
 def usable(spacing: DataFrame) -> DataFrame:
     return spacing.where((F.col("n_cells") >= 2) & (F.col("spacing") >= 0.6 * F.col("median_w")))
 
 
-def gap_slots(lines: DataFrame) -> DataFrame:
-    """Empty places between cells of a line, at multiples of its spacing."""
-    s = usable(char_spacing(lines)).select("page_id", "line_id", "spacing", "row_y")
+def gap_slots(lines: DataFrame, spacing: DataFrame | None = None) -> DataFrame:
+    """Empty places between cells of a line, at multiples of its spacing
+    (``char_spacing``, if it is there already)."""
+    s = usable(char_spacing(lines) if spacing is None else spacing).select("page_id", "line_id", "spacing", "row_y")
     ahead = lines.withColumn("_next", F.lead("cx").over(_read())).where("_next is not null")
     n = half_even((F.col("_next") - F.col("cx")) / F.col("spacing")).cast("int") - 1
     return (
@@ -160,10 +180,10 @@ def text_bounds(lines: DataFrame) -> DataFrame:
     )
 
 
-def edge_slots(lines: DataFrame) -> DataFrame:
+def edge_slots(lines: DataFrame, spacing: DataFrame | None = None) -> DataFrame:
     """Empty places before a line's first and after its last cell, up to the
     text block."""
-    s = usable(char_spacing(lines)).join(text_bounds(lines), "page_id")
+    s = usable(char_spacing(lines) if spacing is None else spacing).join(text_bounds(lines), "page_id")
     cs = F.col("spacing")
     # Places first - k * cs > left - cs / 2, and mirrored.
     left = F.ceil((F.col("first_cx") - F.col("text_left")) / cs + 0.5) - 1

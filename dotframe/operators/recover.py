@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dotframe.functions.geom import native_tile
+from dotframe.operators.near import meet
 from dotframe.params import PARAMS
 
 
@@ -38,10 +39,10 @@ def scale_decision(cells: DataFrame, tile: int = PARAMS.tile_size) -> DataFrame:
 
 def not_near_known(slots: DataFrame, known: DataFrame) -> DataFrame:
     """Places (page_id, ex, ey, w, h) with no known cell within 0.7 of the size."""
-    k = known.select(F.col("page_id").alias("_p"), F.col("cx").alias("_x"), F.col("cy").alias("_y"))
+    k = known.select(F.col("page_id").alias("_k"), F.col("cx").alias("_x"), F.col("cy").alias("_y"))
     c = F.col
-    near = (c("page_id") == c("_p")) & (F.abs(c("ex") - c("_x")) < 0.7 * c("w")) & (F.abs(c("ey") - c("_y")) < 0.7 * c("h"))
-    return slots.join(k, near, "left_anti")
+    near = (F.abs(c("ex") - c("_x")) < 0.7 * c("w")) & (F.abs(c("ey") - c("_y")) < 0.7 * c("h"))
+    return meet(slots, k, near, (c("ex"), c("ey")), (0.7 * c("w"), 0.7 * c("h")), ("_x", "_y"), "left_anti")
 
 
 def new_by_rounding(found: DataFrame, known: DataFrame) -> DataFrame:

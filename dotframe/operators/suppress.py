@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from dotframe.functions.geom import corners, inside, iou
+from dotframe.functions.geom import corners, inside, iou, shape_scores
+from dotframe.operators.near import meet
 from dotframe.params import PARAMS
 from dotframe.session import spread
 
@@ -19,23 +20,30 @@ def with_corners(cells: DataFrame) -> DataFrame:
 
 def pairs(cells: DataFrame, threshold: float, key: str = "page_id") -> DataFrame:
     """Pairs of cells of one page with an IoU above the threshold, the one
-    that suppresses first: (key, hi, lo, iou). Cells meet in grid buckets, so
-    a page with many cells costs its overlaps and not its square."""
-    boxed = with_corners(cells).select(key, "det_id", "conf", "x0", "y0", "x1", "y1", "w", "h")
-    size = boxed.groupBy(key).agg(F.greatest(F.max("w"), F.lit(1e-6)).alias("_bw"), F.greatest(F.max("h"), F.lit(1e-6)).alias("_bh"))
-    placed = boxed.join(size, key).withColumn("_gx", F.floor(F.col("x0") / F.col("_bw"))).withColumn("_gy", F.floor(F.col("y0") / F.col("_bh")))
-    near = placed.withColumn("_gx", F.explode(F.array(*(F.col("_gx") + d for d in (-1, 0, 1))))).withColumn(
-        "_gy", F.explode(F.array(*(F.col("_gy") + d for d in (-1, 0, 1))))
-    )
-    side = lambda df, p: df.select(key, "_gx", "_gy", *[F.col(c).alias(p + c) for c in ("det_id", "conf", "x0", "y0", "x1", "y1")])
+    that suppresses first: (key, hi, lo, iou)."""
+    boxed = with_corners(cells).select(key, "det_id", "conf", "cx", "cy", "w", "h", "x0", "y0", "x1", "y1")
+    side = lambda p, k: boxed.select(F.col(key).alias(k), *[F.col(c).alias(p + c) for c in boxed.columns[1:]])
     first = (F.col("a_conf") > F.col("b_conf")) | ((F.col("a_conf") == F.col("b_conf")) & (F.col("a_det_id") < F.col("b_det_id")))
+    # Boxes that overlap have centres nearer than the widest and highest box.
+    met = meet(side("a_", key), side("b_", "_k"), first, (F.col("a_cx"), F.col("a_cy")), (F.col("a_w"), F.col("a_h")), ("b_cx", "b_cy"), key=key)
     return (
-        side(near, "a_").join(side(placed, "b_"), [key, "_gx", "_gy"])
-        .where(first).withColumn("iou", iou("a_", "b_")).where(F.col("iou") > threshold)
+        met.withColumn("iou", iou("a_", "b_")).where(F.col("iou") > threshold)
         .select(key, F.col("a_det_id").alias("hi"), F.col("b_det_id").alias("lo"), "iou")
     )
 
 
+def row_context(conflicts: DataFrame, cells: DataFrame, reliable: DataFrame) -> DataFrame:
+    """Per conflict (page_id, hi, lo) the number n_row of other reliable cells
+    on the row of the two: within 0.55 of the larger height of their middle."""
+    at = lambda k: cells.select("page_id", F.col("det_id").alias(k), F.col("cy").alias(f"_{k}_cy"), F.col("h").alias(f"_{k}_h"))
+    ctx = conflicts.join(at("hi"), ["page_id", "hi"]).join(at("lo"), ["page_id", "lo"])
+    middle, band = (F.col("_hi_cy") + F.col("_lo_cy")) / 2, F.greatest("_hi_h", "_lo_h") * PARAMS.line_band
+    others = reliable.select(F.col("page_id").alias("_k"), F.col("det_id").alias("_other"), F.col("cy").alias("_y"), F.lit(0.0).alias("_x"))
+    row = (F.abs(F.col("_y") - middle) < band) & ~F.col("_other").isin(F.col("hi"), F.col("lo"))
+    met = meet(ctx, others, row, (F.lit(0.0), middle), (F.lit(1.0), band), ("_x", "_y"), "left")
+    return met.groupBy("page_id", "hi", "lo").agg(F.count("_other").alias("n_row"))
+
+
 def nms(cells: DataFrame, threshold: float = PARAMS.tile_dedupe_iou, max_det: int | None = None, key: str = "page_id") -> DataFrame:
     """Greedy suppression in the order of conf (ties: det_id): a cell goes if a
     surviving one before it overlaps it more than the threshold. Only cells in
@@ -70,32 +78,51 @@ def tile_edge_filter(cells: DataFrame, margin: float = PARAMS.tile_edge_margin)
 
 def containers_with_cells(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     """Boxes (page_id, bx0 .. by1) that hold the centre of a cell."""
-    hit = inside(F.col("cx"), F.col("cy"), *(F.col(c) for c in ("bx0", "by0", "bx1", "by1")))
-    some = cells.select(F.col("page_id").alias("_page"), "cx", "cy")
-    return boxes.join(some, (F.col("page_id") == F.col("_page")) & hit, "left_semi")
-
-
-def _grid_fit(cells: np.ndarray, a: int, b: int, alive: np.ndarray) -> int | None:
-    """Which of two overlapping cells fits its row's grid better (a or b); by
-    confidence without a row, None if neither fits. Columns: cx cy w h conf."""
-    row = alive.copy()
-    row[[a, b]] = False
-    band = max(cells[a, 3], cells[b, 3]) * PARAMS.line_band
-    row &= (np.abs(cells[:, 1] - (cells[a, 1] + cells[b, 1]) / 2) < band) & (cells[:, 4] >= PARAMS.high_conf)
+    c = F.col
+    some = cells.select(c("page_id").alias("_k"), c("cx").alias("_x"), c("cy").alias("_y"))
+    hit = inside(c("_x"), c("_y"), *(c(k) for k in ("bx0", "by0", "bx1", "by1")))
+    middle, half = ((c("bx0") + c("bx1")) / 2, (c("by0") + c("by1")) / 2), ((c("bx1") - c("bx0")) / 2, (c("by1") - c("by0")) / 2)
+    return meet(boxes, some, hit, middle, half, ("_x", "_y"), "left_semi")
+
+
+def fair_contours(contours: DataFrame) -> DataFrame:
+    """Contours (area, perimeter, w, h, whole: the photo's area) of a fair size
+    that fill their bounding box or are round."""
+    c = F.col
+    scored = contours.select("*", *shape_scores(c("area"), c("perimeter"), c("w"), c("h")))
+    size = (c("area") / c("whole")).between(PARAMS.contour_min_area, PARAMS.contour_max_area)
+    return scored.where(size & (F.greatest("rectangularity", "circularity") >= PARAMS.contour_min_shape))
+
+
+def large_enough(boxes: DataFrame) -> DataFrame:
+    """Containers (bx0 .. by1) that can hold a cell at all."""
+    c = F.col
+    return boxes.where((c("bx1") - c("bx0") >= PARAMS.container_min_side) & (c("by1") - c("by0") >= PARAMS.container_min_side))
+
+
+def _settle(cells: np.ndarray, pair: np.ndarray, alive: np.ndarray) -> int | None:
+    """Which of two overlapping cells fits its row's grid better; by confidence
+    without a row, None if neither fits. Columns: cx cy w h conf. Both are
+    scored at once, against slots of the row's pitch from its middle phase."""
+    two = cells[pair]
+    more_sure = int(pair[0] if two[0, 4] >= two[1, 4] else pair[1])
+    off_line = np.abs(cells[:, 1] - two[:, 1].mean())
+    row = alive & (off_line < two[:, 3].max() * PARAMS.line_band) & (cells[:, 4] >= PARAMS.high_conf)
+    row[pair] = False
     if not row.any():
-        return a if cells[a, 4] >= cells[b, 4] else b
-    xs = np.sort(cells[row, 0])
-    pitch = float(np.median(np.diff(xs))) if len(xs) > 1 else max(cells[a, 2], cells[b, 2]) * 1.7
-    if pitch <= 0:
+        return more_sure
+    x = np.sort(cells[row, 0])
+    pitch = np.median(np.diff(x)) if x.size > 1 else 1.7 * two[:, 2].max()
+    if not pitch > 0:
         return None
-    shift = float(np.median(xs - pitch * np.floor((xs - xs[0]) / pitch + 0.5)))
-    off = {i: abs(cells[i, 0] - shift - pitch * np.floor((cells[i, 0] - shift) / pitch + 0.5)) for i in (a, b)}
-    fits = [i for i in (a, b) if off[i] <= pitch * PARAMS.slot_tolerance]
-    if len(fits) < 2:
-        return fits[0] if fits else None
-    level = float(np.median(cells[row, 1]))
-    score = {i: off[i] + abs(cells[i, 1] - level) for i in (a, b)}
-    return a if score[a] <= score[b] else b
+
+    def from_slot(v: np.ndarray, origin: float) -> np.ndarray:
+        return v - origin - pitch * np.floor((v - origin) / pitch + 0.5)
+
+    phase = x[0] + np.median(from_slot(x, x[0]))
+    off = np.abs(from_slot(two[:, 0], phase))
+    cost = np.where(off <= PARAMS.slot_tolerance * pitch, off + np.abs(two[:, 1] - np.median(cells[row, 1])), np.inf)
+    return int(pair[cost.argmin()]) if np.isfinite(cost).any() else None
 
 
 def surviving(cells: np.ndarray, threshold: float = PARAMS.residual_iou) -> np.ndarray:
@@ -117,7 +144,7 @@ def surviving(cells: np.ndarray, threshold: float = PARAMS.residual_iou) -> np.n
     alive = np.ones(n, dtype=bool)
     for _, a, b in sorted(found):
         if alive[a] and alive[b]:
-            best = _grid_fit(cells, a, b, alive)
+            best = _settle(cells, np.array([a, b]), alive)
             if best is not None:
                 alive[b if best == a else a] = False
     return alive

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from dotframe.functions.encode import blank_to_space
 from dotframe.functions.text import strip_orphans
 
 # Dots of the first ten letters.
@@ -32,17 +34,49 @@ def back_translate(text: Column) -> Column:
 
 def with_translator(lines: DataFrame, translate: Callable[[list[str]], list[str]], column: str = "text") -> DataFrame:
     """Adds ``translated`` by an outside translator that takes a batch of
-    lines; what it raises becomes text, as ``(error: ...)``."""
+    lines of dot characters, their blanks as spaces and stripped. Lines that
+    are blank then become empty without a call. Where a batch fails, its lines
+    are tried one by one, and what a line raises becomes text, as
+    ``(error: ...)``."""
+
+    def one(line: str) -> str:
+        try:
+            return translate([line])[0]
+        except Exception as e:  # noqa: BLE001 - the translator is not ours
+            return f"(error: {e})"
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            out = pdf["_line"].tolist()
+            at = [i for i, x in enumerate(out) if x]
+            some = [out[i] for i in at]
             try:
-                out = translate(pdf[column].fillna("").tolist())
-            except Exception as e:  # noqa: BLE001 - the translator is not ours
-                out = [f"(error: {e})"] * len(pdf)
-            yield pdf.assign(translated=out)
+                got = translate(some) if some else []
+                if len(got) != len(some):
+                    raise ValueError(f"{len(got)} lines for {len(some)}")
+            except Exception:  # noqa: BLE001
+                got = [one(x) for x in some]
+            for i, x in zip(at, got):
+                out[i] = x
+            yield pdf.drop(columns=["_line"]).assign(translated=out)
+
+    ready = lines.withColumn("_line", F.coalesce(blank_to_space(F.col(column)), F.lit("")))
+    return ready.mapInPandas(run, lines.select("*", F.lit("").alias("translated")).schema)
+
+
+def command(program: str = "lou_translate", tables: str = "en-ueb-g2.ctb", timeout: float = 10.0) -> Callable[[list[str]], list[str]]:
+    """A translator that runs a program for each line, with the tables it is to
+    use: what it prints, or ``(err: ...)`` with what it complains of. A line
+    that takes longer than ``timeout`` seconds raises."""
 
-    return lines.mapInPandas(run, lines.select("*", F.lit("").alias("translated")).schema)
+    def run(lines: list[str]) -> list[str]:
+        out = []
+        for line in lines:
+            done = subprocess.run([program, "-b", tables], input=line, capture_output=True, text=True, timeout=timeout, check=False)
+            out.append(done.stdout.strip() if done.returncode == 0 else f"(err: {done.stderr.strip()})")
+        return out
+
+    return run
 
 
 def _deletes(word: Column) -> Column:
@@ -76,6 +110,11 @@ def dictionary(words: DataFrame, covered: float = COVERED) -> DataFrame:
     return usual.unionByName(rare).unionByName(domain).groupBy("word").agg(F.max("freq").alias("freq"))
 
 
+def unknown_words(words: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Words of the texts that the dictionary lacks."""
+    return words.select("word").join((dictionary(words) if known is None else known).select("word"), "word", "left_anti")
+
+
 def corrections(unknown: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, correction): the dictionary word (word, freq) within two edits
     of each unknown one, by distance, then frequency, then alphabet. Words

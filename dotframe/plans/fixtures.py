@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from dotframe.functions import geom
 from dotframe.functions.encode import bits_to_label
 from dotframe.operators.gridfill import reliable
 from dotframe.operators.layout import line_groups
@@ -32,9 +34,21 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return line_groups(rel(spark, sf))
 
 
+def shots(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "predicted_cells").where("shot_id is not null and page_id is not null").select("shot_id", "page_id").distinct()
+
+
+def numbered(boxes: DataFrame) -> DataFrame:
+    """Adds n, from 1: the order of a page's annotated cells."""
+    b = F.col("frac_bbox")
+    order = W.partitionBy("page_id").orderBy("cell_idx", b["l"], b["t"], b["r"], b["b"], F.coalesce("bits6", F.lit("")), F.coalesce("label", F.lit(-1)))
+    return boxes.withColumn("n", F.row_number().over(order).cast("long"))
+
+
 def truth(spark: SparkSession, sf: str) -> DataFrame:
-    """Ground truth of known matches: the reliable cells, moved by a pixel."""
-    return rel(spark, sf).withColumn("cx", F.col("cx") + 1).withColumn("cy", F.col("cy") - 1)
+    """Ground truth of each photograph: the annotated cells of its page."""
+    cells = numbered(boxes(spark, sf)).select("page_id", F.col("n").alias("det_id"), *geom.frac_to_centre("frac_bbox", F.col("img_w"), F.col("img_h")), F.col("bits6").alias("bits"))
+    return shots(spark, sf).join(cells, "page_id").drop("page_id").withColumnRenamed("shot_id", "page_id")
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,6 +70,11 @@ def crops(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def all_crops(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifest rows, each once."""
+    return table(spark, sf, "manifest").select("crop_id", "page_id", "cell_idx", "split", "path", "bits6", "label_int").distinct()
+
+
 def patches(spark: SparkSession, sf: str) -> DataFrame:
     """Grey patches of 32 by 32, each 4 by 4 block a component of a vector,
     with one cell that fills the patch and its dots by the first components."""
@@ -112,12 +131,15 @@ edge_slots AS (
   SELECT page_id, line_id, 'left' AS side, k, first_cx - k*spacing AS ex, row_y AS ey FROM (SELECT *, unnest(range(1, nl + 1)) AS k FROM edge_n WHERE nl >= 1)
   UNION ALL
   SELECT page_id, line_id, 'right', k, last_cx + k*spacing, row_y FROM (SELECT *, unnest(range(1, nr + 1)) AS k FROM edge_n WHERE nr >= 1)),
-truth AS (SELECT page_id, det_id, cx + 1 AS cx, cy - 1 AS cy, w, h, conf, bits FROM rel),
 gt AS (
   SELECT page_id, cell_idx, l, t, r, b, bits6, label, img_w, img_h FROM (
     SELECT DISTINCT page_id, cell_idx, frac_bbox.l AS l, frac_bbox.t AS t, frac_bbox.r AS r, frac_bbox.b AS b, bits6, label FROM gt_cells
     WHERE 0 <= frac_bbox.l AND frac_bbox.l < frac_bbox.r AND frac_bbox.r <= 1 AND 0 <= frac_bbox.t AND frac_bbox.t < frac_bbox.b AND frac_bbox.b <= 1)
   JOIN page_images USING (page_id)),
+truth AS (
+  SELECT s.shot_id AS page_id, row_number() OVER (PARTITION BY s.shot_id ORDER BY cell_idx, l, t, r, b, coalesce(bits6, ''), coalesce(label, -1)) AS det_id,
+    (l + r)/2*img_w AS cx, (t + b)/2*img_h AS cy, (r - l)*img_w AS w, (b - t)*img_h AS h, bits6 AS bits
+  FROM gt JOIN (SELECT DISTINCT shot_id, page_id FROM predicted_cells WHERE shot_id IS NOT NULL AND page_id IS NOT NULL) s USING (page_id)),
 crops AS (
   SELECT DISTINCT crop_id, page_id, cell_idx, split, path, bits6, label_int FROM manifest
   WHERE label_int BETWEEN 1 AND 63 AND CASE WHEN regexp_full_match(bits6, '[01]{{6}}') THEN {label_sql("bits6")} = label_int ELSE false END),

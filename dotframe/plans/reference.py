@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from dotframe import pipeline
 from dotframe.functions import encode, geom
 from dotframe.functions import text as names
-from dotframe.operators import dataset, evalm, gridfill, kernels, layout, recover, sinks, suppress, translate
+from dotframe.operators import dataset, detector, evalm, gridfill, kernels, layout, recover, sinks, suppress, translate
 from dotframe.plans import fixtures as fx
 from dotframe.plans.fixtures import PRE, label_sql
 from dotframe.session import staged
@@ -80,20 +81,18 @@ h AS (SELECT *, CASE WHEN (x > 0) = (y = 1) THEN 1 ELSE 0 END AS hit FROM v)
 
 
 def _logits(s, d):
-    v = table(s, d, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 6)).alias("i", "x"))
-    return v.select("vec_id", "label", c("x").cast("double").alias("x"), F.expr("shiftright(label, i) & 1").alias("y")).withColumn(
-        "hit", ((c("x") > 0) == (c("y") == 1)).cast("int")
-    )
+    v = table(s, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 6).alias("logits"))
+    return evalm.dot_hits(v).select("vec_id", "label", "dot", "x", "y", "hit")
 
 
 @query(_HITS + "SELECT label, CAST(count(*) AS BIGINT) AS n_dots, round(avg(hit), 6) AS dot_acc FROM h GROUP BY label")
 def dot_accuracy(s, d):
-    return _logits(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n_dots"), F.round(F.avg("hit"), 6).alias("dot_acc"))
+    return evalm.dot_accuracy(_logits(s, d), "label").withColumn("dot_acc", F.round("dot_acc", 6))
 
 
 @query(_HITS + "SELECT label, round(avg(ok), 6) AS cell_acc FROM (SELECT label, vec_id, min(hit) AS ok FROM h GROUP BY label, vec_id) GROUP BY label")
 def cell_accuracy(s, d):
-    return _logits(s, d).groupBy("label", "vec_id").agg(F.min("hit").alias("ok")).groupBy("label").agg(F.round(F.avg("ok"), 6).alias("cell_acc"))
+    return evalm.cell_accuracy(_logits(s, d), "vec_id", "label").withColumn("cell_acc", F.round("cell_acc", 6))
 
 
 @query(_HITS + "SELECT label, round(avg(greatest(x, 0) - x*y + ln(1 + exp(-abs(x)))), 6) AS loss FROM h GROUP BY label")
@@ -149,7 +148,7 @@ def center_distances(s, d):
     o = W.partitionBy("page_id").orderBy("det_id")
     n = fx.cells(s, d).withColumn("px", F.lag("cx").over(o)).withColumn("py", F.lag("cy").over(o)).where("px is not null")
     return n.select(
-        "det_id", F.round(F.abs(c("cx") - c("px")) + F.abs(c("cy") - c("py")), 6).alias("l1"), F.round(F.hypot(c("cx") - c("px"), c("cy") - c("py")), 6).alias("l2")
+        "det_id", F.round(geom.distance_l1(c("cx") - c("px"), c("cy") - c("py")), 6).alias("l1"), F.round(geom.distance_l2(c("cx") - c("px"), c("cy") - c("py")), 6).alias("l2")
     )
 
 
@@ -364,17 +363,20 @@ def scale_decision(s, d):
 # Suppression ---------------------------------------------------------------
 
 
-def _nms_sql(t: float, limit: int | None = None) -> str:
-    fold = f""", folded AS (
-  SELECT page_id, list_reduce(list([{{'id': det_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'conf': conf}}] ORDER BY conf DESC, det_id),
+def _fold_sql(t: float, frm: str = "box", id_: str = "det_id") -> str:
+    return f""", folded AS (
+  SELECT page_id, list_reduce(list([{{'id': {id_}, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'conf': conf}}] ORDER BY conf DESC, {id_}),
     lambda kept, e: CASE WHEN len(list_filter(kept, lambda k: least(k.x1, e[1].x1) > greatest(k.x0, e[1].x0) AND least(k.y1, e[1].y1) > greatest(k.y0, e[1].y0) AND
       (least(k.x1, e[1].x1) - greatest(k.x0, e[1].x0))*(least(k.y1, e[1].y1) - greatest(k.y0, e[1].y0)) > {t}e0*((k.x1 - k.x0)*(k.y1 - k.y0)
       + (e[1].x1 - e[1].x0)*(e[1].y1 - e[1].y0) - (least(k.x1, e[1].x1) - greatest(k.x0, e[1].x0))*(least(k.y1, e[1].y1) - greatest(k.y0, e[1].y0))))) > 0
-    THEN kept ELSE list_concat(kept, e) END) AS kept FROM box GROUP BY page_id),
+    THEN kept ELSE list_concat(kept, e) END) AS kept FROM {frm} GROUP BY page_id),
 survivors AS (SELECT page_id, unnest(kept, recursive := true) FROM folded)
 """
+
+
+def _nms_sql(t: float, limit: int | None = None, frm: str = "box") -> str:
     where = f" QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY conf DESC, id) <= {limit}" if limit else ""
-    return fold + f"SELECT page_id, id AS det_id FROM survivors{where}"
+    return _fold_sql(t, frm) + f"SELECT page_id, id AS det_id FROM survivors{where}"
 
 
 @query(_nms_sql(0.5))
@@ -472,7 +474,7 @@ FROM (SELECT *, median(w) OVER (PARTITION BY page_id) AS mw FROM gaps))
 SELECT page_id, line_id, CAST(run_id AS BIGINT) AS run_id, count(*) AS n FROM r GROUP BY ALL HAVING count(*) <= 3"""
 )
 def small_clusters(s, d):
-    return layout.horizontal_runs(fx.lines(s, d)).groupBy("page_id", "line_id", "run_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 3")
+    return layout.small_clusters(fx.lines(s, d))
 
 
 @query(
@@ -504,17 +506,13 @@ def sheet_positions(s, d):
 SELECT page_id, det_id, CASE WHEN of_page > 1 THEN printf('shot%d_%04d', page_id, n) ELSE printf('shot%d', page_id) END AS name FROM o"""
 )
 def ordinal_names(s, d):
-    n = F.row_number().over(W.partitionBy("page_id").orderBy("cy", "det_id")) - 1
-    named = fx.cells(s, d).withColumn("n", n).withColumn("of_page", F.count(F.lit(1)).over(W.partitionBy("page_id")))
-    name = F.when(c("of_page") > 1, F.format_string("shot%d_%04d", "page_id", "n")).otherwise(F.format_string("shot%d", "page_id"))
-    return named.select("page_id", "det_id", name.alias("name"))
+    return layout.ordinal_names(fx.cells(s, d), F.format_string("shot%d", "page_id")).select("page_id", "det_id", "name")
 
 
 # Rescue --------------------------------------------------------------------
 
 
-@query(
-    """, size AS (SELECT page_id, median(w) AS mw, median(h) AS mh FROM rel GROUP BY page_id),
+_CLAIMS = """, size AS (SELECT page_id, median(w) AS mw, median(h) AS mh FROM rel GROUP BY page_id),
 slot AS (
   SELECT page_id, line_id, 0 AS part, "from", det_id, k, ex, ey FROM gap_slots
   UNION ALL SELECT page_id, line_id, CASE WHEN side = 'left' THEN 1 ELSE 2 END, NULL, NULL, k, ex, ey FROM edge_slots),
@@ -529,7 +527,12 @@ fold AS (
   SELECT page_id, list_reduce(list([{'n': n, 'id': CAST(NULL AS BIGINT), 'ids': coalesce(ids, [])}] ORDER BY n),
     lambda s, e: list_concat(s, [{'n': e[1].n, 'id': list_filter(e[1].ids, lambda x: NOT coalesce(list_contains(list_transform(s, lambda y: y.id), x), false))[1], 'ids': CAST([] AS BIGINT[])}]),
     CAST([] AS STRUCT(n BIGINT, id BIGINT, ids BIGINT[])[])) AS got FROM cand GROUP BY page_id),
-claims AS (SELECT page_id, unnest(got, recursive := true) FROM fold)
+claims AS (SELECT page_id, unnest(got, recursive := true) FROM fold)"""
+
+
+@query(
+    _CLAIMS
+    + """
 SELECT page_id, 'reliable' AS stage, det_id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM rel
 UNION ALL SELECT c.page_id, 'rescued', c.id, round(k.cx, 6), round(k.cy, 6) FROM claims c JOIN cells k ON k.page_id = c.page_id AND k.det_id = c.id
 UNION ALL SELECT c.page_id, CASE WHEN part = 0 THEN 'gap' ELSE 'edge' END, NULL, round(ex, 6), round(ey, 6) FROM claims c JOIN num USING (page_id, n) WHERE c.id IS NULL
@@ -539,6 +542,30 @@ def grid_fill(s, d):
     return gridfill.grid_fill(fx.cells(s, d)).select("page_id", "stage", "det_id", *r6("cx", "cy"))
 
 
+_HEAD = PRE.replace("WITH cells AS (", "WITH raw AS (", 1).split("box AS (", 1)
+_PROCESS = f"""{_HEAD[0].rstrip().rstrip(",")},
+rbox AS (SELECT *, cx - w/2 AS x0, cy - h/2 AS y0, cx + w/2 AS x1, cy + h/2 AS y1 FROM raw){_fold_sql(0.5, "rbox")},
+cells AS (SELECT raw.* FROM raw JOIN survivors s ON s.page_id = raw.page_id AND s.id = raw.det_id),
+box AS ({_HEAD[1]}{_CLAIMS},
+final AS (
+  SELECT page_id, det_id, cx, cy, w, h, conf, bits FROM rel UNION ALL SELECT k.page_id, det_id, cx, cy, w, h, conf, bits FROM claims c JOIN cells k ON k.page_id = c.page_id AND k.det_id = c.id
+  UNION ALL SELECT page_id, det_id, cx, cy, w, h, conf, bits FROM cells WHERE page_id NOT IN (SELECT page_id FROM size)),
+block AS (SELECT page_id, median(w) AS bw, median(h) AS bh, min(cx) AS bx0, max(cx) AS bx1, min(cy) AS by0, max(cy) AS by1 FROM final WHERE conf >= 0.3e0 GROUP BY page_id HAVING count(*) >= 20),
+kept AS (SELECT f.* FROM final f LEFT JOIN block USING (page_id) WHERE bw IS NULL OR (cx BETWEEN bx0 - 3*bw AND bx1 + 3*bw AND cy BETWEEN by0 - 2*bh AND by1 + 2*bh)),
+klines AS (
+  SELECT *, sum(brk) OVER (PARTITION BY page_id ORDER BY cy, det_id ROWS UNBOUNDED PRECEDING) AS line_id FROM (
+    SELECT *, CASE WHEN abs(cy - lag(cy) OVER (PARTITION BY page_id ORDER BY cy, det_id)) >= 0.55e0*mh THEN 1 ELSE 0 END AS brk FROM (SELECT *, median(h) OVER (PARTITION BY page_id) AS mh FROM kept))),
+kgaps AS (SELECT *, cx - lag(cx) OVER (PARTITION BY page_id, line_id ORDER BY cx, det_id) AS gap, median(w) OVER (PARTITION BY page_id) AS mw FROM klines),
+kspaced AS (SELECT *, CASE WHEN gap - mg > 0.5e0*mw THEN greatest(1, CAST(round_even((gap - mg)/mw, 0) AS INT)) ELSE 0 END AS n_spaces FROM (SELECT *, median(gap) OVER (PARTITION BY page_id, line_id) AS mg FROM kgaps)),
+ktext AS (SELECT page_id, line_id, string_agg(repeat(chr(10240), n_spaces) || chr(10240 + {label_sql("bits")}), '' ORDER BY cx, det_id) AS text FROM kspaced GROUP BY page_id, line_id)
+SELECT page_id, string_agg(text, chr(10) ORDER BY line_id) AS text FROM ktext GROUP BY page_id"""
+
+
+@query(_PROCESS, pre=False)
+def process(s, d):
+    return pipeline.text_of_detections(fx.cells(s, d))
+
+
 @query(
     """, b AS (SELECT page_id, median(w) AS mw, median(h) AS mh, min(cx) AS x0, max(cx) AS x1, min(cy) AS y0, max(cy) AS y1 FROM rel GROUP BY page_id HAVING count(*) >= 20)
 SELECT c.page_id, det_id FROM cells c LEFT JOIN b USING (page_id)
@@ -587,11 +614,7 @@ def rounded_dedupe(s, d):
 SELECT x.page_id, hi, lo, count(k.det_id) AS n_row FROM ctx x LEFT JOIN rel k ON k.page_id = x.page_id AND abs(k.cy - mid) < band AND k.det_id NOT IN (hi, lo) GROUP BY ALL""")
 def same_row_context(s, d):
     cells = fx.cells(s, d)
-    at = lambda k: cells.select("page_id", c("det_id").alias(k), c("cy").alias(f"{k}_cy"), c("h").alias(f"{k}_h"))
-    ctx = suppress.pairs(cells, 0.15).join(at("hi"), ["page_id", "hi"]).join(at("lo"), ["page_id", "lo"])
-    k = fx.rel(s, d).select(c("page_id").alias("_p"), "det_id", "cy")
-    row = (c("page_id") == c("_p")) & (F.abs(c("cy") - (c("hi_cy") + c("lo_cy")) / 2) < F.greatest("hi_h", "lo_h") * 0.55) & ~c("det_id").isin(c("hi"), c("lo"))
-    return ctx.join(k, row, "left").groupBy("page_id", "hi", "lo").agg(F.count("det_id").alias("n_row"))
+    return suppress.row_context(suppress.pairs(cells, 0.15), cells, fx.rel(s, d))
 
 
 @query(
@@ -655,43 +678,47 @@ def shape_scores(s, d):
     return k.select("page_id", "cell_idx", *geom.shape_scores(c("area"), c("perimeter"), c("w"), c("h"))).select("page_id", "cell_idx", *r6("rectangularity", "circularity"))
 
 
-@query(_CONTOUR + "SELECT page_id, cell_idx FROM sc WHERE area/whole BETWEEN 0.0005e0 AND 0.95e0 AND (rect >= 0.85e0 OR circ >= 0.6e0)")
+@query(_CONTOUR + "SELECT page_id, cell_idx FROM sc WHERE area/whole BETWEEN 0.005e0 AND 0.95e0 AND greatest(rect, circ) >= 0.6e0")
 def contour_filter(s, d):
-    k = _contours(s, d)
-    k = k.select("*", *geom.shape_scores(c("area"), c("perimeter"), c("w"), c("h")))
-    return k.where((c("area") / c("whole")).between(0.0005, 0.95) & ((c("rectangularity") >= 0.85) | (c("circularity") >= 0.6))).select("page_id", "cell_idx")
+    return suppress.fair_contours(_contours(s, d)).select("page_id", "cell_idx")
 
 
-@query(
-    """, cand AS (SELECT page_id, cell_idx AS det_id, (r - l)*img_w*(b - t)*img_h AS conf, l*img_w AS x0, t*img_h AS y0, r*img_w AS x1, b*img_h AS y1 FROM gt
-  QUALIFY count(*) OVER (PARTITION BY page_id, cell_idx) = 1),
-pr AS (SELECT a.page_id, a.det_id AS hi, b.det_id AS lo FROM cand a JOIN cand b ON a.page_id = b.page_id AND (a.conf > b.conf OR (a.conf = b.conf AND a.det_id < b.det_id))
-  AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
-  WHERE (least(a.x1, b.x1) - greatest(a.x0, b.x0))*(least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.7e0*(a.conf + b.conf - (least(a.x1, b.x1) - greatest(a.x0, b.x0))*(least(a.y1, b.y1) - greatest(a.y0, b.y0))))
-SELECT page_id, det_id FROM cand c WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.page_id = c.page_id AND pr.lo = c.det_id)"""
-)
+@query(_CONTOUR + "SELECT page_id, cell_idx FROM sc WHERE w >= 20 AND h >= 20")
+def container_side(s, d):
+    k = _contours(s, d).select("page_id", "cell_idx", F.lit(0.0).alias("bx0"), F.lit(0.0).alias("by0"), c("w").alias("bx1"), c("h").alias("by1"))
+    return suppress.large_enough(k).select("page_id", "cell_idx")
+
+
+_CANDIDATES = """, cand AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY cell_idx, l, t, r, b, coalesce(bits6, ''), coalesce(label, -1)) AS det_id,
+    (r - l)*img_w*(b - t)*img_h AS conf, l*img_w AS x0, t*img_h AS y0, r*img_w AS x1, b*img_h AS y1 FROM gt)"""
+
+
+@query(_CANDIDATES + _nms_sql(0.7, frm="cand"))
 def container_dedupe(s, d):
     b = c("frac_bbox")
-    cand = fx.boxes(s, d).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("page_id", "cell_idx"))).where("_n = 1")
-    cand = cand.select("page_id", c("cell_idx").alias("det_id"), *geom.frac_to_centre("frac_bbox", c("img_w"), c("img_h")), ((b["r"] - b["l"]) * c("img_w") * (b["b"] - b["t"]) * c("img_h")).alias("conf"))
+    cand = fx.numbered(fx.boxes(s, d)).select(
+        "page_id", c("n").alias("det_id"), *geom.frac_to_centre("frac_bbox", c("img_w"), c("img_h")), ((b["r"] - b["l"]) * c("img_w") * (b["b"] - b["t"]) * c("img_h")).alias("conf")
+    )
     return suppress.nms(cand, 0.7).select("page_id", "det_id")
 
 
+_LETTERBOX = _BOX.replace("SELECT page_id, round(scale, 6) AS scale", "SELECT page_id, scale")
+
+
 @query(
-    """, raw AS (SELECT page_id, list(cx ORDER BY det_id) AS a, list(cy ORDER BY det_id) AS b, list(w ORDER BY det_id) AS w, list(h ORDER BY det_id) AS h, list(conf ORDER BY det_id) AS k FROM cells GROUP BY page_id)
-SELECT page_id, anchor, round((x - 3)/0.5e0, 6) AS cx, round((y - 5)/0.5e0, 6) AS cy, conf FROM (
-  SELECT page_id, unnest(range(1, len(a) + 1)) AS anchor, unnest(a) AS x, unnest(b) AS y, unnest(k) AS conf FROM raw) WHERE conf >= 0.15e0"""
+    f""", anchors AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY det_id) - 1 AS anchor, cx, cy, w, h, conf, x0, y0, x1, y1 FROM box),
+sure AS (SELECT * FROM anchors WHERE conf >= 0.15e0){_fold_sql(0.7, "sure", "anchor")}{_LETTERBOX.replace("SELECT page_id, scale", ", lb AS (SELECT page_id, scale", 1)}),
+top AS (SELECT page_id, id AS anchor FROM survivors QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY conf DESC, id) <= 300)
+SELECT a.page_id, anchor AS det_id, (cx - pad_left)/scale AS cx, (cy - pad_top)/scale AS cy, w/scale AS w, h/scale AS h, conf
+FROM anchors a JOIN top USING (page_id, anchor) JOIN (SELECT DISTINCT shot_id, page_id AS img FROM predicted_cells) s ON s.shot_id = a.page_id JOIN lb ON lb.page_id = s.img"""
 )
 def detector_decode(s, d):
-    rows = F.array_sort(F.collect_list(F.struct("det_id", "cx", "cy", "w", "h", "conf")))
-    tensor = fx.cells(s, d).groupBy("page_id").agg(rows.alias("_r")).select(
-        "page_id", F.array(*[F.col(f"_r.{k}") for k in ("cx", "cy", "w", "h", "conf")]).alias("t")
-    )
-    checked = F.when(F.size("t") == 5, c("t")).otherwise(F.raise_error(F.lit("unexpected detector output shape")))
-    one = tensor.withColumn("t", checked).select("page_id", F.posexplode(F.arrays_zip(*[c("t")[i].alias(k) for i, k in enumerate(("x", "y", "w", "h", "conf"))])).alias("i", "z"))
-    return one.where("z.conf >= 0.15").select(
-        "page_id", (c("i") + 1).cast("long").alias("anchor"), F.round((c("z.x") - 3) / 0.5, 6).alias("cx"), F.round((c("z.y") - 5) / 0.5, 6).alias("cy"), c("z.conf").alias("conf")
-    )
+    # a photograph's cells as the tensor of its letterboxed page image
+    rows = F.array_sort(F.collect_list(F.struct("det_id", *detector.ROWS)))
+    tensor = fx.cells(s, d).groupBy("page_id").agg(rows.alias("_r")).select("page_id", F.array(*[c(f"_r.{k}") for k in detector.ROWS]).alias("tensor"))
+    size = table(s, d, "page_images").select(c("page_id").alias("img"), *geom.letterbox(c("img_w"), c("img_h")))
+    shot = fx.shots(s, d).select(c("shot_id").alias("page_id"), c("page_id").alias("img"))
+    return detector.decode(tensor.join(shot, "page_id").join(size, "img"), least=0.15)
 
 
 # Order and choice ----------------------------------------------------------
@@ -715,12 +742,15 @@ def best_candidate(s, d):
     return fx.lines(s, d).groupBy("page_id", "line_id").agg(F.max_by("det_id", F.struct("conf", (-c("det_id")).alias("o"))).alias("det_id"))
 
 
-@query("SELECT n, det_id FROM (SELECT det_id, row_number() OVER (ORDER BY page_id, det_id) AS n FROM (SELECT page_id, min(det_id) AS det_id FROM cells GROUP BY page_id)) WHERE n BETWEEN 3 AND 12")
+@query("SELECT page_id, path, row_number() OVER (ORDER BY path, page_id) - 1 AS n FROM page_images WHERE path IS NOT NULL QUALIFY n >= 3 AND n < 12", pre=False)
 def page_slice(s, d):
-    firsts = fx.cells(s, d).groupBy("page_id").agg(F.min("det_id").alias("det_id"))
     # a slice of the sorted list of images: the feature itself is a limit
-    got = firsts.orderBy("page_id", "det_id").limit(12).withColumn("n", F.row_number().over(W.orderBy("page_id", "det_id")).cast("long"))
-    return got.where("n between 3 and 12").select("n", "det_id")
+    return evalm.image_range(table(s, d, "page_images").where("path is not null").select("page_id", "path"), 3, 12, ("path", "page_id"))
+
+
+@query("SELECT page_id, path, row_number() OVER (ORDER BY path, page_id) - 1 AS n FROM page_images WHERE path IS NOT NULL QUALIFY n >= 20", pre=False)
+def page_slice_open(s, d):
+    return evalm.image_range(table(s, d, "page_images").where("path is not null").select("page_id", "path"), 20, None, ("path", "page_id"))
 
 
 # Evaluation ----------------------------------------------------------------
@@ -774,21 +804,27 @@ def eval_csv_rows(s, d):
     return _counts(s, d).select(F.concat_ws(",", F.concat(F.lit("shot"), c("page_id")), "n_gt", "n_pred", "tp", "class_ok").alias("line"))
 
 
-@query(_MATCH + ", rep AS (" + _scores_sql("counts", "page_id, ") + ") SELECT page_id, printf('gt=%d pred=%d tp=%d prec=%.2f rec=%.2f', n_gt, n_pred, tp, floor(prec*100)/100, floor(rec*100)/100) AS line FROM rep")
+@query(
+    _MATCH + ", rep AS (" + _scores_sql("counts", "page_id, ") + """) SELECT page_id, printf('shot%d gt=%d pred=%d tp=%d prec=%.2f rec=%.2f f1=%.2f cls=%.2f', page_id, n_gt, n_pred, tp,
+  floor(prec*100)/100, floor(rec*100)/100, floor(f1*100)/100, floor(ca*100)/100) AS line FROM rep"""
+)
 def eval_report(s, d):
     m = evalm.page_metrics(_counts(s, d))
-    two = lambda k: F.floor(c(k) * 100) / 100
-    return m.select("page_id", F.format_string("gt=%d pred=%d tp=%d prec=%.2f rec=%.2f", "n_gt", "n_pred", "tp", two("prec"), two("rec")).alias("line"))
+    return m.select("page_id", evalm.report_line(m, F.format_string("shot%d", "page_id")).alias("line"))
+
+
+@query(
+    _MATCH + ", rep AS (" + _scores_sql("total") + """) SELECT CAST(0 AS INT) AS line_no, printf('AGGREGATE gt=%d pred=%d tp=%d', n_gt, n_pred, tp) AS line FROM rep
+UNION ALL SELECT 1, printf('Precision : %.3f', floor(prec*1000)/1000) FROM rep UNION ALL SELECT 2, printf('Recall    : %.3f', floor(rec*1000)/1000) FROM rep
+UNION ALL SELECT 3, printf('F1        : %.3f', floor(f1*1000)/1000) FROM rep UNION ALL SELECT 4, printf('Class acc : %.3f', floor(ca*1000)/1000) FROM rep"""
+)
+def eval_aggregate(s, d):
+    return evalm.aggregate_lines(_counts(s, d))
 
 
 @query(_MATCH + "SELECT page_id, det_id, ids[1] AS nearest FROM near")
 def nearest_gt(s, d):
-    pred, gt = fx.cells(s, d), fx.truth(s, d)
-    limit = gt.groupBy("page_id").agg((F.avg("w") * 0.5).alias("lim"))
-    g = gt.select("page_id", c("det_id").alias("gid"), c("cx").alias("gx"), c("cy").alias("gy"))
-    dist = F.sqrt((c("gx") - c("cx")) * (c("gx") - c("cx")) + (c("gy") - c("cy")) * (c("gy") - c("cy")))
-    near = pred.join(limit, "page_id").join(g, "page_id").withColumn("dist", dist).where("dist < lim")
-    return near.groupBy("page_id", "det_id").agg(F.min_by("gid", F.struct("dist", "gid")).alias("nearest"))
+    return evalm.nearest_truth(fx.cells(s, d), fx.truth(s, d))
 
 
 @query(
@@ -806,19 +842,22 @@ def label_quality_metrics(s, d):
 # Training sets and sinks ---------------------------------------------------
 
 
-@query("SELECT split, path, bits6, label_int FROM crops")
+_ALL = "(SELECT DISTINCT crop_id, page_id, cell_idx, split, path, bits6, label_int FROM manifest)"
+
+
+@query(f"SELECT split, path, bits6, label_int FROM {_ALL}", pre=False)
 def manifest(s, d):
-    return fx.crops(s, d).select("split", "path", "bits6", "label_int")
+    return fx.all_crops(s, d).select("split", "path", "bits6", "label_int")
 
 
-@query("SELECT split, path, label_int FROM crops WHERE split = 'train'")
+@query(f"SELECT split, path, label_int FROM {_ALL} WHERE split = 'train'", pre=False)
 def manifest_scan(s, d):
-    return fx.crops(s, d).where("split = 'train'").select("split", "path", "label_int")
+    return fx.all_crops(s, d).where("split = 'train'").select("split", "path", "label_int")
 
 
-@query("SELECT split, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM crops GROUP BY split")
+@query(f"SELECT split, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM {_ALL} GROUP BY split", pre=False)
 def split_counts(s, d):
-    return fx.crops(s, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("n_pages"))
+    return fx.all_crops(s, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("n_pages"))
 
 
 @query(
@@ -962,16 +1001,21 @@ def side_expand(s, d):
     return ann.sides(table(s, d, "page_images").where("source = 'dsbi'").select("page_id", c("path").alias("value"))).select("page_id", "side", "path")
 
 
-@query("SELECT source, count(*) AS n FROM gt_cells WHERE source IN ('angelina', 'dsbi', 'braille_natural') GROUP BY source", pre=False)
+def _by_source(s, d):
+    """Annotated cells by each source of the images, as readers of the sources give them."""
+    gt, images = table(s, d, "gt_cells"), table(s, d, "page_images")
+    names = [r[0] for r in images.select("source").where("source is not null").distinct().orderBy("source").collect()]  # as many as there are readers
+    return {k: gt.where(c("source") == k).drop("source") for k in names}
+
+
+@query("SELECT source, count(*) AS n FROM gt_cells WHERE source IS NOT NULL GROUP BY source", pre=False)
 def source_union(s, d):
-    gt = table(s, d, "gt_cells")
-    return ann.union_sources({k: gt.where(c("source") == k).drop("source") for k in ann.SOURCES}, single_class=True).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return ann.union_sources(_by_source(s, d), single_class=True).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT source, count(*) AS n FROM gt_cells WHERE source IN ('angelina', 'dsbi') GROUP BY source", pre=False)
+@query("SELECT source, count(*) AS n FROM gt_cells WHERE source <> 'braille_natural' GROUP BY source", pre=False)
 def source_capability(s, d):
-    gt = table(s, d, "gt_cells")
-    return ann.union_sources({k: gt.where(c("source") == k).drop("source") for k in ann.SOURCES}).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return ann.union_sources(_by_source(s, d)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Translated text -----------------------------------------------------------
@@ -995,13 +1039,32 @@ def truncate_text(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", names.cut(c("text")).alias("text"))
 
 
-_WORDS = r"""WITH w AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(translate(text, chr(10), ' '), '\b[a-z]{6,}\b')) AS word FROM documents WHERE lang = 'en' AND text IS NOT NULL AND ascii_only) GROUP BY word)
-""".replace("ascii_only", "NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, trim(regexp_replace(replace(text, chr(10240), ' '), '^\\s+|\\s+$', '', 'g')) AS text FROM documents WHERE doc_kind = 'cell_text' AND text IS NOT NULL", pre=False)
+def blank_to_space(s, d):
+    return table(s, d, "documents").where("doc_kind = 'cell_text' and text is not null").select("doc_id", encode.blank_to_space(c("text")).alias("text"))
+
+
+# Whole runs of letters, digits and _ that are six or more small ASCII letters:
+# what the look-arounds of the pattern say, which this dialect lacks.
+_WORDS = r"""WITH d AS (SELECT text FROM documents WHERE text IS NOT NULL AND (lang IS NULL OR regexp_full_match(lower(regexp_replace(lang, '^\s+|\s+$', '', 'g')), '(en([-_].*)?)?'))),
+w AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS word FROM d) WHERE regexp_full_match(word, '[a-z]{6,}') GROUP BY word)
+"""
+_KNOWN = f""", f AS (SELECT freq, count(*)*freq AS n FROM w GROUP BY freq),
+least AS (SELECT min(freq) AS least FROM (SELECT freq, coalesce(sum(n) OVER (ORDER BY freq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(n) OVER () AS total FROM f) WHERE above < total*{translate.COVERED}e0),
+domain(word) AS (VALUES {", ".join(f"('{x}')" for x in translate.DOMAIN)}),
+known AS (SELECT word, max(freq) AS freq FROM (SELECT word, freq FROM w, least WHERE freq >= least UNION ALL SELECT word, freq FROM w WHERE word IN (SELECT word FROM domain) UNION ALL SELECT word, 0 FROM domain) GROUP BY word),
+unknown AS (SELECT word FROM w WHERE word NOT IN (SELECT word FROM known) UNION SELECT substr(word, 2) || 'x' FROM w WHERE substr(word, 2) || 'x' NOT IN (SELECT word FROM known))
+"""
 
 
 def _words(s, d):
-    docs = table(s, d, "documents").where("lang = 'en' and text is not null").where(~c("text").rlike("[^\\x00-\\x7F]"))
-    return docs.select(F.explode(names.spell_candidates(F.translate("text", "\n", " "))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    docs = table(s, d, "documents").where("text is not null").where(names.english(c("lang")))
+    return docs.select(F.explode(names.whole_candidates(c("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def _misspelt(w):
+    # the words, and each with its first letter lost and one too many at its end
+    return w.select("word").union(w.select(F.concat(F.expr("substring(word, 2)"), F.lit("x")))).distinct()
 
 
 @query(_WORDS + "SELECT word, freq FROM w", pre=False)
@@ -1009,50 +1072,22 @@ def spell_candidates(s, d):
     return _words(s, d)
 
 
-@query(_WORDS + "SELECT word FROM w WHERE word NOT IN (SELECT word FROM w WHERE freq >= 5)", pre=False)
+@query(_WORDS + _KNOWN + "SELECT word FROM unknown", pre=False)
 def word_lookup(s, d):
-    w = _words(s, d)
-    return w.select("word").join(w.where("freq >= 5"), "word", "left_anti")
+    w = staged(_words(s, d), "words")
+    return translate.unknown_words(_misspelt(w), translate.dictionary(w))
 
 
 @query(
-    _WORDS
-    + """, u AS (SELECT substr(word, 2) || 'x' AS word FROM w WHERE freq < 50), d AS (SELECT word AS correction, freq FROM w WHERE freq >= 50),
-m AS (SELECT u.word, correction, freq, levenshtein(u.word, correction) AS k FROM u JOIN d ON abs(length(u.word) - length(correction)) <= 2)
-SELECT word, arg_min(correction, (k, -freq, correction)) AS correction FROM m WHERE k <= 2 GROUP BY word""",
+    _WORDS + _KNOWN
+    + """, m AS (SELECT u.word, k.word AS correction, freq, levenshtein(u.word, k.word) AS n FROM unknown u JOIN known k ON abs(length(u.word) - length(k.word)) <= 2)
+SELECT word, arg_min(correction, (n, -freq, correction)) AS correction FROM m WHERE n <= 2 GROUP BY word""",
     pre=False,
 )
 def spell_correct(s, d):
-    w = _words(s, d)
-    u = w.where("freq < 50").select(F.concat(F.expr("substring(word, 2)"), F.lit("x")).alias("word"))
-    return translate.corrections(u, w.where("freq >= 50"))
-
-
-# The three above are what their SQL describes: words of ASCII texts, and
-# dictionaries by absolute counts. The three below do the whole job.
-
-
-def _all_words(s, d):
-    docs = table(s, d, "documents").where("text is not null").where(names.english(c("lang")))
-    return docs.select(F.explode(names.whole_candidates(c("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-
-
-@query()
-def spell_candidates_all(s, d):
-    return _all_words(s, d)
-
-
-@query()
-def word_lookup_all(s, d):
-    w = staged(_all_words(s, d), "words")
-    return w.select("word").join(translate.dictionary(w).select("word"), "word", "left_anti")
-
-
-@query()
-def spell_correct_all(s, d):
-    w = staged(_all_words(s, d), "words")
+    w = staged(_words(s, d), "words")
     known = staged(translate.dictionary(w), "dictionary")
-    return translate.corrections(w.join(known.select("word"), "word", "left_anti"), known)
+    return translate.corrections(translate.unknown_words(_misspelt(w), known), known)
 
 
 # Pixels --------------------------------------------------------------------
@@ -1065,8 +1100,7 @@ def dot_strength(s, d):
 
 @query("SELECT vec_id, round(lo, 4) AS paper_low, round(hi, 4) AS paper_high FROM paper")
 def paper_levels(s, d):
-    px = fx.patches(s, d).select("vec_id", F.explode(F.flatten("image")).alias("v"))
-    return px.groupBy("vec_id").agg(F.round(F.percentile("v", F.lit(0.25)), 4).alias("paper_low"), F.round(F.percentile("v", F.lit(0.75)), 4).alias("paper_high"))
+    return kernels.pixel_levels(fx.patches(s, d), "vec_id").select("vec_id", *r6("paper_low", "paper_high", digits=4))
 
 
 @query(
@@ -1080,7 +1114,7 @@ def calibrate_threshold(s, d):
 
 @query("SELECT vec_id, count(*) FILTER (WHERE strength > 150) >= 2 AS present FROM signal GROUP BY vec_id")
 def cell_present(s, d):
-    return kernels.dot_signals(fx.patches(s, d), "vec_id").groupBy("vec_id").agg((F.count_if(c("strength") > 150) >= 2).alias("present"))
+    return kernels.present_cells(kernels.dot_signals(fx.patches(s, d), "vec_id"), "vec_id", 150)
 
 
 @query("SELECT vec_id, round(sum(strength), 3) AS total, round(max(strength), 3) AS peak FROM signal GROUP BY vec_id")
@@ -1095,25 +1129,19 @@ def snap_peak(s, d):
 
 @query(
     """, o AS (SELECT CAST(i AS INT) AS o, least(greatest((i + 0.5e0)*(32/20.0e0) - 0.5e0, 0), 31) AS pos FROM range(20) t(i)),
-ax AS (SELECT o, CAST(floor(pos) AS INT) AS a, least(CAST(floor(pos) AS INT) + 1, 31) AS b, pos - floor(pos) AS f FROM o)
-SELECT p00.vec_id, yy.o AS y, xx.o AS x, round((p00.v + (p01.v - p00.v)*xx.f) + ((p10.v + (p11.v - p10.v)*xx.f) - (p00.v + (p01.v - p00.v)*xx.f))*yy.f, 4) AS value
-FROM ax yy, ax xx JOIN px p00 ON p00.y = yy.a AND p00.x = xx.a JOIN px p01 ON p01.vec_id = p00.vec_id AND p01.y = yy.a AND p01.x = xx.b
-JOIN px p10 ON p10.vec_id = p00.vec_id AND p10.y = yy.b AND p10.x = xx.a JOIN px p11 ON p11.vec_id = p00.vec_id AND p11.y = yy.b AND p11.x = xx.b"""
+ax AS (SELECT o, CAST(floor(pos) AS INT) AS a, least(CAST(floor(pos) AS INT) + 1, 31) AS b, pos - floor(pos) AS f FROM o),
+im AS (SELECT vec_id, list_transform(range(1024), lambda i: floor((CAST(embedding[((i//32)//4)*8 + (i%32)//4 + 1] + 1 AS DOUBLE))*127.5e0)) AS v FROM embeddings)
+SELECT vec_id, y.o AS y, x.o AS x, round((v[y.a*32 + x.a + 1] + (v[y.a*32 + x.b + 1] - v[y.a*32 + x.a + 1])*x.f)
+  + ((v[y.b*32 + x.a + 1] + (v[y.b*32 + x.b + 1] - v[y.b*32 + x.a + 1])*x.f) - (v[y.a*32 + x.a + 1] + (v[y.a*32 + x.b + 1] - v[y.a*32 + x.a + 1])*x.f))*y.f, 4) AS value
+FROM im, ax y, ax x"""
 )
 def bilinear_resize(s, d):
     return kernels.resized(fx.patches(s, d), "vec_id", 20, 20).withColumn("value", F.round("value", 4))
 
 
-@query("SELECT vec_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round((v/255 - 0.485e0)/0.229e0, 6) AS value FROM px WHERE y % 8 = x % 8")
-def chw_norm(s, d):
-    # only a sample for its SQL: the diagonal pixels of each block, first channel; chw_planar has all
-    px = kernels.normalised(fx.patches(s, d), "vec_id").where("channel = 0 and y % 8 = x % 8")
-    return px.select("vec_id", "y", "x", F.round("value", 6).alias("value"))
-
-
 @query(
     """SELECT vec_id, CAST(c AS INT) AS channel, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round((v/255 - mean)/dev, 6) AS value
 FROM px, (VALUES (0, 0.485e0, 0.229e0), (1, 0.456e0, 0.224e0), (2, 0.406e0, 0.225e0)) z(c, mean, dev)"""
 )
-def chw_planar(s, d):
+def chw_norm(s, d):
     return kernels.normalised(fx.patches(s, d), "vec_id").withColumn("value", F.round("value", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,11 +98,14 @@ def page_list(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def images(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Image files: path and content, .jpeg before .jpg, each in path order."""
-    found = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpeg,jpg}").option("recursiveFileLookup", recursive).load(path)
-    )
-    return found.orderBy(F.when(F.lower("path").endswith(".jpeg"), 0).otherwise(1), "path")
+    """Image files: path, length and content of a folder's .jpeg and .jpg, or
+    of the one file that ``path`` names, whatever its type. ``rank`` and
+    ``path`` are their order (.jpeg first, each by path); the rows themselves
+    aren't sorted, as that would move every image's bytes."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    if not re.search(r"\.[A-Za-z0-9]{1,5}$", path):
+        found = found.option("pathGlobFilter", "*.{jpeg,jpg}")
+    return found.load(path).withColumn("rank", F.when(F.lower("path").endswith(".jpeg"), 0).otherwise(1))
 
 
 def with_annotation(files: DataFrame, annotations: DataFrame, suffix: str) -> DataFrame:

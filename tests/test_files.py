@@ -43,7 +43,8 @@ def test_images_pairs_and_sides(spark, tmp_path):
     (tmp_path / "b.csv").write_text("1")
     (tmp_path / "c.csv").write_text("")
     found = ann.images(spark, str(tmp_path))
-    assert [r.path.rsplit("/", 1)[1] for r in found.collect()] == ["a.jpeg", "b.jpg", "c.jpg"]
+    assert [r.path.rsplit("/", 1)[1] for r in found.orderBy("rank", "path").collect()] == ["a.jpeg", "b.jpg", "c.jpg"]
+    assert [r.rank for r in ann.images(spark, str(tmp_path / "d.png")).collect()] == [1]
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert [r.path.rsplit("/", 1)[1] for r in ann.with_annotation(found, files, ".csv").collect()] == ["b.jpg"]
     pages = ann.page_list(spark.createDataFrame([(" X\\M+1.jpg \r",), ("  ",)], "value string"))

