@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dotframe.functions.geom import tile_boxes
 from dotframe.operators import kernels
@@ -204,7 +205,7 @@ def with_places(photos: DataFrame, places: DataFrame, *columns: str) -> DataFram
 def look_at(photos: DataFrame, places: DataFrame, columns: tuple[str, ...], look: Callable, out: str, open_model: Callable | None = None) -> DataFrame:
     """(page_id, ...) of ``look(image, place, model)`` at every place, which
     gives the further columns of ``out``, or None where there is nothing."""
-    names = [c.split()[0] for c in out.split(", ")]
+    names = T.StructType.fromDDL(out).names
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = open_model() if open_model else None

@@ -88,17 +88,19 @@ def local_retry(photos: DataFrame, clusters: DataFrame, open_model: Callable, kn
     (page_id, lo_x, lo_y, hi_x, hi_y: its bounds with a margin), inside those
     bounds and at no whole pixel where a known cell is."""
 
+    names = ("cx", "cy", "w", "h", "conf", "bits")
+
     def look(image: np.ndarray, place, model) -> tuple:
         lo_x, lo_y, hi_x, hi_y = (place[k] for k in ("lo_x", "lo_y", "hi_x", "hi_y"))
         x0, y0 = max(0, int(lo_x)), max(0, int(lo_y))
         part = image[y0 : int(hi_y), x0 : int(hi_x)]
-        rows = photo.found(model, photo.equalised(part, 4.0, (4, 4)), PARAMS.high_conf) if part.size else []
+        rows = photo.found(model, photo.equalised(part, 4.0, (4, 4)), PARAMS.high_conf).tolist() if part.size else []
         cells = [(x + x0, y + y0, w, h, c, photo.bits_of(p)) for x, y, w, h, c, p in rows]
-        return ([x for x in cells if lo_x <= x[0] <= hi_x and lo_y <= x[1] <= hi_y],)
+        return ([dict(zip(names, c)) for c in cells if lo_x <= c[0] <= hi_x and lo_y <= c[1] <= hi_y],)
 
-    out = "cells array<struct<cx double, cy double, w double, h double, conf double, bits string>>"
-    got = photo.look_at(photos, clusters, ("lo_x", "lo_y", "hi_x", "hi_y"), lambda i, p, m: ([dict(zip(("cx", "cy", "w", "h", "conf", "bits"), map(lambda v: v if isinstance(v, str) else float(v), c))) for c in look(i, p, m)[0]],), out, open_model)
+    out = "cells array<struct<cx: double, cy: double, w: double, h: double, conf: double, bits: string>>"
+    got = photo.look_at(photos, clusters, ("lo_x", "lo_y", "hi_x", "hi_y"), look, out, open_model)
     new = got.select("page_id", F.explode("cells").alias("_c")).select("page_id", "_c.*").withColumn("_x", F.rint("cx")).withColumn("_y", F.rint("cy"))
     at = known.select("page_id", F.rint("cx").alias("_x"), F.rint("cy").alias("_y")).distinct()
-    first = F.max_by(F.struct("cx", "cy", "w", "h", "conf", "bits"), F.struct("conf", "cx", "cy")).alias("_b")
+    first = F.max_by(F.struct(*names), F.struct("conf", "cx", "cy")).alias("_b")
     return new.join(at, ["page_id", "_x", "_y"], "left_anti").groupBy("page_id", "_x", "_y").agg(first).select("page_id", "_b.*").withColumn("rescued", F.lit(True))

@@ -73,7 +73,7 @@ def tile_edge_filter(cells: DataFrame, margin: float = PARAMS.tile_edge_margin)
         ((F.col("x0") - F.col("tx0") < m) & (F.col("tx0") > 0)) | ((F.col("x1") > F.col("tx1") - m) & (F.col("tx1") < F.col("img_w")))
         | ((F.col("y0") - F.col("ty0") < m) & (F.col("ty0") > 0)) | ((F.col("y1") > F.col("ty1") - m) & (F.col("ty1") < F.col("img_h")))
     )
-    return c.where(~cut)
+    return c.where(~cut).select(*cells.columns)
 
 
 def containers_with_cells(boxes: DataFrame, cells: DataFrame) -> DataFrame:

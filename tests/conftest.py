@@ -1,6 +1,7 @@
 import pathlib
 import sys
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
@@ -8,6 +9,11 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 from dotframe.session import get_session  # noqa: E402
 
 
+@pytest.fixture
+def rng():
+    return np.random.default_rng(7)
+
+
 @pytest.fixture(scope="session")
 def spark():
     return get_session(cores=4, shuffle_partitions=4, memory="4g")
