@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -45,6 +46,17 @@ def resolve(name: str, beside: Path | None = None, cache: Path | None = None, ur
     return cache / name
 
 
+def pinned(file: Path, name: str, base_url: str | None = None, **places: Path | None) -> Path:
+    """``resolve`` at the version that a text file pins: artefacts of another
+    version are kept apart in the cache, and are fetched from
+    ``base_url``/version/name."""
+    version = file.read_text().strip()
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", version):
+        raise ValueError(f"no version in {file}")
+    cache = places.pop("cache", None) or Path(os.environ.get("XDG_CACHE_HOME", Path.home() / ".cache")) / "dotframe"
+    return resolve(name, cache=cache / version, url=f"{base_url.rstrip('/')}/{version}/{name}" if base_url else None, **places)
+
+
 class Detector(Protocol):
     """detect(image) -> rows of cx, cy, w, h, conf; opened once per worker."""
 

@@ -1122,9 +1122,19 @@ def snap_sum_max(s, d):
     return kernels.dot_signals(fx.patches(s, d), "vec_id").groupBy("vec_id").agg(F.round(F.sum("strength"), 3).alias("total"), F.round(F.max("strength"), 3).alias("peak"))
 
 
-@query()
+@query(
+    """, off AS (SELECT dx, dy, row_number() OVER (ORDER BY dy, dx) AS n FROM (SELECT unnest(range(-6, 7, 2)) AS dx), (SELECT unnest(range(-4, 5, 2)) AS dy)),
+level AS (SELECT vec_id, n, any_value(dx) AS dx, any_value(dy) AS dy, quantile_cont(v, 0.25) AS lo, quantile_cont(v, 0.75) AS hi FROM px, off
+  WHERE x >= greatest(0, dx) AND x < least(32, 32 + dx) AND y >= greatest(0, dy) AND y < least(32, 32 + dy) GROUP BY vec_id, n),
+spot AS (SELECT off.n, d.dot, d.dx + off.dx AS x, d.dy + off.dy AS y FROM off, dots d),
+mark AS (SELECT p.vec_id, s.n, s.dot, avg(v) AS m, max(v) - min(v) AS s FROM spot s JOIN px p ON p.x >= s.x - 4 AND p.x < s.x + 4 AND p.y >= s.y - 4 AND p.y < s.y + 4
+  WHERE s.x >= 4 AND s.x < 28 AND s.y >= 4 AND s.y < 28 GROUP BY ALL),
+score AS (SELECT l.vec_id, l.n, any_value(dx) AS dx, any_value(dy) AS dy, coalesce(sum(greatest(m - lo, hi - m, s)), 0) AS total, coalesce(max(greatest(m - lo, hi - m, s)), 0) AS peak
+  FROM level l LEFT JOIN mark k ON k.vec_id = l.vec_id AND k.n = l.n GROUP BY l.vec_id, l.n)
+SELECT vec_id, CAST(16 + dx AS DOUBLE) AS sx, CAST(16 + dy AS DOUBLE) AS sy, round(total, 4) AS total, round(peak, 4) AS peak FROM score QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY total DESC, n) = 1"""
+)
 def snap_peak(s, d):
-    return kernels.snapped(fx.patches(s, d), "vec_id")
+    return kernels.snapped(fx.patches(s, d), "vec_id").select("vec_id", "sx", "sy", *r6("total", "peak", digits=4))
 
 
 @query(

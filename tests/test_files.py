@@ -65,8 +65,11 @@ def test_sinks(spark, tmp_path):
     sinks.append_eval_rows(rows, str(tmp_path / "e"))
     sinks.append_eval_rows(rows, str(tmp_path / "e"))
     assert spark.read.csv(str(tmp_path / "e")).count() == 2
-    sinks.write_label_files(spark.createDataFrame([("s", "0 1 2")], "stem string, line string"), str(tmp_path / "l"))
-    assert spark.read.text(str(tmp_path / "l")).count() == 1
+    lines = spark.createDataFrame([("train", "s", 1, "0 5 6"), ("train", "s", 0, "0 1 2"), ("val", "t", 0, "3 1 2")], "split string, stem string, at int, line string")
+    sinks.write_files(sinks.label_files(lines), str(tmp_path / "set"))
+    assert (tmp_path / "set/labels/train/s.txt").read_text() == "0 1 2\n0 5 6\n" and (tmp_path / "set/labels/val/t.txt").read_text() == "3 1 2\n"
+    sinks.write_descriptor(str(tmp_path / "set"), {0: "000000", 1: "100000"})
+    assert (tmp_path / "set/dataset.yaml").read_text().endswith("names:\n  0: '000000'\n  1: '100000'\n")
     cells = spark.createDataFrame([(1, 2, 5.0, 6.0, 8.0, 9.0, 0.5, "100000", False)], CELL)
     assert json.loads(sinks.cells_json(cells).first().json)["cells"][0]["bits"] == "100000"
     drawn = sinks.overlay_commands(cells).orderBy("dot").collect()
@@ -90,6 +93,20 @@ def test_resolver(tmp_path):
         models.resolve("n.onnx", cache=tmp_path / "cache", url=source + "x")
 
 
+def test_pinned_version(tmp_path):
+    (tmp_path / "dataset.version").write_text("v0.1.1\n")
+    (tmp_path / "cache" / "v0.1.1").mkdir(parents=True)
+    (tmp_path / "cache" / "v0.1.1" / "m.onnx").write_bytes(b"c")
+    assert models.pinned(tmp_path / "dataset.version", "m.onnx", cache=tmp_path / "cache").read_bytes() == b"c"
+    (tmp_path / "dataset.version").write_text("v0.1.2")
+    (tmp_path / "there" / "v0.1.2").mkdir(parents=True)
+    (tmp_path / "there" / "v0.1.2" / "m.onnx").write_bytes(b"new")
+    assert models.pinned(tmp_path / "dataset.version", "m.onnx", (tmp_path / "there").as_uri(), cache=tmp_path / "cache").read_bytes() == b"new"
+    (tmp_path / "dataset.version").write_text("../x")
+    with pytest.raises(ValueError):
+        models.pinned(tmp_path / "dataset.version", "m.onnx")
+
+
 def test_detector_and_classifier(spark):
     class Stub:
         def detect(self, image, least):
@@ -107,10 +124,11 @@ def test_streaming_page_text(spark, tmp_path):
     rows = [(p, i, 30.0 * i, 100.0, 25.0, 50.0, 0.9, "100000", False) for p in (1, 2) for i in range(3)]
     df = spark.createDataFrame(rows, CELL)
     src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
-    for p in (1, 2):
-        df.where(f"page_id = {p}").coalesce(1).write.mode("append").parquet(src)
+    for part in ("page_id = 1", "page_id = 2 and det_id < 2", "page_id = 2 and det_id = 2"):  # page 2 comes in parts
+        df.where(part).coalesce(1).write.mode("append").parquet(src)
         photos.write_page_text(photos.read_cells(spark, src, df.schema), out, check).awaitTermination(60)
-    assert sorted((r.page_id, r.text) for r in spark.read.parquet(out).collect()) == [(1, "⠁⠁⠁"), (2, "⠁⠁⠁")]
+    assert sorted((r.page_id, r.text) for r in photos.current_text(spark, out).collect()) == [(1, "⠁⠁⠁"), (2, "⠁⠁⠁")]
+    assert sorted(r.text for r in spark.read.parquet(f"{out}/text").where("page_id = 2").collect()) == ["⠁⠁", "⠁⠁⠁"]
 
 
 def test_staging(spark):

@@ -66,6 +66,26 @@ def test_translator_errors_become_text(spark):
     assert got.translated == "(error: gone)"
 
 
+def test_one_bad_line_spoils_no_other(spark):
+    def picky(lines):
+        if any("⠿" in x for x in lines):
+            raise RuntimeError("no such cell")
+        return [x.upper() for x in lines]
+
+    lines = spark.createDataFrame([("⠀a⠀b ",), ("⠿",), ("⠀⠀",), (None,), ("c",)], "text string").coalesce(1)
+    assert [r.translated for r in translate.with_translator(lines, picky).collect()] == ["A B", "(error: no such cell)", "", "", "C"]
+
+
+def test_command_as_translator(tmp_path):
+    program = tmp_path / "louder"
+    program.write_text('#!/bin/sh\nread x\n[ "$x" = bad ] && { echo cannot >&2; exit 1; }\n[ "$x" = slow ] && sleep 5\necho "$2:$x"\n')
+    program.chmod(0o755)
+    run = translate.command(str(program), "some.tbl", timeout=1)
+    assert run(["x", "bad"]) == ["some.tbl:x", "(err: cannot)"]
+    with pytest.raises(Exception, match="timed out"):
+        run(["slow"])
+
+
 def test_kernels(rng=np.random.default_rng(0)):
     image = rng.random((40, 30)) * 255
     for cx, cy, w, h in ((15, 20, 20, 30), (0, 0, 10, 10), (29, 39, 20, 30), (100, 100, 5, 5)):
