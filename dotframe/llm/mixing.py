@@ -35,17 +35,17 @@ def norm_source(c: str | Column) -> Column:
     return F.when(s != "", s)
 
 
-def sized_crops(manifest: DataFrame, page_images: DataFrame) -> DataFrame:
-    """One row per crop: crop_id, path, size and source, a missing source
+def sized_crops(manifest: DataFrame, page_images: DataFrame, *extra: str) -> DataFrame:
+    """One row per crop: crop_id, path, size, ``extra`` and source, a missing source
     taken from the page's image. Null sizes count 0. Crops whose source stays
     unknown keep a null source: they count in the total, not in a source. The
     crops are written once; of them only those without a source of their own
     look for their page."""
     size = F.greatest(F.coalesce("n_bytes", F.lit(0)), F.lit(0)).cast("long").alias("size")
-    crops = distinct_crops(manifest, "page_id", "path", "n_bytes", "source")
-    crops = staged(crops.select("crop_id", "path", size, norm_source("source").alias("source"), "page_id"), "crops")
+    crops = distinct_crops(manifest, "page_id", "path", "n_bytes", "source", *extra)
+    crops = staged(crops.select("crop_id", "path", size, *extra, norm_source("source").alias("source"), "page_id"), "crops")
     pages = page_images.groupBy(F.col("page_id").alias("_page")).agg(F.min(norm_source("source")).alias("_source"))
-    found = crops.where("source is null").join(pages, F.col("page_id") == F.col("_page"), "left").select("crop_id", "path", "size", F.col("_source").alias("source"))
+    found = crops.where("source is null").join(pages, F.col("page_id") == F.col("_page"), "left").select("crop_id", "path", "size", *extra, F.col("_source").alias("source"))
     return crops.where("source is not null").drop("page_id").unionByName(found)
 
 

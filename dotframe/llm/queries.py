@@ -26,6 +26,14 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sample.draw(_crops(spark, sf), {"label_int": table(spark, sf, "sample_targets")})
 
 
+def p1_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """One sample after two sets of targets: shares of patterns and of sources."""
+    crops = mixing.sized_crops(table(spark, sf, "manifest"), table(spark, sf, "page_images"), "bits6", "label_int")
+    crops = crops.select("crop_id", sample.pattern_column().alias("label_int"), "source").where("label_int is not null and source is not null")
+    shares = table(spark, sf, "mix_targets").select(mixing.norm_source("source").alias("source"), (100 * F.col("target_pct")).alias("target_bp"), F.lit(0).alias("min_rows"))
+    return sample.reports(crops, {"label_int": table(spark, sf, "sample_targets"), "source": shares})
+
+
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.sized_crops(table(spark, sf, "manifest"), table(spark, sf, "page_images"))
 
@@ -112,7 +120,7 @@ def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.restored(docs, mojibake.substitutions(docs, tokens), tokens)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p4_found, p4_shares, p4_mix, p2_found, p2_overlaps, p2_report, p3_found, p3_pieces, p6_found, p6_best, p7_ids, p7_roundtrip, p8_found, p8_leaks, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_by_source, p4_found, p4_shares, p4_mix, p2_found, p2_overlaps, p2_report, p3_found, p3_pieces, p6_found, p6_best, p7_ids, p7_roundtrip, p8_found, p8_leaks, p9_found, p9_restored)}
 
 _PATTERN = """
   SELECT crop_id, CASE WHEN b IS NULL THEN l WHEN l IS NULL OR l = b THEN b END AS pattern FROM (

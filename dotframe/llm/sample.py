@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from dotframe.session import staged
+
 HASH_BUCKETS = 8192
 MAX_SIGNATURES = 1 << 16
 PAIRS = 512
@@ -197,11 +199,27 @@ def report(crops: DataFrame, targets: dict[str, DataFrame], column: str, divisor
     it). ``met`` is false where the sample doesn't reach what is wanted and what
     is left can't make up for it. An empty table meets every target of 0."""
     plan = plan_sample(crops, targets, divisor, seed)
-    kind = dict(crops.dtypes)[column]
-    rows = crops.sparkSession.createDataFrame(
+    return _reached(plan, materialise(crops, plan, key, seed), column)
+
+
+def reports(crops: DataFrame, targets: dict[str, DataFrame], divisor: int = 5, seed: int = 0, key: str = "crop_id") -> DataFrame:
+    """``report`` of every column of one sample: column, category (as text) and
+    the rest."""
+    plan = plan_sample(crops, targets, divisor, seed)
+    drawn = staged(materialise(crops, plan, key, seed).select(*plan.columns), "sample")
+    out = None
+    for c in plan.columns:
+        part = _reached(plan, drawn, c).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("category"), "named", "available", "wanted", "min_rows", "drawn", "left", "met")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _reached(plan: SamplePlan, sampled: DataFrame, column: str) -> DataFrame:
+    kind = dict(sampled.dtypes)[column]
+    rows = sampled.sparkSession.createDataFrame(
         [r[:5] for r in plan.per_category(column)], f"`{column}` {kind}, named boolean, available long, wanted long, min_rows long"
     )  # as many as there are categories
-    drawn = materialise(crops, plan, key, seed).groupBy(F.col(column).alias("_k")).agg(F.count(F.lit(1)).alias("drawn"))
+    drawn = sampled.groupBy(F.col(column).alias("_k")).agg(F.count(F.lit(1)).alias("drawn"))
     return (
         rows.join(drawn, F.col(column).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
         .withColumn("left", F.col("available") - F.col("drawn"))

@@ -125,6 +125,9 @@ def test_two_columns(spark):
     assert {r.b: r["count"] for r in got.groupBy("b").count().collect()} == {"x": 240, "y": 160}
     rep = {r.b: r for r in sample.report(crops, {"a": ta, "b": tb}, "b").collect()}
     assert rep["y"].drawn == 160 and not rep["z"].met
+    both = {(r.column, r.category): r for r in sample.reports(crops, {"a": ta, "b": tb}).collect()}
+    assert {k: r.drawn for k, r in both.items()} == {("a", "0"): 100, ("a", "1"): 300, ("b", "x"): 240, ("b", "y"): 160, ("b", "z"): 0}
+    assert all(r.drawn + r.left == r.available for r in both.values())
 
 
 def test_empty_nulls_and_repeats(spark):
