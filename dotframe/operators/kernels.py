@@ -211,6 +211,15 @@ def pixel_levels(patches: DataFrame, key: str) -> DataFrame:
     return px.groupBy(key).agg(q(0.25, "paper_low"), q(0.75, "paper_high"))
 
 
+def contrasted(patches: DataFrame, key: str, factor: float) -> DataFrame:
+    """(key, y, x, value) of grey patches with their contrast changed, as
+    ``contrast`` does it: about the whole number nearest to their mean."""
+    px = patches.select(key, F.posexplode("image").alias("y", "_row")).select(key, "y", F.posexplode("_row").alias("x", "_v"))
+    mean = px.groupBy(key).agg(F.floor(F.avg("_v") + 0.5).alias("_m"))
+    changed = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("_m") + (F.col("_v") - F.col("_m")) * factor))
+    return px.join(mean, key).select(key, "y", "x", changed.alias("value"))
+
+
 def dot_threshold(signals: DataFrame, by: str) -> DataFrame:
     """Per group: 25th percentile of the strengths of present dots, at least
     5, and 20 without any. ``present`` tells the dots."""

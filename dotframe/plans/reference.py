@@ -1149,6 +1149,14 @@ def bilinear_resize(s, d):
     return kernels.resized(fx.patches(s, d), "vec_id", 20, 20).withColumn("value", F.round("value", 4))
 
 
+@query(
+    """, m AS (SELECT vec_id, floor(avg(v) + 0.5e0) AS m FROM px GROUP BY vec_id)
+SELECT vec_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(least(255, greatest(0, m + (v - m)*1.4e0)), 6) AS value FROM px JOIN m USING (vec_id)"""
+)
+def contrast_patch(s, d):
+    return kernels.contrasted(fx.patches(s, d), "vec_id", 1.4).withColumn("value", F.round("value", 6))
+
+
 @query(
     """SELECT vec_id, CAST(c AS INT) AS channel, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round((v/255 - mean)/dev, 6) AS value
 FROM px, (VALUES (0, 0.485e0, 0.229e0), (1, 0.456e0, 0.224e0), (2, 0.406e0, 0.225e0)) z(c, mean, dev)"""
