@@ -17,6 +17,8 @@ from dotframe.llm.sample import distinct_crops
 from dotframe.session import staged
 
 HASH_BUCKETS = 8192
+#: Parts in which the crops of one path are numbered.
+PATH_PARTS = 64
 
 #: Relative weight at times 0, 1/2 and 1 by source; others are level.
 DEFAULT_CURRICULUM: dict[str, tuple[float, float, float]] = {}
@@ -36,16 +38,17 @@ def norm_source(c: str | Column) -> Column:
 
 
 def sized_crops(manifest: DataFrame, page_images: DataFrame, *extra: str) -> DataFrame:
-    """One row per crop: crop_id, path, size, ``extra`` and source, a missing source
+    """One row per crop: crop_id, path, size, ``extra``, rid (a number of its
+    own) and source, a missing source
     taken from the page's image. Null sizes count 0. Crops whose source stays
     unknown keep a null source: they count in the total, not in a source. The
     crops are written once; of them only those without a source of their own
     look for their page."""
     size = F.greatest(F.coalesce("n_bytes", F.lit(0)), F.lit(0)).cast("long").alias("size")
     crops = distinct_crops(manifest, "page_id", "path", "n_bytes", "source", *extra)
-    crops = staged(crops.select("crop_id", "path", size, *extra, norm_source("source").alias("source"), "page_id"), "crops")
+    crops = staged(crops.select("crop_id", "path", size, *extra, norm_source("source").alias("source"), "page_id", F.monotonically_increasing_id().alias("rid")), "crops")
     pages = page_images.groupBy(F.col("page_id").alias("_page")).agg(F.min(norm_source("source")).alias("_source"))
-    found = crops.where("source is null").join(pages, F.col("page_id") == F.col("_page"), "left").select("crop_id", "path", "size", *extra, F.col("_source").alias("source"))
+    found = crops.where("source is null").join(pages, F.col("page_id") == F.col("_page"), "left").select("crop_id", "path", "size", *extra, F.col("_source").alias("source"), "rid")
     return crops.where("source is not null").drop("page_id").unionByName(found)
 
 
@@ -93,18 +96,28 @@ def invert_demand(share: Column, w0: Column, w1: Column, w2: Column) -> Column:
 
 
 def _path_caps(crops: DataFrame, plan: DataFrame) -> DataFrame:
-    """Caps of the crops whose path other crops have too: the max_repeats uses
-    of the path, dealt out among its crops."""
+    """(rid, cap) of the crops whose path other crops have too: the max_repeats
+    uses of the path, dealt out among its crops. They are numbered within parts
+    of a path, so that none is one task's work."""
     h = F.xxhash64("path")
-    shared = crops.groupBy(h.alias("_ph")).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_ph")
+    shared = crops.where("path is not null").groupBy(h.alias("_ph")).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_ph")
     some = crops.where("path is not null").join(shared, h == F.col("_ph"), "left_semi").join(plan, "source")
-    among = W.partitionBy("path").orderBy("source", "crop_id")
+    some = staged(some.select("rid", "path", "crop_id", "source", "max_repeats", F.pmod(F.xxhash64("crop_id", "source"), F.lit(PATH_PARTS)).alias("part")), "shared-paths")
+    upto = W.partitionBy("path").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = (
+        some.groupBy("path", "part").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).withColumn("_k", F.sum("_n").over(W.partitionBy("path")))
+    )  # at most PATH_PARTS rows a path
+    within = F.row_number().over(W.partitionBy("path", "part").orderBy("crop_id", "source", "rid")) - 1
     return (
-        some.withColumn("_r", F.row_number().over(among) - 1)
-        .withColumn("_k", F.count(F.lit(1)).over(W.partitionBy("path")))
-        .withColumn("_cap", F.expr("cast(max_repeats div _k + if(_r < max_repeats % _k, 1, 0) as long)"))
-        .select("crop_id", F.col("path").alias("_cpath"), "_cap")
-    )
+        some.withColumn("_r", within).join(parts, ["path", "part"]).withColumn("_r", F.col("_r") + F.col("_before"))
+        .select("rid", F.expr("cast(max_repeats div _k + if(_r < max_repeats % _k, 1, 0) as long)").alias("_cap"))
+    )
+
+
+def numbered(crops: DataFrame) -> DataFrame:
+    """The crops with ``rid``, a number of each row's own, written once."""
+    return crops if "rid" in crops.columns else staged(crops.withColumn("rid", F.monotonically_increasing_id()), "crops")
 
 
 def placements(crops: DataFrame, targets: DataFrame, curriculum: dict | None = None, seed: int = 0) -> DataFrame:
@@ -119,6 +132,7 @@ def placements(crops: DataFrame, targets: DataFrame, curriculum: dict | None = N
     share the cap of max_repeats: a path is used in at most that many rows.
     """
     curriculum = DEFAULT_CURRICULUM if curriculum is None else curriculum
+    crops = numbered(crops)
     plan = demand(crops, targets).select("source", "available", "supplied", "max_repeats").where("supplied > 0")
     hashed = (
         crops.withColumn("_h", F.xxhash64(F.lit(seed), "crop_id", "path"))
@@ -127,16 +141,13 @@ def placements(crops: DataFrame, targets: DataFrame, curriculum: dict | None = N
     sums = hashed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     before = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum").join(plan, "source")
-    within = W.partitionBy("source", "_bucket").orderBy("_h", "crop_id", "path").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = W.partitionBy("source", "_bucket").orderBy("_h", "rid").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = (
         hashed.withColumn("_in", F.sum("size").over(within))
         .join(bases, ["source", "_bucket"])
         .withColumn("_end", F.col("_base") + F.col("_in"))
     )
-    caps = _path_caps(crops, plan)
-    placed = placed.join(
-        caps.withColumnRenamed("crop_id", "_cid"), (F.col("crop_id") == F.col("_cid")) & (F.col("path") == F.col("_cpath")), "left"
-    ).withColumn("cap", F.coalesce("_cap", "max_repeats"))
+    placed = placed.join(_path_caps(crops, plan), "rid", "left").withColumn("cap", F.coalesce("_cap", "max_repeats"))
     # Passes in which the record fits: (pass * available + _end) <= supplied.
     fit = F.when(F.col("available") > 0, F.floor((F.col("supplied") - F.col("_end")) / F.col("available")) + 1).otherwise(0)
     passes = F.least(F.greatest(fit, F.lit(0)), F.col("cap")).cast("int")

@@ -78,6 +78,15 @@ def test_paths_share_their_cap(spark):
     assert got.where("path = 'same'").count() <= 3
 
 
+def test_a_hot_path_and_crops_without_an_id(spark):
+    rows = [(None if i % 2 else i, "hot", 10, "a") for i in range(300)] + [(1000 + i, f"p{i}", 10, "a") for i in range(5)]
+    crops = spark.createDataFrame(rows, "crop_id long, path string, size long, source string")
+    for most in (7, 650):
+        t = spark.createDataFrame([("a", 100, most)], TARGETS)
+        caps = [r.cap for r in mixing.placements(crops, t).where("path = 'hot'").collect()]
+        assert len(caps) == 300 and sum(caps) == most and max(caps) - min(caps) <= 1
+
+
 def test_sources_sizes_and_repeats(spark):
     rows = [
         (1, 1, 0, " DSBI ", "train", "p1", None, None, 5), (1, 1, 0, " DSBI ", "train", "p1", None, None, 5), (2, 1, 1, None, "train", "p2", None, None, None),
