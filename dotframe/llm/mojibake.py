@@ -31,8 +31,9 @@ TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac-roman")
 #: Readings in which pairs of letters of a language are valid UTF-8: there
 #: only whole words count.
 WHOLE_ONLY = ("cp1251", "koi8-r", "iso8859-5", "mac-cyrillic")
-#: A character counts as the corpus's own if so many different texts hold it.
-OWN_TEXTS = 2
+#: A character counts as the corpus's own from so many words and documents on,
+#: copies included.
+OWN_TIMES = 2
 #: Where nothing else tells, the original must be so many times as frequent as
 #: its garbled form; more for single characters, which many encodings make of
 #: each other.
@@ -223,10 +224,10 @@ def document_tokens(documents: DataFrame) -> DataFrame:
 
 
 def own_characters(vocabulary: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """Characters of words in OWN_TEXTS different texts or more, at most as
-    many as Unicode has, with their weights in documents and in texts."""
+    """Characters that occur OWN_TIMES or more, at most as many as Unicode has,
+    with their weights in documents and in different texts."""
     chars = vocabulary.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "df", "nt").where("c <> ''")
-    rows = chars.groupBy("c").agg(F.sum("df").alias("n"), F.sum("nt").alias("nt")).where(F.col("nt") >= OWN_TEXTS).collect()
+    rows = chars.groupBy("c").agg(F.sum("df").alias("n"), F.sum("nt").alias("nt")).where(F.col("n") >= OWN_TIMES).collect()
     return {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
 
 
